@@ -13,6 +13,7 @@ from quillmesh.llm.common import add_columns, read_table
 #: Documented bounds of the fit: rows of each language, languages, and code points of a sampled text that are learnt from.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 300, 200, 4000
 LANDMARKS_PER_LANGUAGE = 24
+PARTS = 64
 ORDERS, BINS, RIDGE = (1, 2, 3), 1 << 14, 1e-2
 UNKNOWN = "und"
 _LETTER = np.zeros(0x110000, bool)
@@ -103,9 +104,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
     ranked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # each task keeps a bounded number of rows of each language before they meet
+    # each of PARTS parts of a language keeps a bounded number of rows before they meet
+    part = ranked.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))
+    order = Window.partitionBy("lang", "part").orderBy("h", "text")
+    part = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
     order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
+    picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
     found = picked.orderBy("r", "lang").limit(SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).collect()
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 

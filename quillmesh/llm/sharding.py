@@ -10,9 +10,9 @@ from quillmesh.llm.common import read_table, stage_table
 
 SHARDS, OVERHEAD = 40, 16
 #: Bits of a dimension's value and of the tie-breaking hash in a split key; bits looked at in one histogram.
-VALUE_BITS, TIE_BITS, STEP_BITS = 20, 28, 12
+VALUE_BITS, TIE_BITS, STEP_BITS = 12, 24, 12
 #: A split ends when its histogram bin holds at most this share of the node's bytes.
-FINE = 1 / 3_000
+FINE = 1 / 1_000
 #: Copies of one text stay together up to this share of a shard; beyond it their group is dealt in parts.
 GROUP_PARTS = 64
 
@@ -48,7 +48,7 @@ def _points(docs: DataFrame) -> DataFrame:
         hashed("source").alias("d_source"),
         hashed("lang").alias("d_lang"),
     )
-    return base.withColumn("d_size", F.least(F.lit(top), (F.log2("size") * F.lit(1 << 15)).cast("long"))).withColumn(
+    return base.withColumn("d_size", F.least(F.lit(top), (F.log2("size") * F.lit(1 << 7)).cast("long"))).withColumn(
         "d_id", F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), 64 - VALUE_BITS)
     )
 
@@ -81,53 +81,61 @@ def _open(root: Node) -> list[Node]:
 def build_tree(units: DataFrame, shards: int) -> Node:
     """Split all open boxes of a level at once until every box is one shard of about total / shards bytes.
 
-    A level takes one aggregate of ranges, to choose each box's widest dimension (spread of bytes around their mean,
-    in units of the whole table's), then histograms of 2**STEP_BITS bins that narrow down each weighted median. At
-    most shards * 2**STEP_BITS aggregated rows come to the driver, whatever the table's size.
+    A level's first aggregate has the bytes of each box by value of each dimension: it gives the spread of bytes around
+    their mean, in units of the whole table's, so each box's widest dimension, and the bin of its weighted median.
+    Further histograms narrow down medians whose bin is heavy, by the ties' hash. At most shards * dimensions *
+    2**STEP_BITS aggregated rows come to the driver, whatever the table's size.
     """
     root = Node(0, shards)
-    span = 1 << VALUE_BITS
+    all_bits = VALUE_BITS + TIE_BITS
     width: dict[str, float] = {}
+
+    def narrow(goal: list, bins: list[tuple[int, int]]) -> bool:
+        """Take one histogram's bin of the median into ``goal`` = [node, bytes wanted left, prefix, bits, total]; is it fine enough?"""
+        last = len(bins) - 1
+        for at, (bin_, weight) in enumerate(sorted(bins)):
+            if weight >= goal[1] or at == last:
+                break
+            goal[1] -= weight
+        goal[2], goal[3] = bin_, min(all_bits, goal[3] + STEP_BITS)
+        fine = weight <= goal[4] * FINE or goal[3] == all_bits
+        if fine:
+            goal[0].key = (bin_ if goal[1] * 2 < weight else bin_ + 1) << (all_bits - goal[3])
+        return fine
+
     while nodes := _open(root):
         placed = units.withColumn("node", _place(root))
-        value = lambda d: F.col(d) / span
-        moments = [F.sum(F.col("bytes") * value(d)).alias(f"a_{d}") for d in DIMENSIONS] + [F.sum(F.col("bytes") * value(d) * value(d)).alias(f"b_{d}") for d in DIMENSIONS]
-        rows = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("bytes").alias("bytes"), *moments).collect()}
-        goals: dict[int, list] = {}
+        first = F.inline(F.array(*(F.struct(F.lit(k).alias("dim"), F.shiftrightunsigned(_key(d), all_bits - STEP_BITS).alias("bin")) for k, d in enumerate(DIMENSIONS))))
+        found: dict[int, list[list]] = {}
+        for r in placed.select("node", "bytes", first).groupBy("node", "dim", "bin").agg(F.sum("bytes").alias("bytes")).collect():
+            found.setdefault(r["node"], [[] for _ in DIMENSIONS])[r["dim"]].append((int(r["bin"]), int(r["bytes"])))
+        todo: dict[int, list] = {}
         for n in nodes:
-            left = n.leaves // 2
-            r = rows.get(n.first)
-            total = int(r["bytes"]) if r else 0
-            spread = {d: max(0.0, r[f"b_{d}"] / total - (r[f"a_{d}"] / total) ** 2) ** 0.5 for d in DIMENSIONS} if total else dict.fromkeys(DIMENSIONS, 0.0)
+            if n.first not in found:  # an empty box
+                n.dim = DIMENSIONS[0]
+                continue
+            spread = {}
+            for d, bins in zip(DIMENSIONS, found[n.first], strict=True):
+                total = sum(w for _, w in bins)
+                mean = sum(b * w for b, w in bins) / total
+                spread[d] = (sum(w * (b - mean) ** 2 for b, w in bins) / total) ** 0.5
             if n is root:
                 width = {d: s or 1.0 for d, s in spread.items()}
             n.dim = max(DIMENSIONS, key=lambda d: (spread[d] / width[d], d == "d_size"))
-            goals[n.first] = [n, total * left / n.leaves, 0, 0, total]  # node, bytes wanted left, prefix, bits known, total
-        todo = {f: g for f, g in goals.items() if g[4]}
+            goal = [n, total * (n.leaves // 2) / n.leaves, 0, 0, total]
+            if not narrow(goal, found[n.first][DIMENSIONS.index(n.dim)]):
+                todo[n.first] = goal
         while todo:
-            chosen, prefix = F.lit(None).cast("long"), F.lit(None).cast("long")
-            shift = VALUE_BITS + TIE_BITS
+            # node -> its next bin, where the row is in the bin that holds the median
+            chosen = F.lit(None).cast("long")
             for f, (n, _, known, bits, _) in todo.items():
-                here = F.col("node") == f
-                low = shift - bits
-                inside = F.shiftrightunsigned(_key(n.dim), low) == known if bits else F.lit(True)
-                chosen = F.when(here & inside, F.shiftrightunsigned(_key(n.dim), max(0, low - STEP_BITS))).otherwise(chosen)
-                prefix = F.when(here & inside, F.lit(f)).otherwise(prefix)
-            bins = placed.select(prefix.alias("f"), chosen.alias("bin"), "bytes").where("f IS NOT NULL").groupBy("f", "bin").agg(F.sum("bytes").alias("bytes"))
-            found: dict[int, list] = {}
-            for r in bins.collect():
-                found.setdefault(int(r["f"]), []).append((int(r["bin"]), int(r["bytes"])))
-            for f in list(todo):
-                goal = todo[f]
-                bits = min(shift, goal[3] + STEP_BITS)
-                for bin_, weight in sorted(found[f]):
-                    if weight >= goal[1] or (bin_, weight) == max(found[f]):
-                        break
-                    goal[1] -= weight
-                goal[2], goal[3] = bin_, bits
-                if weight <= goal[4] * FINE or bits == shift:
-                    goal[0].key = (bin_ if goal[1] * 2 < weight else bin_ + 1) << (shift - bits)
-                    del todo[f]
+                inside = (F.col("node") == f) & (F.shiftrightunsigned(_key(n.dim), all_bits - bits) == known)
+                chosen = F.when(inside, F.shiftrightunsigned(_key(n.dim), max(0, all_bits - bits - STEP_BITS))).otherwise(chosen)
+            rows = placed.select("node", chosen.alias("bin"), "bytes").where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("bytes").alias("bytes")).collect()
+            next_: dict[int, list] = {}
+            for r in rows:
+                next_.setdefault(r["node"], []).append((int(r["bin"]), int(r["bytes"])))
+            todo = {f: goal for f, goal in todo.items() if not narrow(goal, next_[f])}
         for n in nodes:
             left = n.leaves // 2
             n.children = [Node(n.first, left), Node(n.first + left, n.leaves - left)]
@@ -142,12 +150,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     overhead; null metadata counts as one value; null ids are rows like others. An empty table gives no rows.
     """
     points = stage_table(_points(docs), "shard-points")
-    total = points.agg(F.sum("size")).first()[0] or 0
+    rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     located = stage_table(_with_units(points, max(1, total // shards // GROUP_PARTS)), "shard-located")
     units = stage_table(located.groupBy("unit").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in DIMENSIONS)), "shard-units")
     root = build_tree(units, shards)
     # a shard's rows are numbered in buckets, whose counts are summed to offsets
-    rows = max(1, located.count())
     buckets = max(1, rows // shards // 20_000)
     homes = units.select("unit", _place(root).cast("int").alias("shard"))
     dealt = located.join(homes, "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(buckets)).alias("bucket"))
