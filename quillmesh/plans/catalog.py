@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmesh.functions import scalars, text
+from quillmesh.functions import markdown, scalars, text
 from quillmesh.operators import board, catalog, fts, graph, store
 from quillmesh.plans import adapters as v
+from quillmesh.sources import files as source_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,3 +443,19 @@ def size_format(s, d):
 @query("SELECT id, ordinal, CASE WHEN length(t) <= 40 THEN t ELSE left(t, 39) || '…' END AS snippet FROM (SELECT id, ordinal, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM v_segments)")
 def compact_snippet(s, d):
     return v.segments(s, d).select("id", "ordinal", scalars.compact(F.col("text"), 40).alias("snippet"))
+
+
+@query("""SELECT path, 'text' AS class, starts_with(t, chr(65279)) AS has_bom, CASE WHEN n = 0 THEN 'none' WHEN c = 0 THEN 'lf' WHEN c = n THEN 'crlf' ELSE 'mixed' END AS line_ending,
+ CASE WHEN suffix(t, chr(13) || chr(10)) THEN 'crlf' WHEN suffix(t, chr(10)) THEN 'lf' ELSE 'none' END AS trailing_newline
+ FROM (SELECT path, coalesce(text, '') AS t, length(t) - length(replace(t, chr(10), '')) AS n, (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2 AS c FROM v_files)""")
+def file_classes(s, d):
+    classed = source_files.classify(v.texts(s, d).select("path", F.col("text").cast("binary").alias("content")))
+    return classed.select("path", "class", "has_bom", "line_ending", "trailing_newline")
+
+
+@query("""SELECT path, i AS ordinal, CASE WHEN i = 0 THEN path ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END AS title, i + 1 AS start_line, i + 1 AS end_line,
+ coalesce(sum(strlen(t) + 4) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte
+ FROM (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM v_files)""")
+def heading_segments(s, d):
+    headed = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("## "), x)), "\n")
+    return markdown.segments(v.texts(s, d).select("path", headed.alias("text"))).select("path", "ordinal", "title", "start_line", "end_line", "start_byte")
