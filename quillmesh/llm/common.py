@@ -18,6 +18,7 @@ from quillmesh.runtime import ship
 SLICE_BYTES = 4 << 20
 #: The same for tokenizers: longer slices repeat more of their words.
 TOKEN_SLICE_BYTES = 12 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    The write's shuffle files go when it ends, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
