@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -72,11 +74,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where((F.col("a") < F.col("b")) & close).distinct()
 
 
-def _classes(marked: DataFrame, radius: int) -> DataFrame:
-    """(fp, class, component_id) of the distinct fingerprints of ``marked``; class is the least fingerprint reachable."""
+def _classes(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, class, component_id) of the distinct fingerprints of ``marked``; class is the least reachable over ``found``."""
     heads = marked.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    links = stage_table(fingerprint_links(marked.select("fp").distinct(), radius), "links")
-    members = components(links, "a", "b")  # only of fingerprints that have links
+    members = components(stage_table(found, "links"), "a", "b")  # only of fingerprints that have links
     grouped = heads.join(members, heads.fp == members.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("class"))
     least = grouped.groupBy("class").agg(F.min("head").alias("component_id"))
     return grouped.join(least, "class").select("fp", "class", "component_id")
@@ -89,31 +90,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     distinct fingerprints are compared. Rows with a null doc_id get the least non-null id of their component, or null.
     """
     marked = stage_table(fingerprints(docs, key, text), "fingerprints")
-    out = marked.join(_classes(marked, radius).select("fp", "component_id"), "fp")
+    out = marked.join(_classes(marked, fingerprint_links(marked.select("fp").distinct(), radius)).select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(docs: DataFrame, key: str, text: str, mark: Callable[[str | None], int]) -> DataFrame:
+    """(doc_id, h, fp): a hash of the text and its fingerprint by ``mark``, a row per input row."""
+
+    def work(part: pa.RecordBatch) -> list:
+        return [pa.array([_signed(mark(t)) for t in part.column("text").to_pylist()], pa.int64())]
+
+    rows = doc_columns(docs, key, text).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return stage_table(add_columns(rows, "text", [T.StructField("fp", T.LongType())], work, drop_input=True), "fingerprints")
+
+
+def _survivors(docs: DataFrame, key: str, text: str, marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class: that of the least doc_id (nulls last), then the least text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    by_fp = marked.groupBy("fp").agg(first)
+    heads = by_fp.join(classes.select("fp", "class"), "fp").groupBy("class").agg(F.min("first").alias("first"))
+    heads = heads.select(F.col("class").alias("__qm_class"), F.col("first.doc_id").alias("__qm_id"), F.col("first.h").alias("__qm_head"))
+    rows = docs.withColumn("__qm_h", F.xxhash64(docs[text].cast("string")))
+    rows = rows.join(heads, (F.col("__qm_h") == F.col("__qm_head")) & rows[key].cast("long").eqNullSafe(F.col("__qm_id")))
+    order = Window.partitionBy("__qm_class").orderBy("__qm_h")  # copies of a row that repeat its id
+    return rows.withColumn("__qm_rank", F.row_number().over(order)).where("__qm_rank = 1").select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row, all columns, of each near-duplicate component of ``docs``: that of the least doc_id.
 
-    Of rows that repeat that doc_id one stays. A component without any doc_id keeps one of its rows.
+    Components are of texts, so rows that repeat a doc_id with other texts each count in their own.
     """
-    columns = docs.columns
-    marked = stage_table(fingerprints(docs, key, text), "fingerprints")
-    classes = stage_table(_classes(marked, radius), "classes")
-    heads = classes.where("component_id IS NOT NULL").select(F.col("component_id").alias("__qm_head")).distinct()
-    known = docs.join(heads, docs[key] == F.col("__qm_head"), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    known = known.withColumn("__qm_rank", F.row_number().over(order)).where("__qm_rank = 1").select(*columns)
-
-    def work(part: pa.RecordBatch) -> list:
-        return [pa.array([_signed(simhash(t)) for t in part.column(text).to_pylist()], pa.int64())]
-
-    nameless = add_columns(docs.where(docs[key].isNull()), text, [T.StructField("__qm_fp", T.LongType())], work)
-    rest = classes.where("component_id IS NULL").select(F.col("fp").alias("__qm_fp"), F.col("class").alias("__qm_class"))
-    order = Window.partitionBy("__qm_class").orderBy("__qm_fp", F.xxhash64(text))
-    nameless = nameless.join(rest, "__qm_fp").withColumn("__qm_rank", F.row_number().over(order)).where("__qm_rank = 1")
-    return known.unionByName(nameless.select(*columns))
+    marked = _marked(docs, key, text, simhash)
+    links = fingerprint_links(marked.select("fp").distinct(), radius)
+    return _survivors(docs, key, text, marked, _classes(marked, links))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,13 @@ def test_simhash_components(odd_docs, docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_keep_one_of_repeated_ids_with_other_texts(spark):
+    one, two = ("a b c d e f g h i j " * 4).strip(), ("k l m n o p q r s t " * 4).strip()
+    rows = [(1, one, 0), (1, two, 1), (2, two, 2), (2, one, 3), (3, one, 4), (None, "only a nameless text", 5), (None, one, 6)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int")).collect()
+    assert sorted((r.text, r.doc_id, r.k) for r in kept) == sorted([(one, 1, 0), (two, 1, 1), ("only a nameless text", None, 5)], key=lambda r: r[0])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (5, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
