@@ -1,31 +1,31 @@
-"""Operator 5, SimHash near duplicates by meet-in-the-middle ball hashing."""
+"""Operator 5, SimHash near duplicates by meet-in-the-middle ball hashing, and the pipeline's exact Jaccard stage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillmesh.llm.common import add_columns, doc_columns, read_table, stage_table
+from quillmesh.llm.common import add_columns, doc_columns, read_table, slices, stage_table
 from quillmesh.llm.components import components
+from quillmesh.runtime import ship
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
+#: The pipeline's stage: words of a shingle, least Jaccard similarity in tenths, counters of the shingle sketch.
+STAGE_SHINGLE, TENTHS, COUNTERS = 5, 8, 1 << 17
+#: Shingle sets that one task remembers, so that most copies make no rows twice.
+REMEMBERED = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the XXH64 values of all word shingles, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
         return 0
-    joined = b" ".join(words)
-    size = min(shingle, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    hashes = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, ends[size - 1 :].tolist(), strict=True)]
     bits = np.zeros(64, np.int64)
     values = np.array(hashes, ">u8").view(np.uint8)
     for at in range(0, len(values), 8 << 16):
@@ -33,6 +33,18 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> list[int]:
+    """XXH64 values of all word shingles, repeats included; a text of fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    size = min(shingle, len(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
+    return [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, ends[size - 1 :].tolist(), strict=True)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -126,5 +138,115 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     return _survivors(docs, key, text, marked, _classes(marked, links))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct shingle hashes of the pipeline's stage, ascending."""
+    return np.unique(np.array(shingle_hashes(text, STAGE_SHINGLE), np.uint64))
+
+
+def _set_key(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(47)).astype(np.int64)
+
+
+def shingle_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Rows by counter of shingle hashes: COUNTERS numbers, whatever the data. They order shingles and decide nothing."""
+    chunks = 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(total, _counter(shingle_set(t)), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(chunks, -1)], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    ship(docs.sparkSession)
+    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "chunk int, counts binary")
+    out = np.zeros((chunks, COUNTERS // chunks), np.int64)
+    for r in parts.repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)
+
+
+def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b) with a < b: all pairs of distinct shingle sets, by key, whose Jaccard similarity is TENTHS / 10 or more.
+
+    Exact prefix join: in any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
+    order puts shingles of rare counters first. A first common place bounds what can follow it; pairs that pass are
+    verified on whole sets. A large group of texts that truly are this close makes all its pairs.
+    """
+    order = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                keys, sizes, places, found = [], [], [], []
+                for t in part.column("text").to_pylist():
+                    x = shingle_set(t)
+                    key = _set_key(x)
+                    if not len(x) or key in done:
+                        continue
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    done.add(key)
+                    n = len(x)
+                    first = x[np.lexsort((x, order.value[_counter(x)]))][: n - (TENTHS * n + 9) // 10 + 1]
+                    keys.append(np.full(len(first), _signed(key), np.int64))
+                    sizes.append(np.full(len(first), n, np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
+                    found.append(first.view(np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, keys, sizes, places)], ["shingle", "fp", "n", "place"])
+
+    texts = docs.select(docs[text].cast("string").alias("text"))
+    rows = texts.mapInArrow(prefixes, "shingle long, fp long, n int, place int").repartition("shingle").dropDuplicates(["shingle", "fp"])
+    left = rows.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = rows.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # in common, if this is the first place that is
+    may = (F.col("a") < F.col("b")) & (F.lit(10 + TENTHS) * most >= F.lit(TENTHS) * (F.col("na") + F.col("nb")))
+    pairs = stage_table(left.join(right, "shingle").where(may).select("a", "b").distinct(), "candidates")
+
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")).select("h").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                made = [shingle_set(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_signed(_set_key(x)) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["fp", "found"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                mask.append((10 + TENTHS) * both >= TENTHS * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    texts = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
+    known = stage_table(texts.mapInArrow(sets, "fp long, found binary"), "sets")
+    x = known.select(F.col("fp").alias("a"), F.col("found").alias("x"))
+    y = known.select(F.col("fp").alias("b"), F.col("found").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row, all columns, of each group of texts linked by 5-word Jaccard similarity of 0.8 or more: that of the least doc_id."""
+    marked = _marked(docs, key, text, lambda t: _set_key(shingle_set(t)))
+    return _survivors(docs, key, text, marked, _classes(marked, jaccard_links(docs, marked, text)))
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -137,6 +137,40 @@ def test_keep_one_of_repeated_ids_with_other_texts(spark):
     assert sorted((r.text, r.doc_id, r.k) for r in kept) == sorted([(one, 1, 0), (two, 1, 1), ("only a nameless text", None, 5)], key=lambda r: r[0])
 
 
+def _shingles(text):
+    words = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dedup_stage_is_exact_jaccard(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    planted = []
+    for g in range(25):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(4, 160))]
+        planted.append((10 * g, " ".join(base)))
+        for k in range(1, 5):  # up to five words changed: similarities on both sides of 0.8
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            planted.append((10 * g + k, " ".join(copy)))
+    for frame in (spark.createDataFrame(planted, "doc_id long, text string").repartition(3), odd_docs):
+        rows = texts(frame)
+        sets = [_shingles(x) for _, x in rows]
+        close = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])]
+        group = list(range(len(rows)))
+        for i, j in close:
+            group = [group[j] if x == group[i] else x for x in group]
+        want = Counter(min((d is None, d) for (d, _), x in zip(rows, group, strict=True) if x == k)[1] for k in set(group))
+        got = corpus_pipeline.near_dedup(spark, frame, DATA)
+        assert got.columns == frame.columns and Counter(r.doc_id for r in got.collect()) == want
+        if frame is not odd_docs:  # near copies that two differing bits don't reach
+            far = [(i, j) for i, j in close if (_simhash(rows[i][1]) ^ _simhash(rows[j][1])).bit_count() > 2]
+            assert len(far) > 10 and len(want) < neardup.keep_one(frame).count()
+    assert corpus_pipeline.near_dedup(spark, no_docs, DATA).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (5, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
