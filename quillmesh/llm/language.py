@@ -100,17 +100,19 @@ def held_out(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on at most SAMPLE_PER_LANGUAGE rows of each language, chosen by a hash of text; held-out rows are never used."""
+    """Fit on at most SAMPLE_PER_LANGUAGE distinct texts of each language, chosen by a hash; held-out rows are never used."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
-    ranked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # each of PARTS parts of a language keeps a bounded number of rows before they meet
-    part = ranked.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))
-    order = Window.partitionBy("lang", "part").orderBy("h", "text")
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    # copies count once; each of PARTS parts of a language keeps a bounded number of hashes before they meet
+    part = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.pmod(F.col("h"), F.lit(PARTS)))
+    order = Window.partitionBy("lang", "part").orderBy("h")
     part = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    order = Window.partitionBy("lang").orderBy("h", "text")
+    order = Window.partitionBy("lang").orderBy("h")
     picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    found = picked.orderBy("r", "lang").limit(SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).collect()
+    picked = picked.orderBy("r", "lang").limit(SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).select("lang", "h", "r")
+    chosen = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("r").alias("r"), F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    found = sorted(chosen.collect(), key=lambda r: (r["r"], r["lang"]))
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 

@@ -214,6 +214,15 @@ def test_language(spark, odd_docs, no_docs):
     assert language.train(no_docs).languages == [] and language.language_columns(no_docs, model).count() == 0
 
 
+def test_language_sample_has_distinct_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    few = docs.where("doc_id < 400")
+    copies = few.selectExpr("doc_id", "text", "lang", "explode(sequence(1, 400)) AS k").drop("k")
+    got, want = language.train(copies), language.train(few)
+    assert got.languages == want.languages and np.array_equal(got.landmarks, want.landmarks) and np.array_equal(got.weights, want.weights)
+    assert len(np.unique(got.landmarks, axis=0)) == len(got.landmarks) == 4 * language.LANDMARKS_PER_LANGUAGE
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
