@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillmesh.llm.common import add_columns, read_table
+from quillmesh.llm.common import add_columns, read_table, slices
+from quillmesh.runtime import ship
 
-#: Documented bounds of the fit: rows of each language, languages, and code points of a sampled text that are learnt from.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 300, 200, 4000
+#: Documented bounds of the fit: distinct texts of each language and languages that are learnt from.
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 300, 200
 LANDMARKS_PER_LANGUAGE = 24
 PARTS = 64
 ORDERS, BINS, RIDGE = (1, 2, 3), 1 << 14, 1e-2
@@ -40,13 +42,23 @@ def presence(text: str) -> np.ndarray:
 
 def presence_rows(texts: list[str]) -> np.ndarray:
     """A row of presences for each text, scaled so that the product of two rows is the normalised kernel."""
-    out = np.zeros((len(texts), BINS), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        found = presence(text)
+    return _scaled((presence(text) for text in texts), len(texts))
+
+
+def _scaled(bins: Iterable[np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros((n, BINS), np.float32)
+    for row, found in zip(out, bins, strict=True):
         row[found] = 1 / np.sqrt(max(1, len(found)))
     return out
 
 
+def presence_bits(text: str) -> bytes:
+    """The bins of a whole text as BINS / 8 bytes."""
+    seen = np.zeros(BINS, bool)
+    seen[presence(text)] = True
+    return np.packbits(seen).tobytes()
+
+
 @dataclass
 class Model:
     """Landmark rows and, for each language, a weight of each landmark."""
@@ -60,10 +72,10 @@ class Model:
         return (presence_rows(texts) @ self.landmarks.T) @ self.weights
 
 
-def fit(texts: list[str], labels: list[str], ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression in the Nystrom space of evenly chosen landmarks; targets are +1 and -1."""
+def fit(bits: list[bytes], labels: list[str], ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on presence bits, in the Nystrom space of evenly chosen landmarks; targets are +1 and -1."""
     languages = sorted(set(labels))
-    rows = presence_rows(texts)
+    rows = _scaled((np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in bits), len(bits))
     labels_ = np.array(labels)
     chosen = np.concatenate([np.flatnonzero(labels_ == x)[:LANDMARKS_PER_LANGUAGE] for x in languages]) if languages else np.zeros(0, np.int64)
     landmarks = rows[chosen]
@@ -111,9 +123,24 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     order = Window.partitionBy("lang").orderBy("h")
     picked = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
     picked = picked.orderBy("r", "lang").limit(SAMPLE_PER_LANGUAGE * MAX_LANGUAGES).select("lang", "h", "r")
-    chosen = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("r").alias("r"), F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()  # at most as many as are picked
+        for batch in batches:
+            for cut in slices(batch, "text"):
+                at = []
+                for i, x in enumerate(zip(cut.column("lang").to_pylist(), cut.column("r").to_pylist(), strict=True)):
+                    if x not in done:
+                        done.add(x)
+                        at.append(i)
+                kept = cut.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column("lang"), kept.column("r"), pa.array([presence_bits(t) for t in kept.column("text").to_pylist()], pa.binary())], ["lang", "r", "bits"])
+
+    ship(docs.sparkSession)
+    chosen = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "r", "text")
+    chosen = chosen.mapInArrow(bits, "lang string, r int, bits binary").dropDuplicates(["lang", "r"])
     found = sorted(chosen.collect(), key=lambda r: (r["r"], r["lang"]))
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    return fit([bytes(r["bits"]) for r in found], [r["lang"] for r in found])
 
 
 def language_columns(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -223,6 +223,15 @@ def test_language_sample_has_distinct_texts(spark):
     assert len(np.unique(got.landmarks, axis=0)) == len(got.landmarks) == 4 * language.LANDMARKS_PER_LANGUAGE
 
 
+def test_language_learns_whole_texts(spark):
+    head = "q z " * 1500  # 6000 characters that all languages share
+    rows = [(i, head + tail * 3, lang) for i in range(40) for lang, tail in [("en", f"the house and the dog {i} "), ("fr", f"le chat est sur la table {i} ")]]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language.predict(model, [head + "the dog and the house", head + "la table est sur le chat"])[0] == ["en", "fr"]
+    want = {language.presence_rows([r[1]])[0].tobytes() for r in rows}
+    assert {x.tobytes() for x in model.landmarks} <= want
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
