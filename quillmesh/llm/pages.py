@@ -57,16 +57,16 @@ class Block:
     link_chars: int
     heading: bool
     marked: bool
-    article: bool
+    scope: int  # number of the innermost article or main element, 0 outside
     label: str = ""
 
 
 def blocks_of(source: str) -> list[Block]:
     """Text blocks in page order; text of scripts, forms, menus and other dropped elements is in none."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped or marked, article
+    stack: list[tuple[str, bool, int]] = []  # name, dropped or marked, number of an article or main element
     text: list[str] = []
-    links = at = 0
+    links = at = scopes = 0
     link_open = heading = 0
 
     def flush() -> None:
@@ -74,8 +74,8 @@ def blocks_of(source: str) -> list[Block]:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             marked = any(x[1] for x in stack)
-            article = any(x[2] for x in stack)
-            out.append(Block(joined, links, heading > 0, marked, article))
+            scope = next((x[2] for x in reversed(stack) if x[2]), 0)
+            out.append(Block(joined, links, heading > 0, marked, scope))
         text.clear()
         links = 0
 
@@ -142,20 +142,26 @@ def blocks_of(source: str) -> list[Block]:
         if block or marked:
             if marked and not block:
                 flush()
-            stack.append((name, marked, name in ("article", "main")))
+            framing = name in ("article", "main")
+            scopes += framing
+            stack.append((name, marked, scopes if framing else 0))
     flush()
     return out
 
 
 def classify(blocks: list[Block]) -> list[Block]:
-    """Labels ``good`` or ``bad``: density rules first, then ambiguous short blocks by their nearest decided neighbours."""
-    framed = any(b.article and not b.marked for b in blocks)
+    """Labels ``good`` or ``bad``: density rules first, then ambiguous blocks by their nearest decided neighbours.
+
+    An article or main element is a feature beside density: a block takes labels from its own element (or from
+    outside all), and one whose element decides nothing is good, unless good text elsewhere outweighs the element.
+    """
+    framed = any(b.scope and not b.marked for b in blocks)
     for b in blocks:
         n = len(b.text)
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
         density = b.link_chars / max(1, n)
-        if b.marked or framed and not b.article or "\xa9" in b.text or density > MAX_LINK_DENSITY:
+        if b.marked or density > MAX_LINK_DENSITY or "\xa9" in b.text:
             b.label = "bad"
         elif n < SHORT_CHARS:
             b.label = "short"
@@ -164,39 +170,60 @@ def classify(blocks: list[Block]) -> list[Block]:
         elif stops >= LOW_STOPWORDS:
             b.label = "near"
         else:
-            b.label = "near" if b.article or n > LONG_CHARS and stops > 0 else "bad"
-    decided = [b.label for b in blocks]
-    # near-good blocks of middle length are good between good ones, or inside an article element
+            b.label = "near" if b.scope or n > LONG_CHARS and stops > 0 else "bad"
+    weak = _weak_scopes(blocks)
+    decided = ["short" if b.label == "near" and b.scope in weak else b.label for b in blocks]
+    back, forward = range(len(blocks)), range(len(blocks) - 1, -1, -1)
+    own = _nearest(blocks, decided, back, True), _nearest(blocks, decided, forward, True)
+    page = _nearest(blocks, decided, back, False), _nearest(blocks, decided, forward, False)
     for i, b in enumerate(blocks):
         if decided[i] not in ("near", "short"):
             continue
-        if b.article:  # what is around an article element says nothing about its blocks
-            b.label = "good"
+        if b.scope in weak:  # a card or teaser, or a short post between others
+            b.label = "good" if page[0][i][0] == page[1][i][0] == "good" else "bad"
             continue
-        left, ldist = _neighbour(decided, i, -1)
-        right, rdist = _neighbour(decided, i, 1)
+        (left, ldist), (right, rdist) = own[0][i], own[1][i]
         if left == right and left:
             b.label = left
-        elif b.heading:
-            b.label = right or "bad"  # a heading goes with what follows it
+        elif b.heading:  # a heading goes with what follows it
+            b.label = (right or left or "good") if b.scope else page[1][i][0] or "bad"
         elif decided[i] == "near" and "good" in (left, right):
             b.label = "good"
         else:
-            b.label = (left if ldist <= rdist else right) or ("good" if decided[i] == "near" else "bad")
+            b.label = (left if ldist <= rdist else right) or ("good" if b.scope or decided[i] == "near" and not framed else "bad")
     return blocks
 
 
-def _neighbour(labels: list[str], i: int, step: int) -> tuple[str, int]:
-    """Nearest decided label on one side; near-good counts as good for short blocks."""
-    for away in range(1, REACH + 1):
-        k = i + step * away
-        if not 0 <= k < len(labels):
-            break
-        if labels[k] in ("good", "bad"):
-            return labels[k], away
-        if labels[k] == "near" and labels[i] == "short":
-            return "good", away
-    return "", REACH + 1
+def _weak_scopes(blocks: list[Block]) -> set[int]:
+    """Article and main elements without a block that is good by itself, and with less text than such blocks elsewhere."""
+    size: dict[int, int] = {}
+    strong = {b.scope for b in blocks if b.label == "good"}
+    for b in blocks:
+        if b.label != "bad":
+            size[b.scope] = size.get(b.scope, 0) + len(b.text)
+    good = sum(len(b.text) for b in blocks if b.label == "good")
+    return {k for k, n in size.items() if k and k not in strong and n < good}
+
+
+def _nearest(blocks: list[Block], decided: list[str], order: range, own: bool) -> list[tuple[str, int]]:
+    """For each ambiguous block, the last decided label before it in ``order`` and its distance, in one pass.
+
+    Near-good counts as good for short blocks. With ``own`` only labels of the block's own scope count, and in an
+    article not those of marked blocks: an insertion says nothing about the text around it.
+    """
+    out, last = [("", len(blocks))] * len(blocks), {}
+    for i in order:
+        b, label = blocks[i], decided[i]
+        scope = b.scope if own else 0
+        if label in ("near", "short"):
+            k = last.get((scope, label))
+            if k is not None and abs(i - k) <= REACH:
+                out[i] = "bad" if decided[k] == "bad" else "good", abs(i - k)
+        if label == "near":
+            last[scope, "short"] = i
+        elif label in ("good", "bad") and not (scope and b.marked):
+            last[scope, "short"] = last[scope, "near"] = i
+    return out
 
 
 def main_text(source: str | None) -> str:

@@ -303,6 +303,20 @@ def test_pages(spark):
     assert [r.n_chars for r in pages.page_texts(rows).orderBy("page_id", "n_chars").collect()][:2] == [0, 0]
 
 
+def test_pages_weigh_article_elements(spark):
+    story = "the story of a man and his dog that was in the house. " * 6
+    told = f"<div><p>{story}</p><p>It was so.</p><p>{story}</p></div>"
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Read it in here.</p></article>" for i in range(4))
+    want = f"{story.strip()} It was so. {story.strip()}"
+    assert pages.main_text(f"{told}{cards}<footer>f</footer>") == want
+    # beside an article, the density rules still decide: an unmarked link list and a line after it go
+    assert pages.main_text(f"<article><p>{story}</p><p>It was so.</p><p>{story}</p></article><div>Shown to you</div><div><a href=a>More of this</a></div>") == want
+    assert pages.main_text(f"<main><p>{story}</p><p>It was so.</p><p>{story}</p><div><a href=a>Home</a> <a href=b>News</a></div><p>Buy now</p><div><a href=c>Next</a></div></main>") == want
+    # short lines of an article that outweighs what is around it
+    poem = "".join(f"<p>line {i} of it</p>" for i in range(200))
+    assert pages.main_text(f"<article>{poem}</article><div>{story}</div>").count("line ") == 200
+
+
 def test_sharding(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sharding.shard(docs, 8).toPandas()
