@@ -14,8 +14,6 @@ from quillmesh.llm.common import add_columns, read_table
 #: Characters of blocks: shorter ones are left to their neighbours, longer ones may be good by themselves.
 SHORT_CHARS, LONG_CHARS = 70, 200
 MAX_LINK_DENSITY, LOW_STOPWORDS, HIGH_STOPWORDS = 0.2, 0.10, 0.20
-#: A short block takes a label from decided blocks at most this many blocks away.
-REACH = 400
 
 # fixed values: frequent function words of the corpus languages
 STOPWORDS = frozenset(
@@ -161,7 +159,7 @@ def classify(blocks: list[Block]) -> list[Block]:
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
         density = b.link_chars / max(1, n)
-        if b.marked or density > MAX_LINK_DENSITY or "\xa9" in b.text:
+        if b.marked or density > MAX_LINK_DENSITY or "\xa9" in b.text and n < SHORT_CHARS and not b.scope:
             b.label = "bad"
         elif n < SHORT_CHARS:
             b.label = "short"
@@ -217,7 +215,7 @@ def _nearest(blocks: list[Block], decided: list[str], order: range, own: bool) -
         scope = b.scope if own else 0
         if label in ("near", "short"):
             k = last.get((scope, label))
-            if k is not None and abs(i - k) <= REACH:
+            if k is not None:
                 out[i] = "bad" if decided[k] == "bad" else "good", abs(i - k)
         if label == "near":
             last[scope, "short"] = i

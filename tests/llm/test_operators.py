@@ -317,6 +317,16 @@ def test_pages_weigh_article_elements(spark):
     assert pages.main_text(f"<article>{poem}</article><div>{story}</div>").count("line ") == 200
 
 
+def test_pages_reach_and_copyright_signs(spark):
+    story = "the story of a man and his dog that was in the house. " * 6
+    lines = "".join(f"<p>line {i} it was</p>" for i in range(3000))
+    assert pages.main_text(f"<p>{story}</p>{lines}<p>{story}</p>").count("line ") == 3000
+    assert pages.main_text(f"<p>{story}</p>{lines}").count("line ") == 3000
+    for page in (f"<article><p>{story}&copy; 1999 {story}</p><p>Photo &copy; A. B.</p><p>{story}</p></article>", f"<div><p>{story}&copy; 1999 {story}</p></div>"):
+        assert pages.main_text(page).count("\xa9") == page.count("&copy;")
+    assert "\xa9" not in pages.main_text(f"<p>{story}</p><p>&copy; x.example</p><p>{story}</p>")
+
+
 def test_sharding(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sharding.shard(docs, 8).toPandas()
