@@ -351,3 +351,108 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(after.collect(), after.schema)
         assert docs.count() > 50
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).selectExpr("sum(length)").first()[0] > 10_000
+
+
+def _hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _groups(n, links):
+    group = list(range(n))
+    for i, j in links:
+        group = [group[j] if x == group[i] else x for x in group]
+    return group
+
+
+def _plain_language(rows):
+    import corpus_pipeline
+
+    known = {(lang, t) for d, t, lang in rows if lang is not None and t is not None and not (d is not None and zlib.crc32(str(d).encode()) % 4 == 2)}
+    ranked = sorted((k, lang, t) for x in {lang for lang, _ in known} for k, (_, lang, t) in enumerate(sorted((_hash(t), lang, t) for lang, t in known if lang == x)[:300]))
+    model = language.fit([language.presence_bits(t) for _, _, t in ranked], [lang for _, lang, _ in ranked])
+    best = [language.predict(model, [t]) for _, t, _ in rows]
+    return [r for r, (label, score) in zip(rows, best, strict=True) if label[0] != "und" and score[0] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+
+
+def _plain_quality(text):
+    size = lambda w: len("".join(w.split()))
+    words = [w.decode() for w in text.encode().split()]
+    chars = sum(map(len, words))
+    covered = {}
+    for n in (3, 5, 6, 8, 10):
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        seen = Counter(grams)
+        covered[n] = {i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(n)}
+    again = sum((c - 1) * size(x) for x, c in Counter(text.split("\n")).items())
+    shares = all(100 * sum(len(words[i]) for i in covered[n]) <= limit * chars for n, limit in ((5, 40), (6, 36), (8, 32), (10, 28)))
+    return len(words) >= 50 and 100 * len(covered[3]) <= 50 * len(words) and 100 * again <= 30 * chars and shares
+
+
+def _plain_lines(rows):
+    places: dict = {}  # of each line, in order
+    for d, t, _ in rows:
+        for no, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                places.setdefault(line, set()).add((d is not None, d or 0, _hash(t), no))
+    lines_ = list(places)
+    counts = [Counter(x) for x in lines_]
+    may = ((i, j) for i in range(len(lines_)) for j in range(i) if abs(len(lines_[i]) - len(lines_[j])) <= 2 and min(len(lines_[i]), len(lines_[j])) >= 40)
+    links = [(i, j) for i, j in may if (counts[i] - counts[j]).total() <= 2 and (counts[j] - counts[i]).total() <= 2 and _edits(lines_[i], lines_[j]) <= 2]
+    first: dict = {}
+    group = _groups(len(lines_), links)
+    for x, g in zip(lines_, group, strict=True):
+        first[g] = min(first.get(g, min(places[x])), min(places[x]))
+    keep = {x: first[g] for x, g in zip(lines_, group, strict=True)}
+    stays = lambda d, t, no, line: not line.strip(" ") or keep[line] == (d is not None, d or 0, _hash(t), no)
+    return [(d, "\n".join(x for no, x in enumerate(t.split("\n")) if stays(d, t, no, x)), lang) for d, t, lang in rows], len(links)
+
+
+def _plain_near(rows):
+    sets = [_shingles(t) for _, t, _ in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    group = _groups(len(rows), close)
+    return [min((r for r, x in zip(rows, group, strict=True) if x == k), key=lambda r: (r[0] is None, r[0], _hash(r[1]))) for k in sorted(set(group))]
+
+
+def test_pipeline_matches_plain_python(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    raw = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id < 70 and length(text) < 8000").orderBy("doc_id").collect()]
+    good = [r for r in raw if r[1] and len(r[1].split()) > 120 and _plain_quality(r[1])]
+    assert len(good) >= 12
+    for k, (_, t, lang) in enumerate(good[:6]):  # near copies: a few words changed, all on lines that differ by more than two edits
+        words = t.replace("\n", " ").split(" ")
+        for i in rng.sample(range(len(words)), max(1, len(words) // 70)):
+            words[i] = f"changed{i}"
+        raw.append((1000 + k, " ".join(words), lang))
+    for k, (_, t, lang) in enumerate(good[6:9]):  # a near copy of a line, at the end of another text
+        line = max(t.split("\n"), key=len)
+        raw.append((1100 + k, " ".join(f"own{k}x{i} the" for i in range(80)) + "\n" + line[:20] + "x" + line[20:], lang))
+    raw += [good[9], (good[9][0], " ".join(f"the other{i} and" for i in range(60)), "en"), (None, " ".join(f"of nameless{i} in" for i in range(60)), "en")]
+    raw += [(1200, None, "en"), (1201, "", "fr"), (1202, "12 34 " * 60, "de"), (1203, "the same of it " * 60, "en")]
+    frame = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in raw], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    known = _plain_language(raw)
+    passed = [r for r in known if _plain_quality(r[1])]
+    cut, near_lines = _plain_lines(passed)
+    want = _plain_near(cut)
+    assert len(raw) > len(known) > len(passed) and near_lines and cut != passed and len(want) <= len(cut) - 3
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    left = [(d, np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")) for d, x, _ in want]
+    at = total = 0
+    pieces: list = []
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 2048 + r.offset == total and r.start == at
+        total, at, pieces = total + r.length, at + r.length, [*pieces, r]
+        if at == r.doc_tokens:
+            fits = [k for k, (d, ids) in enumerate(left) if d == r.doc_id and len(ids) == at and all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)]
+            assert fits, r
+            del left[fits[0]]
+            at, pieces = 0, []
+    assert not left and not pieces
