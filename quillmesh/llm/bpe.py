@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from quillmesh.llm.common import TOKEN_SLICE_BYTES, add_columns, doc_columns, read_table
+from quillmesh.llm.common import TOKEN_SLICE_BYTES, add_columns, doc_columns, read_table, worker_state
 from quillmesh.llm.wordcache import CACHE_WORDS, WordCache, split_ids
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -172,14 +172,12 @@ class Bpe:
         return b"".join([vocab[i] for i in ids.tolist()])
 
 
-_loaded: dict[tuple[str, str], tuple[Bpe, WordCache]] = {}
-
-
 def loaded(path: str, pattern: str) -> tuple[Bpe, WordCache]:
-    if (key := (path, pattern)) not in _loaded:
+    def make() -> tuple[Bpe, WordCache]:
         bpe = Bpe(path, pattern)
-        _loaded[key] = bpe, WordCache(bpe.encode_many, spaced=True)
-    return _loaded[key]
+        return bpe, WordCache(bpe.encode_many, spaced=True)
+
+    return worker_state((path, pattern), make)
 
 
 COLUMNS = [
@@ -201,7 +199,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         back = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
 
-    return add_columns(doc_columns(docs), "text", COLUMNS, work, drop_input=True, limit=TOKEN_SLICE_BYTES)
+    return add_columns(doc_columns(docs), "text", COLUMNS, work, drop_input=True, limit=TOKEN_SLICE_BYTES, state=(path, pattern))
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -217,7 +215,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(back)]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return add_columns(doc_columns(docs), "text", fields, work, drop_input=True, limit=TOKEN_SLICE_BYTES)
+    return add_columns(doc_columns(docs), "text", fields, work, drop_input=True, limit=TOKEN_SLICE_BYTES, state=(path, pattern))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +18,67 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from quillmesh.runtime import ship
 
 #: Text bytes that one call of a batch function gets at most, unless one text alone is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: The same for tokenizers: longer slices repeat more of their words.
-TOKEN_SLICE_BYTES = 12 << 20
+TOKEN_SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python, for both of which it is held whole.
+BATCH_BYTES = 8 << 20
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: What one Python worker keeps between tasks: the state of the operator that ran last in it, and no other's.
+_state: dict[Any, Any] = {}
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on, beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_state(key: Any, make: Callable[[], Any]) -> Any:
+    """The state that ``make`` builds, kept in this worker until another operator asks for its own."""
+    if key not in _state:
+        _state.clear()
+        trim()
+        _state[key] = make()
+    return _state[key]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: Any = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``: it starts without other operators' state (but that of ``key``) and ends by :func:`trim`."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _state:
+            _state.clear()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches by BATCH_BYTES where the session allows more."""
+    ship(spark)
+    held = spark.conf.get(_BATCH, None)
+    if held is None or not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session takes a temporary folder; on a cluster that would be one machine's own, so it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -40,10 +92,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_staged(df: DataFrame | None) -> None:
+    """Remove a staged table that nothing reads any more."""
+    path = getattr(df, "_qm_path", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
 def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    The write's shuffle files go when it ends, since nothing reads them again.
+    The write's shuffle files go when it ends, since nothing reads them again; the table goes when the session ends
+    or by :func:`drop_staged`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh-{name}-{uuid.uuid4().hex}"
@@ -54,7 +114,9 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._qm_path = path
+    return back
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -79,13 +141,15 @@ def add_columns(
     drop_input: bool = False,
     limit: int = SLICE_BYTES,
     keep: str | None = None,
+    state: Any = None,
 ) -> DataFrame:
     """Append ``fields`` computed by ``work`` from Arrow slices of ``df``.
 
     ``drop_input`` leaves ``column`` out of the result. ``keep`` names an appended boolean field: only rows
     where it is true pass, and no appended field is returned. Appended names must not be among the input's.
+    ``state`` is the key of the worker's state that ``work`` uses.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     kept = [f for f in df.schema.fields if not (drop_input and f.name == column)]
     out = T.StructType(kept if keep else kept + fields)
     names = [f.name for f in fields]
@@ -101,12 +165,12 @@ def add_columns(
                 else:
                     yield pa.RecordBatch.from_arrays(base + made, [f.name for f in kept] + names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run, state), out)
 
 
 def doc_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone, under fixed names, so that extra columns can't clash."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillmesh.llm.common import TOKEN_SLICE_BYTES, doc_columns, partition_offsets, read_table, slices, stage_table
+from quillmesh.llm.common import TOKEN_SLICE_BYTES, doc_columns, partition_offsets, read_table, slices, stage_table, tidy
 from quillmesh.llm.wordcache import split_ids, tokenizer_cache
 
 SEQUENCE, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k.json"
@@ -33,7 +33,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "part", "part_start")] + [T.StructField("ids", T.BinaryType())])
-    return doc_columns(docs).mapInArrow(run, schema)
+    return doc_columns(docs).mapInArrow(tidy(run, (tokenizer, True, "<u4")), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -72,8 +72,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, en
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
+    """:func:`pack` without the ids themselves; nulls, repeats and empty tables as there."""
     return pack(docs).drop("ids")
 
 
 def op4_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, null texts as their end id alone."""
     return piece_digests(read_table(spark, sf_dir, "documents"))

@@ -13,13 +13,16 @@ NGRAM_LIMITS = {5: 40, 6: 36, 8: 32, 10: 28}
 #: Highest share, in percent, of word characters inside lines that repeat an earlier line.
 LINE_LIMIT = 30
 MIN_WORDS, MAX_REPEAT = 50, 50
-SYMBOLS = b"[#*$%&|<>]"[1:-1]
+SYMBOLS = b"#*$%&|<>"
 
 _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Texts of one call hold about this many bytes; powers are kept up to that.
+SLICE = 1 << 19
+KEPT_POWERS = SLICE + (1 << 16)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 COLUMNS = [
@@ -36,12 +39,16 @@ COLUMNS = [
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _powers[name] = np.cumprod(step, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+    """Powers of the base and of its inverse. They are kept for a slice's length; a longer text makes its own for once."""
+    up, down = _powers["up"], _powers["down"]
+    if len(up) < n:
+        up, down = (np.full(max(n, KEPT_POWERS), base, np.uint64) for base in (_BASE, _INVERSE))
+        for x in (up, down):
+            x[0] = 1
+            np.cumprod(x, dtype=np.uint64, out=x)
+        if n <= KEPT_POWERS:
+            _powers["up"], _powers["down"] = up, down
+    return up[:n], down[:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,14 +76,16 @@ def repetition(texts: list[str | None]) -> dict[str, np.ndarray]:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.array([len(x) + 1 for x in raw], np.int64)
     ends = np.cumsum(lengths)
-    starts, n_docs = ends - lengths, len(raw)
+    n_docs = len(raw)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     up, down = _power(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64, out=prefix[1:])
-    heads = np.zeros(len(data) + 1, np.int64)
+    np.take(_BYTE, data, out=prefix[1:])
+    prefix[1:] *= up[:-1]
+    np.cumsum(prefix, dtype=np.uint64, out=prefix)
+    heads = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    np.cumsum(((data & 0xC0) != 0x80) & ~blank, out=heads[1:])
+    np.cumsum(((data & 0xC0) != 0x80) & ~blank, out=heads[1:], dtype=heads.dtype)
     edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
     w_start, w_end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     w_doc = np.searchsorted(ends, w_start, side="right")
@@ -87,19 +96,19 @@ def repetition(texts: list[str | None]) -> dict[str, np.ndarray]:
     def per_doc(docs: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         if weights is None:
             return np.bincount(docs, minlength=n_docs).astype(np.int64)
-        sums = np.concatenate(([0], np.cumsum(weights)))
+        sums = np.concatenate(([0], np.cumsum(weights, dtype=np.int64)))
         edges = np.searchsorted(docs, np.arange(n_docs + 1))
         return sums[edges[1:]] - sums[edges[:-1]]
 
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    symbols = np.concatenate(([0], np.cumsum(symbol[data])))
+    symbols = np.searchsorted(ends, np.flatnonzero(symbol[data]), side="right")
     salt = _mix(np.arange(1, n_docs + 1, dtype=np.uint64) * _STEP)
     words, chars = hashed(w_start, w_end), heads[w_end] - heads[w_start]
     out = {
         "n_words": per_doc(w_doc),
         "word_chars": per_doc(w_doc, chars),
-        "n_symbols": symbols[ends] - symbols[starts],
+        "n_symbols": per_doc(symbols),
     }
 
     l_end = np.flatnonzero(data == 0x0A)
@@ -122,10 +131,8 @@ def repetition(texts: list[str | None]) -> dict[str, np.ndarray]:
             whole = np.flatnonzero(w_doc[: len(rolling)] == w_doc[size - 1 :])
             twice, _ = _repeated(_mix(rolling[whole]) ^ salt[w_doc[whole]])
             hits = whole[twice]
-            marks = np.zeros(len(words) + 1, np.int64)
-            np.add.at(marks, hits, 1)
-            np.add.at(marks, hits + size, -1)
-            covered = np.cumsum(marks[:-1]) > 0
+            for k in range(size):
+                covered[hits + k] = True
         if size == 3:
             out["n_repeat_words"] = per_doc(w_doc, covered.astype(np.int64))
         if size in NGRAM_LIMITS:
@@ -152,15 +159,16 @@ def quality_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A null or blank text has no words, so base_failed is true. Other columns are not read.
     """
-    return add_columns(doc_columns(docs, key, text), "text", COLUMNS, _work("text"), drop_input=True)
+    return add_columns(doc_columns(docs, key, text), "text", COLUMNS, _work("text"), drop_input=True, limit=SLICE)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes the rules; a null text does not."""
-    return add_columns(docs, text, COLUMNS, _work(text), keep="kept")
+    return add_columns(docs, text, COLUMNS, _work(text), keep="kept", limit=SLICE)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; null texts fail, repeated ids keep a row each."""
     return quality_columns(read_table(spark, sf_dir, "documents"))
 
 
