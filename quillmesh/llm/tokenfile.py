@@ -1,13 +1,15 @@
 """Operator 2, token ids in a binary file: an adaptive context-mixing range coder over independent blocks.
 
-A file row is a run of whole documents: their ids and lengths, and blocks of at most BLOCK ids. Every block starts
-from an empty model and carries the CRC-32 of its ids. Blocks don't depend on each other, so all blocks of a run are
-coded in step, one id of each at a time, in numpy: the model's tables and the coder's registers are arrays over blocks.
-
-Model of a block: order-2 and order-1 contexts (hashed) and order 0 each predict one id, with a confidence. Two
-flags say whether the id is the order-2 (else order-1, else order-0) prediction; the chance of a hit mixes adaptive
-estimates of all three orders in the logistic domain with learned weights. An id that no order predicts is coded by
-its two highest nibbles under adaptive order-0 counts, its lowest eight bits plainly.
+A file row is a run of whole documents: their ids and lengths, a prior, and blocks of at most BLOCK ids. The prior holds
+the run's order-0 counts and its frequent order-1 pairs; it is the state to which every block resets. A block
+carries the CRC-32 of its ids and needs the prior alone to be decoded. Since blocks don't depend on each other, all blocks of
+a run are coded in step, one id of each at a time, in numpy: coder registers and adaptive state are arrays over blocks.
+
+Each id is one step of the range coder. Its distribution is a mix of three: order 0, order 1 (a row for the id before), and
+order 2 (what followed the two ids before the last time in this block, by a hashed table). The weights belong to a block
+and a confidence of order 2; after each id they move to the shares that the three orders had in its probability. All
+three are cumulative tables over the same order of ids, so the mix of tables is the table of the mix, and the decoder finds
+an id by binary search in it. Weights are float32 under IEEE operations alone, so every machine computes the same.
 """
 
 from __future__ import annotations
@@ -20,234 +22,296 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillmesh.llm.common import TOKEN_SLICE_BYTES, doc_columns, partition_offsets, read_table, slices, stage_table
+from quillmesh.llm.common import TOKEN_SLICE_BYTES, doc_columns, partition_offsets, read_table, slices, stage_table, tidy
 from quillmesh.llm.wordcache import tokenizer_cache
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-BLOCK = 1024
-#: Ids of one file row, unless one document has more.
-RUN_IDS = 2 << 20
-CONTEXTS = 1024
-MAGIC = b"QMX1"
+#: Ids of a block (2**16 at most), and of one file row unless one document has more. Ids are below 2**16.
+BLOCK, RUN_IDS = 2048, 8 << 20
+MAGIC = b"QMX2"
+#: Cells of the order-1 table, which has a row for each of the most frequent ids; the others share order 0's.
+CELLS = 8 << 20
+#: Order-1 pairs that occur less often in a run are not worth their bytes in the prior.
+LEAST_PAIR = 3
+#: Slots of a block's order-2 table.
+SLOTS = 1024
 _U = np.uint64
-_TOP, _LOW, _MASK = _U(1 << 32), _U(1 << 16), _U((1 << 48) - 1)
-_STRETCH = np.log(np.maximum(np.arange(4097), 0.5) / np.maximum(4096 - np.arange(4097), 0.5)).astype(np.float32)
+#: Totals of order 0 (and of the mix, before weights), of order 1, and of the weights, in bits.
+_T0, _T1, _TW = 17, 15, 12
+_TOTAL = _T0 + _TW
+_RATE, _ROOM = np.float32(0.02), np.float32(0.98)
+_START = (np.float32(0.78), np.float32(0.08))  # weights of order 1 and order 2
+
+
+def _share(counts: np.ndarray, total: int, least: int) -> np.ndarray:
+    """Integers in proportion to ``counts`` that sum to ``total``; ``least`` at least where a count is positive."""
+    out = np.where(counts > 0, least + counts * (total - least * int((counts > 0).sum())) // max(1, int(counts.sum())), 0)
+    out[int(counts.argmax())] += total - int(out.sum())
+    return out
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts in half octaves, as bytes of the prior."""
+    return np.searchsorted(_LEVELS, counts, side="right").astype(np.uint8) - 1
+
+
+_LEVELS = np.array(sorted({1 << k for k in range(40)} | {3 << k for k in range(39)}), np.int64)
+
+
+class Prior:
+    """Tables of a run over its distinct ids ``vocab``: cumulative order-0 frequencies and order-1 rows."""
+
+    def __init__(self, vocab: np.ndarray, counts: np.ndarray, sizes: np.ndarray, after: np.ndarray, level: np.ndarray):
+        self.vocab, n = vocab, len(vocab)
+        base = _share(counts.astype(np.int64), 1 << _T0, 1)
+        self.zero = np.concatenate(([0], np.cumsum(base))).astype(np.int64)
+        rows = np.zeros((len(sizes) + 1, n + 1), np.uint16)
+        ends = np.cumsum(sizes)
+        for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+            line = np.zeros(n, np.int64)
+            if size:
+                line[after[end - size : end]] = _share(_LEVELS[level[end - size : end]], 1 << _T1, 1)
+            else:
+                line = base >> (_T0 - _T1)
+            np.cumsum(line, out=rows[k, 1:], dtype=np.uint16)
+        np.cumsum(base >> (_T0 - _T1), out=rows[-1, 1:], dtype=np.uint16)
+        self.one = rows.ravel()
+        # the rows of contexts: those of the most frequent ids, in the order of their counts
+        self.row = np.full(n, len(sizes), np.int64)
+        self.row[np.argsort(-counts, kind="stable")[: len(sizes)]] = np.arange(len(sizes))
+        self.row *= n + 1
+        self.none = len(sizes) * (n + 1)
+
+    @staticmethod
+    def parts(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids that occur, their counts, pairs of each context row, and the pairs' later ids and levels."""
+        counts = np.bincount(ids, minlength=1)
+        vocab = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int32)
+        place[vocab] = np.arange(len(vocab))
+        counts, n = counts[vocab], len(vocab)
+        rows = min(n, max(1, CELLS // (n + 1)))
+        rank = np.full(n, rows, np.int64)
+        rank[np.argsort(-counts, kind="stable")[:rows]] = np.arange(rows)
+        at = place[ids]
+        pairs = np.bincount((rank * n)[at[:-1]] + at[1:], minlength=rows * n)[: rows * n] if len(ids) > 1 else np.zeros(rows * n, np.int64)
+        kept = np.flatnonzero(pairs >= LEAST_PAIR)
+        return vocab, counts, np.bincount(kept // n, minlength=rows), kept % n, _level(pairs[kept])
+
+    @staticmethod
+    def pack(vocab: np.ndarray, counts: np.ndarray, sizes: np.ndarray, after: np.ndarray, level: np.ndarray) -> bytes:
+        """The prior as bytes; ids of a row ascend, so their differences are stored."""
+        steps = np.diff(after, prepend=0)
+        steps[np.cumsum(sizes)[:-1][sizes[1:] > 0]] = after[np.cumsum(sizes)[:-1][sizes[1:] > 0]] if len(after) else 0
+        head = np.array([len(vocab), len(sizes), len(after)], "<u4").tobytes()
+        body = [np.diff(vocab, prepend=0).astype("<u2"), counts.astype("<u4"), sizes.astype("<u2"), steps.astype("<u2"), level]
+        # bytes of one weight stand together: they are alike
+        planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for x in body]
+        return zlib.compress(head + b"".join(planes), 9)
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Prior:
+        data = zlib.decompress(raw)
+        n, rows, pairs = np.frombuffer(data[:12], "<u4").tolist()
+        out, at = [], 12
+        for size, kind in ((n, "<u2"), (n, "<u4"), (rows, "<u2"), (pairs, "<u2"), (pairs, "u1")):
+            width = np.dtype(kind).itemsize
+            plane = np.frombuffer(data[at : at + size * width], np.uint8).reshape(width, size).T
+            out.append(np.ascontiguousarray(plane).view(kind).reshape(size))
+            at += size * width
+        vocab, counts, sizes, steps, level = out
+        sizes = sizes.astype(np.int64)
+        run = np.cumsum(steps.astype(np.int64))
+        starts = np.cumsum(sizes) - sizes
+        before = np.concatenate(([0], run))[starts]  # of the row's start
+        return cls(np.cumsum(vocab.astype(np.int64)), counts.astype(np.int64), sizes, run - np.repeat(before, sizes), level)
 
 
 class _Encoder:
-    """Range coder registers of many blocks: 48-bit low, range of at least 2**16, 16-bit words out."""
+    """64-bit low and range of many blocks; 32-bit words come out, carries are added to them at the end."""
 
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
-        self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        self.carry = np.zeros(lanes, bool)  # to be added to the word that came out last
+        self.events: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def code(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the ranges of the first ``n`` blocks to [start, start + size) of 2**_TOTAL."""
+        low, wide = self.low[:n], self.range[:n]
+        wide >>= _U(_TOTAL)
+        more = low + wide * start.view(_U)
+        self.carry[:n] |= more < low
+        low[:] = more
+        wide *= size.view(_U)
+        out = np.flatnonzero(wide < _U(1 << 32))
+        if len(out):
+            self._put(out)
+            wide[out] <<= _U(32)
 
     def _put(self, i: np.ndarray) -> None:
-        self.out[i, self.at[i]] = (self.low[i] >> _U(32)).astype(np.uint16)
-        self.at[i] += 1
-        self.low[i] = (self.low[i] << _U(16)) & _MASK
-        self.range[i] = self.range[i] << _U(16)
-
-    def code(self, i: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """Narrow the range of blocks ``i`` to [start, start + size) of 2**bits."""
-        step = self.range[i] >> _U(bits)
-        self.low[i] += step * start.astype(_U)
-        self.range[i] = step * size.astype(_U)
-        while len(i):
-            low, wide = self.low[i], self.range[i]
-            settled = (low ^ (low + wide - _U(1))) < _TOP
-            short = ~settled & (wide < _LOW)
-            if short.any():
-                j = i[short]
-                self.range[j] = _LOW - (self.low[j] & (_LOW - _U(1)))
-            i = i[settled | short]
-            if len(i):
-                self._put(i)
+        self.events.append((i.astype(np.int32), (self.low[i] >> _U(32)).astype(np.uint32), self.carry[i]))
+        self.low[i] <<= _U(32)
+        self.carry[i] = False
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(3):
-            self._put(every)
-        return [self.out[k, :n].tobytes() for k, n in enumerate(self.at.tolist())]
+        self._put(every)
+        self._put(every)
+        lanes, words, carries = (np.concatenate(x) for x in zip(*self.events, strict=True))
+        order = np.argsort(lanes, kind="stable")
+        value = words[order].astype(_U)
+        value[:-1] += carries[order][1:]  # a block's first word never gets one from the next block
+        while (over := value >> _U(32)).any():
+            value &= _U((1 << 32) - 1)
+            value[:-1] += over[1:]
+        raw, ends = value.astype("<u4"), np.cumsum(np.bincount(lanes, minlength=len(every)))
+        return [x.tobytes() for x in np.split(raw, ends[:-1])]
 
 
 class _Decoder:
     def __init__(self, coded: list[bytes]):
-        lanes, room = len(coded), max(len(x) for x in coded) // 2 + 4
-        self.words = np.zeros((lanes, room), np.uint16)
-        for k, x in enumerate(coded):
-            self.words[k, : len(x) // 2] = np.frombuffer(x, np.uint16)
-        self.at = np.full(lanes, 3, np.int64)
-        w = self.words.astype(_U)
-        self.value = w[:, 0] << _U(32) | w[:, 1] << _U(16) | w[:, 2]
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
-
-    def peek(self, i: np.ndarray, bits: int) -> np.ndarray:
-        return np.minimum((self.value[i] - self.low[i]) // (self.range[i] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
-
-    def code(self, i: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = self.range[i] >> _U(bits)
-        self.low[i] += step * start.astype(_U)
-        self.range[i] = step * size.astype(_U)
-        while len(i):
-            low, wide = self.low[i], self.range[i]
-            settled = (low ^ (low + wide - _U(1))) < _TOP
-            short = ~settled & (wide < _LOW)
-            if short.any():
-                j = i[short]
-                self.range[j] = _LOW - (self.low[j] & (_LOW - _U(1)))
-            i = i[settled | short]
-            if len(i):
-                at = np.minimum(self.at[i], self.words.shape[1] - 1)
-                self.value[i] = ((self.value[i] << _U(16)) & _MASK) | self.words[i, at]
-                self.at[i] += 1
-                self.low[i] = (self.low[i] << _U(16)) & _MASK
-                self.range[i] = self.range[i] << _U(16)
-
-
-class _Model:
-    """Tables of ``lanes`` blocks, all empty."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.every = lanes, np.arange(lanes)
-        self.base = self.every * CONTEXTS
-        self.guess = [np.zeros(lanes * CONTEXTS, np.uint16) for _ in range(2)]  # order 1, order 2
-        self.trust = [np.zeros(lanes * CONTEXTS, np.uint8) for _ in range(2)]
-        self.last0, self.trust0 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint8)
-        # chance of a hit by flag, order and (confidence, agreement)
-        self.hit = np.full((2, 3, lanes, 16), 1024, np.int32)
-        self.weight = np.full((2, 3, lanes), 0.4, np.float32)
-        self.high = np.full((lanes, 16), 256, np.int32)  # nibble counts; they sum to 4096 at all times
-        self.mid = np.full((lanes, 16, 16), 256, np.int32)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def guesses(self, i: np.ndarray) -> None:
-        self.slot = [
-            self.base[i] + ((self.one[i] * 0x9E3B) >> 3 & (CONTEXTS - 1)),
-            self.base[i] + ((self.one[i] * 0x9E3B + self.two[i] * 0x1F35B) >> 3 & (CONTEXTS - 1)),
-        ]
-        self.g1, self.g2 = (self.guess[k][self.slot[k]].astype(np.int64) for k in (0, 1))
-        self.t1, self.t2 = (self.trust[k][self.slot[k]].astype(np.int64) for k in (0, 1))
-        self.g0, self.t0 = self.last0[i], self.trust0[i].astype(np.int64)
-        # first flag: order 2 if it has been seen, else order 1, else order 0; second flag: the next other guess
-        self.first = np.where(self.t2 > 0, self.g2, np.where(self.t1 > 0, self.g1, self.g0))
-        self.second = np.where((self.t1 > 0) & (self.g1 != self.first), self.g1, self.g0)
-
-    def chance(self, flag: int, i: np.ndarray, sub: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        """Chance, of 4096, that the id is ``guess``."""
-        state = [t[sub] * 4 + 2 * (g[sub] == guess) + (self.t2[sub] > 1) for t, g in ((self.t0, self.g0), (self.t1, self.g1), (self.t2, self.g2))]
-        self.cell = [(flag, k, i, state[k]) for k in range(3)]
-        self.input = [_STRETCH[self.hit[c]] for c in self.cell]
-        dot = sum(self.weight[flag, k, i] * self.input[k] for k in range(3))
-        self.mixed = (1 / (1 + np.exp(-np.clip(dot, -8, 8)))).astype(np.float32)
-        return np.clip((self.mixed * 4096).astype(np.int64), 32, 4064)
-
-    def learn_flag(self, flag: int, i: np.ndarray, bit: np.ndarray) -> None:
-        error = bit.astype(np.float32) - self.mixed
-        for k, c in enumerate(self.cell):
-            self.weight[flag, k, i] += np.float32(0.02) * error * self.input[k]
-            p = self.hit[c]
-            self.hit[c] = p + (np.where(bit, 4095 - p, -p) >> 4)
-
-    @staticmethod
-    def spread(counts: np.ndarray) -> np.ndarray:
-        return np.cumsum(counts, axis=1) - counts
-
-    @staticmethod
-    def learn_nibble(counts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Move an eighth of each count above 16 to the symbol; the sum stays."""
-        taken = (counts - 16) >> 3
-        new = counts - taken
-        new[np.arange(len(symbol)), symbol] += taken.sum(axis=1)
-        return new
-
-    def learn(self, i: np.ndarray, ids: np.ndarray) -> None:
-        for k, guess in ((0, self.g1), (1, self.g2)):
-            slot, right = self.slot[k], guess == ids
-            trust = self.trust[k][slot]
-            self.trust[k][slot] = np.where(right, np.minimum(trust + 1, 3), np.where(trust > 1, trust - 1, 1))
-            self.guess[k][slot] = np.where(right | (trust > 1), guess, ids)
-        right = self.g0 == ids
-        self.trust0[i] = np.where(right, np.minimum(self.t0 + 1, 3), np.maximum(self.t0 - 1, 0))
-        self.last0[i] = np.where(self.t0 > 0, self.g0, ids)
-        self.two[i], self.one[i] = self.one[i], ids
-
-
-def _flag(coder, model: _Model, flag: int, i: np.ndarray, sub: np.ndarray, guess: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    p = model.chance(flag, i, sub, guess)
-    bit = ids == guess if ids is not None else coder.peek(i, 12) < p
-    coder.code(i, np.where(bit, 0, p), np.where(bit, p, 4096 - p), 12)
-    model.learn_flag(flag, i, bit)
-    return bit
-
-
-def _nibble(coder, i: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    edges = _Model.spread(counts)
-    if symbol is None:
-        symbol = (edges <= coder.peek(i, 12)[:, None]).sum(axis=1) - 1
-    line = np.arange(len(i))
-    coder.code(i, edges[line, symbol], counts[line, symbol], 12)
-    return symbol, _Model.learn_nibble(counts, symbol)
-
-
-def _steps(coder, lengths: np.ndarray, ids: np.ndarray | None, out: np.ndarray) -> None:
-    """Code all blocks in step; ``ids`` is None when decoding. Blocks come longest first."""
-    model = _Model(len(lengths))
-    for t in range(int(lengths.max()) if len(lengths) else 0):
-        i = model.every[: int(np.searchsorted(-lengths, -t, side="left"))]
-        now = ids[i, t].astype(np.int64) if ids is not None else None
-        model.guesses(i)
-        bit = _flag(coder, model, 0, i, i, model.first, now)
-        made = np.where(bit, model.first, 0)
-        j = i[~bit]
-        other = j[model.second[j] != model.first[j]]
-        if len(other):
-            hit = _flag(coder, model, 1, other, other, model.second[other], None if now is None else now[other])
-            made[other[hit]] = model.second[other[hit]]
-            done = np.zeros(len(i), bool)
-            done[other[hit]] = True
-            j = j[~done[j]]
-        if len(j):
-            high, model.high[j] = _nibble(coder, j, model.high[j], None if now is None else now[j] >> 12)
-            mid, model.mid[j, high] = _nibble(coder, j, model.mid[j, high], None if now is None else now[j] >> 8 & 15)
-            low = coder.peek(j, 8) if now is None else now[j] & 255
-            coder.code(j, low, np.ones(len(j), np.int64), 8)
-            made[j] = high << 12 | mid << 8 | low
-        model.learn(i, made)
-        out[i, t] = made
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Blocks of ``ids`` (below 2**16), each: magic, number of ids, their CRC-32, coded words."""
+        words = [np.frombuffer(x, "<u4") for x in coded]
+        sizes = np.array([len(w) for w in words])
+        # two words more, for the reads that no id follows
+        self.words = np.concatenate([*words, np.zeros(2, "<u4")]).astype(_U)
+        self.at = np.cumsum(sizes) - sizes
+        self.value = self.words[self.at] << _U(32) | self.words[self.at + 1]
+        self.at = self.at + 2
+        self.range = np.full(len(coded), (1 << 64) - 1, _U)
+
+    def peek(self, n: int) -> np.ndarray:
+        self.range[:n] >>= _U(_TOTAL)
+        return np.minimum(self.value[:n] // self.range[:n], _U((1 << _TOTAL) - 1)).view(np.int64)
+
+    def code(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        value, wide = self.value[:n], self.range[:n]
+        value -= wide * start.view(_U)
+        wide *= size.view(_U)
+        out = np.flatnonzero(wide < _U(1 << 32))
+        if len(out):
+            at = np.minimum(self.at[out], len(self.words) - 1)
+            value[out] = value[out] << _U(32) | self.words[at]
+            wide[out] <<= _U(32)
+            self.at[out] += 1
+
+
+class _Mix:
+    """Adaptive state of ``lanes`` blocks, reset to the prior."""
+
+    def __init__(self, prior: Prior, lanes: int):
+        self.prior, self.lanes = prior, np.arange(lanes)
+        self.weight = [np.full(4 * lanes, w, np.float32) for w in _START]  # by confidence and block
+        self.guess, self.trust = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint8)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.row = np.full(lanes, prior.none, np.int64)
+
+    def look(self, n: int) -> None:
+        """Weights and guesses for the next id of the first ``n`` blocks."""
+        self.slot = self.lanes[:n] * SLOTS + (((self.last[:n] * 0x9E3B + self.before[:n] * 0x1F35B) >> 3) & (SLOTS - 1))
+        self.two, self.sure = self.guess[self.slot].astype(np.int64), self.trust[self.slot]
+        self.cell = self.sure * np.int64(len(self.lanes)) + self.lanes[:n]
+        self.w = [w[self.cell] for w in self.weight]
+        self.w1 = (self.w[0] * np.float32(1 << _TW)).astype(np.int64)
+        w2 = np.where(self.sure > 0, self.w[1] * np.float32(1 << _TW), 0).astype(np.int64)
+        self.w0 = (1 << _TW) - self.w1 - w2
+        self.w1 <<= _T0 - _T1
+        self.bump = w2 << _T0
+
+    def _edge(self, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cumulative frequency below ``ids`` in orders 0 and 1 mixed, and the weighted frequencies of the two."""
+        zero, one, at = self.prior.zero, self.prior.one, self.row[:n] + ids
+        c0, c1 = zero[ids], one[at].astype(np.int64)
+        return self.w0 * c0 + self.w1 * c1, self.w0 * (zero[ids + 1] - c0), self.w1 * (one[at + 1] - c1)
+
+    def find(self, n: int, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals ``value`` lies."""
+        low, p0, p1 = self._edge(n, self.two)
+        high = low + p0 + p1
+        value = np.where(value < low, value, np.where(value < high + self.bump, low, value - self.bump))
+        zero, one, row, w0, w1 = self.prior.zero, self.prior.one, self.row[:n], self.w0, self.w1
+        at, left = np.zeros(n, np.int64), len(self.prior.vocab)
+        while left > 1:
+            half = left >> 1
+            mid = at + half
+            c = zero.take(mid)
+            c *= w0
+            mid += row
+            c += one.take(mid) * w1
+            at += (c <= value) * np.int64(half)
+            left -= half
+        return at
+
+    def interval(self, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, self.p0, self.p1 = self._edge(n, ids)
+        self.hit = self.two == ids
+        start += np.where(ids > self.two, self.bump, 0)
+        self.p2 = self.bump * self.hit
+        return start, self.p0 + self.p1 + self.p2
+
+    def learn(self, n: int, ids: np.ndarray, size: np.ndarray) -> None:
+        scale = _ROOM / size.astype(np.float32)
+        for k, part in enumerate((self.p1, self.p2)):
+            w = self.w[k]
+            w += _RATE * (part.astype(np.float32) * scale - w)
+            self.weight[k][self.cell] = w
+        sure = self.sure
+        self.trust[self.slot] = np.where(self.hit & (sure > 0), np.minimum(sure + 1, 3), np.where(sure > 1, sure - 1, 1))
+        self.guess[self.slot] = np.where(sure > 1, self.two, ids)
+        self.before[:n], self.last[:n] = self.last[:n], ids
+        self.row[:n] = self.prior.row[ids]
+
+
+def _steps(coder: _Encoder | _Decoder, prior: Prior, lengths: np.ndarray, ids: np.ndarray) -> None:
+    """Code all blocks in step, the longest first; ``ids`` (places in the vocabulary, by step and block) are read or made."""
+    mix, decoding = _Mix(prior, len(lengths)), isinstance(coder, _Decoder)
+    for t in range(int(lengths[0])):
+        n = int(np.searchsorted(-lengths, -t, side="left"))
+        mix.look(n)
+        now = mix.find(n, coder.peek(n)) if decoding else ids[t, :n].astype(np.int64)
+        start, size = mix.interval(n, now)
+        coder.code(n, start, size)
+        mix.learn(n, now, size)
+        if decoding:
+            ids[t, :n] = now
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
+    """(prior, blocks) of ``ids`` (below 2**16); a block is: magic, number of ids, their CRC-32, coded words."""
     n = -(-len(ids) // block)
     if not n:
-        return []
+        return b"", []
+    parts = Prior.parts(ids)
+    raw = Prior.pack(*parts)
+    place = np.zeros(1 << 16, np.uint16)
+    place[parts[0]] = np.arange(len(parts[0]))
     grid = np.zeros((n, block), np.uint16)
-    grid.ravel()[: len(ids)] = ids
+    grid.ravel()[: len(ids)] = place[ids]
     lengths = np.full(n, block)
     lengths[-1] = len(ids) - (n - 1) * block
-    coder = _Encoder(n, block * 3 + 8)
-    _steps(coder, lengths, grid, np.zeros_like(grid))
-    return [
-        MAGIC + np.array([k, zlib.crc32(row[:k].astype("<u4").tobytes())], "<u4").tobytes() + coded
-        for k, row, coded in zip(lengths.tolist(), grid, coder.finish(), strict=True)
-    ]
+    coder = _Encoder(n)
+    _steps(coder, Prior.unpack(raw), lengths, np.ascontiguousarray(grid.T))
+    sums = [zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(n)]
+    return raw, [MAGIC + np.array([k, c], "<u4").tobytes() + coded for k, c, coded in zip(lengths.tolist(), sums, coder.finish(), strict=True)]
 
 
-def decode_blocks(blocks: list[bytes]) -> np.ndarray:
+def decode_blocks(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks in a row; a block whose ids don't fit its checksum raises ValueError."""
     if not blocks:
         return np.zeros(0, np.uint16)
     heads = [np.frombuffer(b[4:12], "<u4").tolist() for b in blocks]
     lengths = np.array([h[0] for h in heads])
+    if any(b[:4] != MAGIC for b in blocks) or not len(lengths) or lengths.min() < 1 or lengths.max() > 1 << 16:
+        raise ValueError("a token block is damaged")
     order = np.argsort(-lengths, kind="stable")
-    coder = _Decoder([blocks[k][12:] for k in order])
-    out = np.zeros((len(blocks), int(lengths.max())), np.uint16)
-    _steps(coder, lengths[order], None, out)
+    known = Prior.unpack(prior)
+    out = np.zeros((int(lengths.max()), len(blocks)), np.uint16)
+    _steps(_Decoder([blocks[k][12:] for k in order]), known, lengths[order], out)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    rows = [out[back[k], : lengths[k]] for k in range(len(blocks))]
-    for b, h, row in zip(blocks, heads, rows, strict=True):
-        if b[:4] != MAGIC or zlib.crc32(row.astype("<u4").tobytes()) != h[1]:
+    lines = np.ascontiguousarray(out.T)
+    rows = [known.vocab[lines[back[k], : lengths[k]]].astype(np.uint16) for k in range(len(blocks))]
+    for h, row in zip(heads, rows, strict=True):
+        if zlib.crc32(row.astype("<u4").tobytes()) != h[1]:
             raise ValueError("a token block is damaged")
     return np.concatenate(rows)
 
@@ -259,6 +323,7 @@ RUN = T.StructType(
         T.StructField("n_ids", T.LongType()),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("counts", T.ArrayType(T.LongType())),
+        T.StructField("prior", T.BinaryType()),
         T.StructField("blocks", T.ArrayType(T.BinaryType())),
     ]
 )
@@ -266,8 +331,8 @@ RUN = T.StructType(
 
 def _rows(part: int, at: int, docs: list, counts: list[int], ids: list[bytes]) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), "<u2")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-    values = [part, at, len(flat), docs, counts, encode_blocks(flat)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+    values = [part, at, len(flat), docs, counts, *encode_blocks(flat)]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], RUN.fieldNames())
 
 
@@ -275,7 +340,8 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     """Encode documents in ascending doc_id order (null ids first) and write the file rows; the table that is read back.
 
     Range partitions keep the order; ``part`` is a partition's place and ``part_start`` the ids before a row in it.
-    A null or empty text has its end id alone.
+    A null or empty text has its end id alone. Rows that share one id, or none, share a task. The ids of ``tokenizer``
+    must be below 2**16.
     """
     import public_tokenizers
 
@@ -301,7 +367,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
             yield _rows(part, at, docs_, counts, ids)
 
     ordered = doc_columns(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stage_table(ordered.mapInArrow(run, RUN), "token-file", "uncompressed")
+    return stage_table(ordered.mapInArrow(tidy(run, (path, False, "<u2")), RUN), "token-file", "uncompressed")
 
 
 def read_tokens(rows: DataFrame) -> DataFrame:
@@ -311,7 +377,7 @@ def read_tokens(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = decode_blocks(row["blocks"]).astype("<u4").tobytes()
+                raw = decode_blocks(row["prior"], row["blocks"]).astype("<u4").tobytes()
                 counts = np.array(row["counts"], np.int64)
                 ends = np.cumsum(counts)
                 starts = row["part_start"] + ends - counts
@@ -323,10 +389,11 @@ def read_tokens(rows: DataFrame) -> DataFrame:
 
     totals = rows.groupBy("part").agg(F.sum("n_ids").alias("total"))
     offsets = partition_offsets(totals, "part", "total")
-    docs = rows.mapInArrow(run, schema).join(F.broadcast(offsets), "part")  # a row for each task that wrote
+    docs = rows.mapInArrow(tidy(run), schema).join(F.broadcast(offsets), "part")  # a row for each task that wrote
     return docs.select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids that the written file gives back, a row per document; null texts have the end id alone."""
     back = read_tokens(write_tokens(read_table(spark, sf_dir, "documents")))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

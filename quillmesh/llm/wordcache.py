@@ -7,24 +7,48 @@ the same ids word by word. Words are cut with ``str.split``; only words that the
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillmesh.llm.common import worker_state
+
 #: Words of one generation of a worker's cache. A full generation becomes the old one, and words still in use move
 #: to the next, so two generations bound the memory; the limit changes speed alone.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+
+
+#: Signs that are cut from a word's end: with a letter before them, both kinds of tokenizers see them apart.
+MARKS = ".,;:!?"
+_ODD = bytes(bytearray(8))  # stands for words that can't be encoded alone; known by identity
 
 
 class WordCache:
-    """``encode_many`` maps texts to their ids as bytes. ``spaced``: a word's ids depend on the space before it (byte-level BPE)."""
+    """``encode_many`` maps texts to their ids as bytes. ``spaced``: a word's ids depend on the space before it (byte-level BPE).
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], spaced: bool, width: str = "<u4", limit: int = CACHE_WORDS):
+    Texts with a string of ``special`` in them, in any case, go whole to ``encode_whole``. ``peeled``: a word's last signs
+    are pre-tokens of their own. ``lower``: the tokenizer has one id for both cases of ASCII letters.
+    """
+
+    def __init__(
+        self,
+        encode_many: Callable[[list[str]], list[bytes]],
+        spaced: bool,
+        width: str = "<u4",
+        limit: int = CACHE_WORDS,
+        special: tuple[str, ...] = (),
+        encode_whole: Callable[[list[str]], list[bytes]] | None = None,
+        peeled: bool = False,
+        lower: bool = False,
+    ):
+        self.peeled, self.lower, self.marks = peeled, lower, {}
         self.encode_many, self.spaced, self.width, self.limit = encode_many, spaced, np.dtype(width), limit
-        self.words: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.special, self.encode_whole = special, encode_whole or encode_many
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return self.encode_many(texts)
@@ -35,46 +59,73 @@ class WordCache:
         body = word[1:] if word[:1] == "\n" else word
         return not body or not body.isprintable()  # spaces are not in a word, other white space isn't printable
 
-    def _known(self, distinct: list[str]) -> list[bytes | None]:
-        """Ids of each word, None for odd ones."""
+    def _known(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each word, _ODD for odd ones."""
         if len(self.words) > self.limit:
             self.words, self.old = {}, self.words
         words, old = self.words, self.old
-        new = []
-        for w in distinct:
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    new.append(w)
+        out = list(map(words.get, distinct))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        new = [distinct[i] for i in gaps]
+        found = list(map(old.get, new))
+        cores = [w if x is not None else self._core(w) for w, x in zip(new, found, strict=True)]
+        fresh = list({c for c, x in zip(cores, found, strict=True) if x is None and c not in words})
         if self.spaced:
-            plain = []
-            for w in new:
-                if self._odd(w):
-                    words[w] = None
-                else:
-                    plain.append(w)
-            words.update(zip(plain, self._ids([w if w[0] == "\n" else " " + w for w in plain]), strict=True))
-        else:
-            words.update(zip(new, self._ids(new), strict=True))
-        return [words[w] for w in distinct]
+            odd = {c for c in fresh if self._odd(c)}
+            words.update(dict.fromkeys(odd, _ODD))
+            fresh = [c for c in fresh if c not in odd]
+        words.update(zip(fresh, self._ids([c if c[:1] == "\n" else " " + c for c in fresh] if self.spaced else fresh), strict=True))
+        for i, w, c, x in zip(gaps, new, cores, found, strict=True):
+            if x is None:
+                x = words[c] if len(c) == len(w) or words[c] is _ODD else words[c] + self._mark(w[len(c) :])
+            words[w] = out[i] = x
+        return out
+
+    def _core(self, word: str) -> str:
+        """The word without signs at its end, which are a pre-token of their own after a letter, and in lower case if that is safe."""
+        if not self.peeled:
+            return word
+        core = word.rstrip(MARKS)
+        if core != word and not (core and core[-1].lower().isalpha() and core[-1] < SIMPLE):
+            core = word
+        return core.lower() if self.lower and core.isascii() else core
+
+    def _mark(self, signs: str) -> bytes:
+        if signs not in self.marks:
+            if len(self.marks) > 1000:
+                self.marks.clear()
+            self.marks[signs] = self.encode_whole([signs])[0] if signs else b""
+        return self.marks[signs]
 
     def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ends): ends[i] ids belong to the texts up to i. A null text is empty."""
-        array = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        n = len(array)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        held = [pc.match_substring(column, x, ignore_case=True).to_numpy(zero_copy_only=False) for x in self.special]
+        whole = np.flatnonzero(np.logical_or.reduce(held)) if held else np.zeros(0, np.int64)
+        if not len(whole):
+            return self._encode(column)
+        ids, ends = self._encode(pc.if_else(pa.array(np.logical_or.reduce(held)), "", column))
+        own = [np.frombuffer(x, self.width) for x in self.encode_whole(column.take(pa.array(whole)).to_pylist())]
+        between = np.split(ids, ends[whole])
+        joined = [x for pair in zip(between, own, strict=False) for x in pair] + [between[-1]]
+        more = np.zeros(len(ends), np.int64)
+        more[whole] = [len(x) for x in own]
+        return np.concatenate(joined), ends + np.cumsum(more)
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(column)
         # "X\nY" is cut before the line feed, which then leads its word
-        cut = pc.split_pattern(pc.replace_substring(array, "\n", " \n" if self.spaced else " "), " ")
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n" if self.spaced else " "), " ")
         coded = cut.flatten().dictionary_encode()
         known = self._known(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         item = self.width.itemsize
-        pool = [x or b"" for x in known]
+        pool = known
         own = len(pool)
         if self.spaced:
-            odd = np.array([x is None for x in known], bool)
+            odd = np.array([x is _ODD for x in known], bool)
             whole = np.zeros(n, bool)
             if odd.any():
                 bad = np.concatenate(([0], np.cumsum(odd[codes])))
@@ -84,7 +135,7 @@ class WordCache:
             # a first word has no space before it; a text with odd words is encoded as one
             heads = [i for i in range(n) if not whole[i]]
             alone = [i for i in range(n) if whole[i]]
-            pool += self._ids([first[i] for i in heads]) + self._ids(array.take(pa.array(alone, pa.int64())).to_pylist())
+            pool += self._ids([first[i] for i in heads]) + self._ids(column.take(pa.array(alone, pa.int64())).to_pylist())
             codes[bounds[:-1][heads]] = np.arange(own, own + len(heads))
             codes[bounds[:-1][alone]] = np.arange(own + len(heads), own + n)
             if alone:
@@ -94,7 +145,7 @@ class WordCache:
                 skip = np.cumsum(rest[:-1]) > 0
                 pool.append(b"")
                 codes[skip] = len(pool) - 1
-        sizes = np.array([len(x) // item for x in pool], np.int64)
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // item
         begins = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(pool), self.width)
         lengths = sizes[codes]
@@ -112,53 +163,55 @@ def split_ids(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return out
 
 
-#: A word that the lower-casing tokenizer gives one id of its own; it stands between words that are encoded in one call.
-FENCE = "@"
-_loaded: dict[tuple, WordCache] = {}
+#: Letters below this are one code point in any normal form, but for one that is two in lower case.
+SIMPLE = "\u0180"
+
+
+def tokenizer_bytes(char: str) -> list[str]:
+    """The signs of byte-level tokenizers for the bytes of a character: printable bytes stand for themselves, others are moved up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(0x100 + moved.index(b)) for b in char.encode()]
 
 
 def tokenizer_cache(path: str, spaced: bool, width: str = "<u4") -> WordCache:
-    """The worker's cache over a tokenizers file; strings of special tokens in a text are ordinary text.
+    """The worker's cache over a tokenizers file, used as the library does by default: special tokens in a text are special.
 
-    Words that are new go to the tokenizer as one text, since a call for each would cost far more than its work.
+    Words of plain letters that are new go straight to the file's model, others through the whole tokenizer.
     """
-    if (key := (path, spaced, width)) in _loaded:
-        return _loaded[key]
+    return worker_state((path, spaced, width), lambda: _tokenizer_cache(path, spaced, width))
+
+
+def _tokenizer_cache(path: str, spaced: bool, width: str) -> WordCache:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+    if tokenizer.get_vocab_size() > 1 << 8 * np.dtype(width).itemsize:
+        raise ValueError(f"ids of {path} do not fit in {width}")
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, width)
+    def encode_whole(texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, width).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    heads = np.array([tokenizer.id_to_token(i)[:1] in ("\u0120", "\u010a") for i in range(tokenizer.get_vocab_size())])
-    fence = encode(FENCE)
+    # a word of simple letters is one pre-token, so the model of the file alone gives its ids; it reads bytes as signs
+    shown = {ord(c): "".join(tokenizer_bytes(c)) for c in map(chr, range(0x80, ord(SIMPLE)))}
+    model, kind = tokenizer.model, "H" if np.dtype(width).itemsize == 2 else "I"
 
     def encode_many(texts: list[str]) -> list[bytes]:
-        if spaced:  # each word starts with its space or line feed, which no other place of it has
-            joined = [i for i, t in enumerate(texts) if len(t) < 200 and t[:1] in (" ", "\n") and t[1:].isprintable() and " " not in t[1:]]
-        else:
-            joined = [i for i, t in enumerate(texts) if len(t) < 200 and FENCE not in t] if len(fence) == 1 else []
         out: list = [None] * len(texts)
-        for at in range(0, len(joined), 4096):
-            part = joined[at : at + 4096]
-            if spaced:
-                ids = encode("".join([texts[i] for i in part]))
-                starts = np.flatnonzero(heads[ids])
-            else:
-                ids = encode("".join([f"{FENCE} {texts[i]} " for i in part]))
-                starts = np.flatnonzero(ids == fence[0])
-            if len(starts) == len(part):
-                raw, size, skip = ids.tobytes(), ids.itemsize, 0 if spaced else ids.itemsize
-                edges = [*(starts * size).tolist(), len(raw)]
-                for k, i in enumerate(part):
-                    out[i] = raw[edges[k] + skip : edges[k + 1]]
+        for i, t in enumerate(texts):
+            body = t[1:] if spaced and t[:1] == " " else t
+            if len(body) < 100 and body.isalpha() and max(body) < SIMPLE:
+                if not spaced:
+                    body = body.lower()
+                    if not body.isalpha():
+                        continue
+                word = body if body.isascii() else body.translate(shown)
+                out[i] = array(kind, [x.id for x in model.tokenize("\u0120" + word if len(t) > len(body) else word)]).tobytes()
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, width).tobytes()
+        for i, x in zip(rest, encode_whole([texts[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
-    _loaded[key] = WordCache(encode_many, spaced, width)
-    return _loaded[key]
+    return WordCache(encode_many, spaced, width, special=special, encode_whole=encode_whole, peeled=True, lower=not spaced)
