@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,7 +45,11 @@ MARKED = re.compile(
     r"skip|tags|meta|complementary|contentinfo)(?=$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Class words after these say what an element has beside it, not what it is.
+_BESIDE = re.compile(r"(?:^|(?<=\s))(?:with|has|no|not|without|is|js)-\S*", re.I)
+#: A tag to its end; quotes count only where a value starts. Possessive, so that no character is read twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=\"']++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>")
+_OPEN = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "noscript", "title", "iframe", "template", "svg")}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,103 +63,142 @@ class Block:
     marked: bool
     scope: int  # number of the innermost article or main element, 0 outside
     label: str = ""
+    wrapper: int = 0  # number of the outermost element that a class, id or role alone marks, 0 outside
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, value, end) of the parts of a page in one pass: kinds are text, open and close.
+
+    Comments, declarations and an unfinished tag at the end are left out. What is inside the elements of _RAW is skipped.
+    """
+    at, end = 0, len(source)
+    endless: set[str] = set()  # ends that were looked for and don't come any more
+    while at < end:
+        start = source.find("<", at)
+        if start < 0:
+            start = end
+        if start > at:
+            yield "text", "", source[at:start], start
+            at = start
+            continue
+        if source.startswith(("<!", "<?"), at):
+            close = "-->" if source.startswith("<!--", at) else "]]>" if source.startswith("<![CDATA[", at) else ">"
+            stop = -1 if close in endless else source.find(close, at + (4 if close == "-->" else 2))
+            if stop < 0:
+                endless.add(close)
+                stop = end
+            if close == "]]>":
+                yield "text", "", source[at + 9 : stop], stop
+            at = min(end, stop + len(close))
+            continue
+        if not _OPEN.match(source, at):
+            yield "text", "", "<", at + 1
+            at += 1
+            continue
+        found = _TAG.match(source, at)
+        if found is None:  # no end of a tag follows: the rest is markup
+            return
+        at, name = found.end(), found[2].lower()
+        raw = _RAW.get(name)
+        if raw is not None and not found[1] and not found[0].endswith("/>"):
+            close = None if name in endless else raw.search(source, at)
+            if close:
+                at = close.end()
+            else:
+                endless.add(name)
+                if name in ("script", "style"):
+                    at = end
+            yield "skipped", name, "", at
+            continue
+        yield "close" if found[1] else "open", name, found[3], at
+
+
+def _marked_by_attributes(attributes: str) -> bool:
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        value, key = a or b or c, key.lower()
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+        if key not in ("style", "hidden") and MARKED.search(_BESIDE.sub("", value)):
+            return True
+    return False
 
 
 def blocks_of(source: str) -> list[Block]:
-    """Text blocks in page order; text of scripts, forms, menus and other dropped elements is in none."""
+    """Text blocks in page order. Blocks of scripts' and forms' like are never there or marked; the stack of open elements
+    is read at its top alone, so that deep pages cost no more than flat ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped or marked, number of an article or main element
+    # name, dropped by its name or an outer one's, wrapper number, scope number, all as they hold inside
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    open_names: Counter[str] = Counter()
     text: list[str] = []
-    links = at = scopes = 0
-    link_open = heading = 0
+    links = scopes = wrappers = link_open = heading = 0
 
     def flush() -> None:
         nonlocal links
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            marked = any(x[1] for x in stack)
-            scope = next((x[2] for x in reversed(stack) if x[2]), 0)
-            out.append(Block(joined, links, heading > 0, marked, scope))
+            _, dropped, wrapper, scope = stack[-1]
+            out.append(Block(joined, links, heading > 0, dropped or wrapper > 0, scope, wrapper=0 if dropped else wrapper))
         text.clear()
         links = 0
 
-    end = len(source)
-    while at < end:
-        found = _TOKEN.match(source, at)
-        if found is None:  # an unfinished tag: the rest is markup
-            break
-        at = found.end()
-        name = found[2]
-        if name is None:
-            piece = found[0]
-            if piece[0] != "<" or piece == "<":
-                text.append(piece)
-                if link_open:
-                    links += len("".join(piece.split()))
-            elif piece.startswith("<![CDATA["):
-                text.append(piece[9:].removesuffix("]]>"))
+    for kind, name, value, _ in tokens(source):
+        if kind == "text":
+            text.append(value)
+            if link_open:
+                links += len("".join(value.split()))
             continue
-        name = name.lower()
-        closing = bool(found[1])
         block = name in BLOCKS
         if block:
             flush()
-        if closing:
+        if kind == "skipped":
+            continue
+        if kind == "close":
             if name == "a":
                 link_open = max(0, link_open - 1)
             if name in HEADINGS:
                 heading = max(0, heading - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_names[name]:
+                if not block:
+                    flush()
+                while True:
+                    last = stack.pop()[0]
+                    open_names[last] -= 1
+                    if last == name:
+                        break
             continue
         if name in VOID:
             continue
-        raw = _RAW.get(name)
-        if raw is not None and not found[0].endswith("/>"):
-            close = raw.search(source, at)
-            if close:
-                at = close.end()
-            elif name in ("script", "style"):
-                at = end
-            continue
         if name == "a":
             link_open += 1
         if name in HEADINGS:
             heading += 1
-        if not block and name not in DROPPED and "=" not in found[3]:
+        if not block and name not in DROPPED and "=" not in value:
             continue  # inline elements without attributes decide nothing
-        if name == "p":
-            while stack and stack[-1][0] == "p":  # a paragraph ends at the next one
-                stack.pop()
-        marked = name in DROPPED
-        inside = any(x[2] for x in stack)
-        if name == "header" and not inside:
-            marked = True
-        if not marked and name not in ("html", "body", "article", "main"):
-            for key, a, b, c in _ATTRIBUTE.findall(found[3]):
-                value = a or b or c
-                key = key.lower()
-                if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value) or key not in ("style", "hidden") and MARKED.search(value):
-                    marked = True
-        if block or marked:
-            if marked and not block:
+        if name == "p" and stack[-1][0] == "p":  # a paragraph ends at the next one
+            stack.pop()
+            open_names["p"] -= 1
+        _, dropped, wrapper, scope = stack[-1]
+        framing = name in ("article", "main")
+        gone = name in DROPPED or name == "header" and not scope
+        soft = not gone and not framing and name not in ("html", "body") and _marked_by_attributes(value)
+        if block or gone or soft:
+            if not block:
                 flush()
-            framing = name in ("article", "main")
             scopes += framing
-            stack.append((name, marked, scopes if framing else 0))
+            if framing and not scope:
+                wrapper = 0  # what stands around an article does not mark it
+            elif soft and not wrapper:
+                wrappers += 1
+                wrapper = wrappers
+            stack.append((name, dropped or gone, wrapper, scopes if framing else scope))
+            open_names[name] += 1
     flush()
     return out
 
 
-def classify(blocks: list[Block]) -> list[Block]:
-    """Labels ``good`` or ``bad``: density rules first, then ambiguous blocks by their nearest decided neighbours.
-
-    An article or main element is a feature beside density: a block takes labels from its own element (or from
-    outside all), and one whose element decides nothing is good, unless good text elsewhere outweighs the element.
-    """
-    framed = any(b.scope and not b.marked for b in blocks)
+def _densities(blocks: list[Block]) -> None:
+    """First pass: good, bad, near (good) or short by marks, length, stop words and links."""
     for b in blocks:
         n = len(b.text)
         words = _WORD.findall(b.text.lower())
@@ -169,6 +214,28 @@ def classify(blocks: list[Block]) -> list[Block]:
             b.label = "near"
         else:
             b.label = "near" if b.scope or n > LONG_CHARS and stops > 0 else "bad"
+
+
+def classify(blocks: list[Block]) -> list[Block]:
+    """Labels ``good`` or ``bad``: density rules first, then ambiguous blocks by their nearest decided neighbours.
+
+    An article or main element is a feature beside density: a block takes labels from its own element (or from
+    outside all), and one whose element decides nothing is good, unless good text elsewhere outweighs the element.
+    Marks by class, id or role hold unless no other block is good by itself: then the marked element with the most
+    text is the page's frame, and its mark is void.
+    """
+    _densities(blocks)
+    if not any(b.label == "good" for b in blocks):
+        size: Counter[int] = Counter()
+        for b in blocks:
+            if b.wrapper:
+                size[b.wrapper] += len(b.text)
+        frame = max(size, key=lambda k: (size[k], -k)) if size else 0
+        if frame and 2 * size[frame] > sum(len(b.text) for b in blocks if b.wrapper or not b.marked):
+            for b in blocks:
+                b.marked &= b.wrapper != frame
+            _densities(blocks)
+    framed = any(b.scope and not b.marked for b in blocks)
     weak = _weak_scopes(blocks)
     decided = ["short" if b.label == "near" and b.scope in weak else b.label for b in blocks]
     back, forward = range(len(blocks)), range(len(blocks) - 1, -1, -1)
@@ -230,7 +297,11 @@ def main_text(source: str | None) -> str:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: a row per input row; a null or empty page has the empty text."""
+    """page_id, url, text, n_chars: a row per input row; a null or empty page has the empty text.
+
+    Malformed pages are read on: an unmatched end tag is skipped, open elements end with the page, a tag without an end
+    is the last thing read. Time grows in proportion to the page. Other columns are not read.
+    """
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
     def work(part: pa.RecordBatch) -> list:
@@ -241,4 +312,5 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null pages have the empty text, repeated ids a row each."""
     return page_texts(read_table(spark, sf_dir, "pages"))
