@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillmesh.llm.common import add_columns, doc_columns, read_table, stage_table
 
@@ -19,11 +20,12 @@ _CLEAR, _END = 256, 257
 
 @dataclass
 class Frame:
-    """One composed picture: its time in centiseconds, RGB pixels, and the palette indices of its own rectangle."""
+    """One composed picture: its time in centiseconds, RGB pixels, those of its own rectangle, and that one's palette indices."""
 
     start_cs: int
     delay_cs: int
     rgb: np.ndarray
+    drawn: np.ndarray
     indices: np.ndarray
     transparent: int | None
 
@@ -34,6 +36,13 @@ def _widths(n: int, bits: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, bits + 1, 12)
 
 
+@functools.cache
+def _cut(n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the first ``n`` codes after a clear code, and where they end, in bits."""
+    width = _widths(n, bits).astype(np.int32)
+    return width, np.cumsum(width, dtype=np.int32)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Code stream of 8-bit samples: greedy matches, a clear code whenever the table is full."""
     codes = [_CLEAR]
@@ -76,53 +85,65 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
-    """At most ``count`` samples of a code stream with ``bits``-bit samples; ValueError for an impossible code."""
+    """At most ``count`` samples of a code stream with ``bits``-bit samples; ValueError for an impossible code.
+
+    Codes between two clear codes have known widths, so they are cut out of the bits at once. The string of the
+    m-th table entry is what the m-th code of its section gave and one sample more, which stand together in the output.
+    So each code is a copy of an earlier place of the output; lengths and samples follow by doubling of those pointers.
+    """
     clear, end = 1 << bits, (1 << bits) + 1
-    base: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
-    flat = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    out: list[bytes] = []
-    at = made = 0
-    while at + bits < len(flat) and made < count:
-        # codes up to the next clear code have known widths, so they are cut out of the bits at once
+    if not 1 <= bits <= 8:
+        raise ValueError("samples of impossible size")
+    raw = np.frombuffer(stream + bytes(4), np.uint8)
+    size = 8 * len(stream)
+    parts, firsts = [], []
+    at = codes_in = 0
+    while at + bits < size and codes_in < count:  # a code gives one sample or more
         n = 4096
         while True:
-            width = _widths(n, bits)
-            ends = at + np.cumsum(width)
-            fit = int(np.searchsorted(ends, len(flat), side="right"))
-            codes = np.zeros(min(n, fit), np.int64)
-            begin = ends[: len(codes)] - width[: len(codes)]
-            for k in range(12):
-                on = width[: len(codes)] > k
-                codes[on] |= flat[begin[on] + k].astype(np.int64) << k
+            width, ends = _cut(n, bits)
+            fit = min(n, int(np.searchsorted(ends, size - at, side="right")))
+            begin = at + ends[:fit] - width[:fit]
+            byte = begin >> 3
+            codes = (raw[byte] | raw[byte + 1].astype(np.int32) << 8 | raw[byte + 2].astype(np.int32) << 16) >> (begin & 7)
+            codes &= (1 << width[:fit]) - 1
             stop = np.flatnonzero((codes == clear) | (codes == end))
-            if len(stop) or n > fit:
+            if len(stop) or fit < n:
                 break
             n *= 2
         last = int(stop[0]) if len(stop) else len(codes)
         if last:
-            table, run = base.copy(), codes[:last].tolist()
-            grow, put, size = table.append, out.append, clear + 2
-            if run[0] >= clear:
-                raise ValueError("LZW code out of range")
-            prev = table[run[0]]
-            put(prev)
-            for code in run[1:]:
-                if code < size:
-                    entry = table[code]
-                elif code == size and size < 4096:
-                    entry = prev + prev[:1]
-                else:
-                    raise ValueError("LZW code out of range")
-                put(entry)
-                if size < 4096:
-                    grow(prev + entry[:1])
-                    size += 1
-                prev = entry
-            made = sum(map(len, out))
+            parts.append(codes[:last])
+            firsts.append(np.full(last, codes_in, np.int32))
+            codes_in += last
         if not len(stop) or codes[last] == end:
             break
-        at = int(ends[last])
-    return b"".join(out)[:count]
+        at += int(ends[last])
+    if not parts:
+        return b""
+    codes, first = np.concatenate(parts), np.concatenate(firsts)
+    every = np.arange(len(codes), dtype=np.int32)
+    copied = codes > end
+    source = np.where(copied, first + codes - end - 1, every)  # the code whose output is copied
+    if (copied & (source >= every)).any() or (codes[first] >= clear).any():
+        raise ValueError("LZW code out of range")
+    length, jump = copied.astype(np.int32), source
+    while True:  # 1 + the number of hops to a code that is a sample
+        more = length[jump]
+        if not more.any():
+            break
+        length += more
+        jump = jump[jump]
+    length += 1
+    ends = np.cumsum(length)
+    place = ends - length
+    total = int(ends[-1])
+    pointer = np.arange(total, dtype=np.int32) - np.repeat((place - place[source]).astype(np.int32), length)
+    for _ in range((2 * int(length.max())).bit_length()):  # within a string, then at the start of the next one
+        pointer = pointer[pointer]
+    samples = np.zeros(total, np.uint8)
+    samples[place[~copied]] = codes[~copied]
+    return samples[pointer].tobytes()[:count]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -145,7 +166,17 @@ def gif_encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int
 
 
 def gif_decode(data: bytes) -> list[Frame]:
-    """Frames as shown: local or global palette, interlace, transparency, and disposal of the frame before."""
+    """Frames as shown: local or global palette, interlace, transparency, and disposal of the frame before.
+
+    A file that is cut, or has impossible blocks, codes or too few samples, raises ValueError.
+    """
+    try:
+        return _gif_decode(data)
+    except IndexError as cut:
+        raise ValueError("the file is cut") from cut
+
+
+def _gif_decode(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
 
@@ -156,6 +187,8 @@ def gif_decode(data: bytes) -> list[Frame]:
         if not flags & 0x80:
             return None, i
         n = 2 << (flags & 7)
+        if len(data) < i + 3 * n:
+            raise ValueError("the file is cut")
         return np.frombuffer(data[i : i + 3 * n], np.uint8).reshape(n, 3), i + 3 * n
 
     def sub_blocks(i: int) -> tuple[bytes, int]:
@@ -185,9 +218,9 @@ def gif_decode(data: bytes) -> list[Frame]:
         bits = data[at]
         stream, at = sub_blocks(at + 1)
         samples = lzw_decode(stream, bits, w * h)
-        flat = np.frombuffer(samples, np.uint8)
-        missing = w * h - len(flat)
-        indices = np.concatenate([flat, np.zeros(missing, np.uint8)]).reshape(h, w)
+        if len(samples) < w * h:
+            raise ValueError("a frame's code stream is short")
+        indices = np.frombuffer(samples, np.uint8).reshape(h, w)
         if flags & 0x40:
             order = np.concatenate([np.arange(first, h, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
             woven = np.empty_like(indices)
@@ -197,11 +230,17 @@ def gif_decode(data: bytes) -> list[Frame]:
         if colours is None:
             raise ValueError("a frame has no palette")
         before = canvas.copy() if disposal == 3 else None
-        shown = np.ones((h, w), bool) if transparent is None else indices != transparent
         h2, w2 = max(0, min(h, height - y)), max(0, min(w, width - x))
-        view = canvas[y : y + h2, x : x + w2]
-        view[shown[:h2, :w2]] = colours[np.minimum(indices[:h2, :w2], len(colours) - 1)][shown[:h2, :w2]]
-        frames.append(Frame(time, delay, canvas.copy(), indices, transparent))
+        view, seen = canvas[y : y + h2, x : x + w2], indices[:h2, :w2]
+        if len(colours) < 256 and seen.size and int(seen.max()) >= len(colours):
+            raise ValueError("a sample is not in the palette")
+        picture = colours.take(seen, axis=0)
+        if transparent is None:
+            view[:] = picture
+        else:
+            np.copyto(view, picture, where=(seen != transparent)[:, :, None])
+        shown_canvas = canvas.copy()
+        frames.append(Frame(time, delay, shown_canvas, shown_canvas[y : y + h2, x : x + w2], indices, transparent))
         time += delay
         if disposal == 2:
             view[:] = 0
@@ -211,13 +250,10 @@ def gif_decode(data: bytes) -> list[Frame]:
     return frames
 
 
-def histogram(frames: list[Frame], bins: int = 4) -> np.ndarray:
-    """Pixels of all frames by colour, each channel in ``bins`` equal steps: bins**3 counts, red slowest."""
-    total = np.zeros(bins**3, np.int64)
-    for f in frames:
-        q = f.rgb.reshape(-1, 3).astype(np.int64) * bins // 256
-        total += np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2], minlength=bins**3)
-    return total
+def histogram(frame: Frame, bins: int = 4) -> np.ndarray:
+    """Pixels that the frame itself draws, by their colour on the canvas, each channel in ``bins`` equal steps: red slowest."""
+    q = frame.drawn.reshape(-1, 3).astype(np.int64) * bins >> 8
+    return np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2], minlength=bins**3)
 
 
 def payload_of(text: str | None, unit: int = WIDTH) -> tuple[int, bytes]:
@@ -237,22 +273,47 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 FRAME = T.ArrayType(
-    T.StructType([T.StructField("start_cs", T.LongType()), T.StructField("delay_cs", T.LongType()), T.StructField("rgb", T.BinaryType()), T.StructField("histogram", T.ArrayType(T.LongType()))])
+    T.StructType(
+        [
+            T.StructField("start_cs", T.LongType()),
+            T.StructField("delay_cs", T.LongType()),
+            T.StructField("width", T.LongType()),
+            T.StructField("height", T.LongType()),
+            T.StructField("histogram", T.ArrayType(T.LongType())),
+            T.StructField("rgb", T.BinaryType()),
+        ]
+    )
 )
+_ARROW_FRAMES = pa.list_(pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("histogram", pa.list_(pa.int64())), ("rgb", pa.binary())]))
+
+
+def _frame_row(f: Frame, pixels: bool) -> dict:
+    height, width = f.rgb.shape[:2]
+    return {"start_cs": f.start_cs, "delay_cs": f.delay_cs, "width": width, "height": height, "histogram": histogram(f).tolist(), "rgb": f.rgb.tobytes() if pixels else None}
 
 
-def frame_columns(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with ``frames``: timed composed RGB frames and their colour histograms. Null media gives null frames."""
+def _decoded(data: bytes | None) -> tuple[list[Frame] | None, str | None]:
+    """Frames, or None and why there are none."""
+    if data is None:
+        return None, None
+    try:
+        return gif_decode(data), None
+    except ValueError as e:
+        return None, str(e)
+
+
+def frame_columns(media: DataFrame, column: str = "media", pixels: bool = True) -> DataFrame:
+    """``media`` with ``frames``, timed frames with colour histograms and, with ``pixels``, composed RGB, and ``error``.
+
+    Null media has null frames and no error; malformed media has null frames and says why in ``error``.
+    """
 
     def work(part: pa.RecordBatch) -> list:
-        rows = []
-        for data in part.column(column).to_pylist():
-            found = None if data is None else gif_decode(data)
-            rows.append(None if found is None else [{"start_cs": f.start_cs, "delay_cs": f.delay_cs, "rgb": f.rgb.tobytes(), "histogram": histogram([f]).tolist()} for f in found])
-        kind = pa.list_(pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int64()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
-        return [pa.array(rows, kind)]
+        found = [_decoded(data) for data in part.column(column).to_pylist()]
+        rows = [None if frames is None else [_frame_row(f, pixels) for f in frames] for frames, _ in found]
+        return [pa.array(rows, _ARROW_FRAMES), pa.array([e for _, e in found], pa.string())]
 
-    return add_columns(media, column, [T.StructField("frames", FRAME)], work, limit=1 << 20)
+    return add_columns(media, column, [T.StructField("frames", FRAME), T.StructField("error", T.StringType())], work, limit=1 << 20)
 
 
 DIGESTS = [
@@ -261,28 +322,51 @@ DIGESTS = [
     T.StructField("tail_crc32", T.LongType()),
     T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()),
-    T.StructField("n_frames", T.LongType()),
-    T.StructField("duration_cs", T.LongType()),
-    T.StructField("feature", T.StringType()),
+    T.StructField("frames", FRAME),
+    T.StructField("error", T.StringType()),
 ]
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of the stored bytes and of the samples that decoding them gives back; ``feature`` is the 64-bin histogram in per mille."""
+def frame_table(media: DataFrame) -> DataFrame:
+    """Digests of the stored bytes and of the samples that decoding gives back, and the timed frames with their histograms.
+
+    The pixels stay in the GIF, which is their lossless form. Null or malformed media has null digests of samples and
+    null frames; ``error`` tells why.
+    """
 
     def work(part: pa.RecordBatch) -> list:
         rows = []
         for data in part.column("media").to_pylist():
-            frames = gif_decode(data)
+            frames, error = _decoded(data)
+            stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+            if frames is None:
+                rows.append((None, None, None, *stored, None, error))
+                continue
             payload = b"".join(f.indices.tobytes() for f in frames)
-            share = histogram(frames) * 1000 // len(payload)
-            rows.append(
-                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(frames), sum(f.delay_cs for f in frames), ",".join(map(str, share.tolist())))
-            )
-        return [pa.array(c) for c in zip(*rows, strict=True)]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, [_frame_row(f, False) for f in frames], None))
+        columns = zip(*rows, strict=True)
+        return [pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _ARROW_FRAMES, pa.string()], strict=True)]
 
     return add_columns(media, "media", DIGESTS, work, drop_input=True, limit=1 << 20)
 
 
+def with_feature(frames: DataFrame) -> DataFrame:
+    """``frames`` replaced by n_frames, duration_cs and ``feature``: 64 shares of drawn pixels by colour, in per mille, rounded down."""
+    zero = F.array_repeat(F.lit(0).cast("long"), 64)
+    total = F.aggregate("frames", zero, lambda s, f: F.zip_with(s, f["histogram"], lambda a, b: a + b))
+    summed = F.aggregate("__total", F.lit(0).cast("long"), lambda s, x: s + x)
+    share = F.array_join(F.transform("__total", lambda x: F.floor(x * 1000 / F.col("__sum")).cast("string")), ",")
+    out = frames.withColumn("__total", total).withColumn("__sum", summed)
+    out = out.withColumn("n_frames", F.when(F.col("frames").isNotNull(), F.size("frames")).cast("long"))
+    out = out.withColumn("duration_cs", F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["delay_cs"]))
+    return out.withColumn("feature", share).drop("frames", "__total", "__sum")
+
+
+def media_digests(media: DataFrame) -> DataFrame:
+    """The columns of :func:`frame_table` with the feature of its frames, which are stored and read back."""
+    return with_feature(stage_table(frame_table(media), "gif-frames"))
+
+
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every text as a GIF, both written and read back; a null text is a payload of zeros."""
     return media_digests(stage_table(media_table(read_table(spark, sf_dir, "documents")), "gif", "uncompressed"))
