@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillmesh.llm.common import add_columns, read_table, slices
-from quillmesh.runtime import ship
+from quillmesh.llm.common import add_columns, prepare, read_table, slices, tidy
 
 #: Documented bounds of the fit: distinct texts of each language and languages that are learnt from.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 300, 200
@@ -75,18 +74,25 @@ class Model:
 def fit(bits: list[bytes], labels: list[str], ridge: float = RIDGE) -> Model:
     """Kernel ridge regression on presence bits, in the Nystrom space of evenly chosen landmarks; targets are +1 and -1."""
     languages = sorted(set(labels))
-    rows = _scaled((np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in bits), len(bits))
-    labels_ = np.array(labels)
-    chosen = np.concatenate([np.flatnonzero(labels_ == x)[:LANDMARKS_PER_LANGUAGE] for x in languages]) if languages else np.zeros(0, np.int64)
-    landmarks = rows[chosen]
+    labels_ = np.array(labels, dtype=object)
+    unpacked = lambda some: _scaled((np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in some), len(some))
+    chosen = [int(i) for x in languages for i in np.flatnonzero(labels_ == x)[:LANDMARKS_PER_LANGUAGE]]
+    landmarks = unpacked([bits[i] for i in chosen])
     kernel = (landmarks @ landmarks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel) if len(chosen) else (np.zeros(0), np.zeros((0, 0)))
     used = values > 1e-6
     root = vectors[:, used] / np.sqrt(values[used])  # kernel ** -1/2
-    features = np.concatenate([(rows @ landmarks.T).astype(np.float64) @ root, np.ones((len(rows), 1))], axis=1)
-    targets = np.where(labels_[:, None] == np.array(languages)[None, :], 1.0, -1.0) if languages else np.zeros((0, 0))
-    balance = np.array([1 / max(1, (labels_ == x).sum()) for x in labels])[:, None]
-    solved = np.linalg.solve(features.T @ (balance * features) + ridge * np.eye(features.shape[1]) / max(1, len(rows)), features.T @ (balance * targets)) if languages else np.zeros((features.shape[1], 0))
+    # normal equations, a block of rows at a time: only landmarks are held as dense rows
+    width = root.shape[1] + 1
+    left, right = ridge * np.eye(width) / max(1, len(bits)), np.zeros((width, len(languages)))
+    balance = {x: 1 / (labels_ == x).sum() for x in languages}
+    for at in range(0, len(bits), 512):
+        rows, own = unpacked(bits[at : at + 512]), labels[at : at + 512]
+        features = np.concatenate([(rows @ landmarks.T).astype(np.float64) @ root, np.ones((len(rows), 1))], axis=1)
+        weighted = features * np.array([balance[x] for x in own])[:, None]
+        left += weighted.T @ features
+        right += weighted.T @ np.array([[1.0 if x == y else -1.0 for y in languages] for x in own])
+    solved = np.linalg.solve(left, right)
     # a constant landmark carries the intercept
     return Model(languages, landmarks, np.concatenate([root @ solved[:-1], solved[-1:]]).astype(np.float32))
 
@@ -95,8 +101,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     """Best language and score of each text; the score is the softmax of the regression values at slope 4."""
     labels, out = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
-    for at in range(0, len(known) if model.languages else 0, 128):
-        part = known[at : at + 128]
+    for at in range(0, len(known) if model.languages else 0, 32):
+        part = known[at : at + 32]
         products = presence_rows([texts[i] for i in part]) @ model.landmarks.T
         values = products @ model.weights[:-1] + model.weights[-1]
         shares = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
@@ -136,9 +142,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 kept = cut.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([kept.column("lang"), kept.column("r"), pa.array([presence_bits(t) for t in kept.column("text").to_pylist()], pa.binary())], ["lang", "r", "bits"])
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     chosen = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "r", "text")
-    chosen = chosen.mapInArrow(bits, "lang string, r int, bits binary").dropDuplicates(["lang", "r"])
+    chosen = chosen.mapInArrow(tidy(bits), "lang string, r int, bits binary").dropDuplicates(["lang", "r"])
     found = sorted(chosen.collect(), key=lambda r: (r["r"], r["lang"]))
     return fit([bytes(r["bits"]) for r in found], [r["lang"] for r in found])
 
@@ -168,5 +174,6 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: flo
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of the labelled ones that are not held out; null texts are ``und``."""
     docs = read_table(spark, sf_dir, "documents")
     return language_columns(docs, train(docs))
