@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillmesh.llm.common import stage_table
+from quillmesh.llm.common import drop_staged, stage_table
 
 MAX_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         # small star: each node's lesser neighbours and itself go to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stage_table(moved.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        old, edges = edges, stage_table(moved.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        drop_staged(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
