@@ -9,9 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillmesh.llm.common import add_columns, doc_columns, read_table, slices, stage_table
+from quillmesh.llm.common import add_columns, doc_columns, prepare, read_table, slices, stage_table, tidy
 from quillmesh.llm.components import components
-from quillmesh.runtime import ship
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
 #: The pipeline's stage: words of a shingle, least Jaccard similarity in tenths, counters of the shingle sketch.
@@ -75,6 +74,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     in a bucket are linked to each other, so links to its least member are enough; an odd radius pairs the bucket.
     """
     masks = F.array(*(F.lit(_signed(m)) for m in ball((radius + 1) // 2)))
+    # every row becomes as many as the ball has masks, so few small partitions would make few large tasks
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     if radius % 2 == 0:
         lowest = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("fps"))
@@ -170,10 +171,10 @@ def shingle_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
                 total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
-    ship(docs.sparkSession)
-    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "chunk int, counts binary")
+    prepare(docs.sparkSession)
+    parts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(tidy(count), "chunk int, counts binary")
     out = np.zeros((chunks, COUNTERS // chunks), np.int64)
-    for r in parts.repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+    for r in parts.repartition(chunks, "chunk").mapInArrow(tidy(add), "chunk int, counts binary").collect():
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
 
@@ -210,7 +211,7 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, keys, sizes, places)], ["shingle", "fp", "n", "place"])
 
     texts = docs.select(docs[text].cast("string").alias("text"))
-    rows = texts.mapInArrow(prefixes, "shingle long, fp long, n int, place int").repartition("shingle").dropDuplicates(["shingle", "fp"])
+    rows = texts.mapInArrow(tidy(prefixes), "shingle long, fp long, n int, place int").repartition("shingle").dropDuplicates(["shingle", "fp"])
     left = rows.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
     right = rows.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # in common, if this is the first place that is
@@ -236,10 +237,10 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     texts = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
-    known = stage_table(texts.mapInArrow(sets, "fp long, found binary"), "sets")
+    known = stage_table(texts.mapInArrow(tidy(sets), "fp long, found binary"), "sets")
     x = known.select(F.col("fp").alias("a"), F.col("found").alias("x"))
     y = known.select(F.col("fp").alias("b"), F.col("found").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(verified), "a long, b long")
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
