@@ -1,7 +1,13 @@
-"""Operator 10, sharding by a k-d tree over metadata. DataFrame functions only."""
+"""Operator 10, sharding by a k-d tree over metadata. DataFrame functions only.
+
+Equal texts are one unit. Units of more than a PINNED-th of a shard are few, whatever the table's size: the driver deals
+them to shards first, the heaviest to the emptiest. The tree then splits all other units so that each shard is filled up
+to its equal part of the bytes.
+"""
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -13,13 +19,13 @@ SHARDS, OVERHEAD = 40, 16
 VALUE_BITS, TIE_BITS, STEP_BITS = 12, 24, 12
 #: A split ends when its histogram bin holds at most this share of the node's bytes.
 FINE = 1 / 1_000
-#: Copies of one text stay together up to this share of a shard; beyond it their group is dealt in parts.
-GROUP_PARTS = 64
+#: Groups of equal texts above this share of a shard are dealt before the tree is built: at most SHARDS * PINNED groups.
+PINNED = 16
 
 
 @dataclass
 class Node:
-    """A box of the tree: a leaf with a shard number, or a split of ``dim`` at ``key`` (rows below it go left)."""
+    """A box of the tree: a leaf with its place among the leaves, or a split of ``dim`` at ``key`` (rows below it go left)."""
 
     first: int
     leaves: int
@@ -41,6 +47,7 @@ def _points(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.shiftrightunsigned(F.xxhash64(F.col(name).cast("string")), 64 - VALUE_BITS), F.lit(0)) if name in columns else F.lit(0).cast("long")
 
     base = docs.select(
+        F.monotonically_increasing_id().alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
@@ -53,40 +60,48 @@ def _points(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_units(points: DataFrame, part_bytes: int) -> DataFrame:
-    """``points`` with what the tree places: groups of equal texts, those above ``part_bytes`` in several parts."""
-    sized = points.groupBy("group").agg(F.sum("size").alias("bytes"))
-    many = sized.where(F.col("bytes") > part_bytes).select("group", F.ceil(F.col("bytes") / part_bytes).cast("long").alias("parts"))
-    cut = points.join(many, "group", "left")
-    part = F.coalesce(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(11)), F.col("parts")), F.lit(0))
-    return cut.withColumn("unit", F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", part))).drop("parts", "group")
+_KEY = f"(shiftleft({{dim}}, {TIE_BITS}) | shiftrightunsigned(xxhash64(`group`), {64 - TIE_BITS}))"
 
 
 def _key(dim: str) -> Column:
-    """Split key: the dimension's value, ties in the order of the unit's hash."""
-    return F.shiftleft(F.col(dim), TIE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("unit"), 64 - TIE_BITS))
-
-
-def _place(root: Node, leaf: str = "first") -> Column:
-    """The tree as nested CASE expressions: the first shard of the lowest box so far."""
-    if not root.children:
-        return F.lit(getattr(root, leaf))
-    return F.when(_key(root.dim) < root.key, _place(root.children[0], leaf)).otherwise(_place(root.children[1], leaf))
+    """Split key: the dimension's value, ties in the order of the group's hash."""
+    return F.expr(_KEY.format(dim=dim))
+
+
+def _place(root: Node) -> Column:
+    """The first leaf of the lowest box so far: a walk down the tree, whose nodes stand in literal arrays."""
+    nodes, depth = [root], 0
+    level = [root]
+    while level := [c for x in level for c in x.children]:
+        nodes += level
+        depth += 1
+    if not depth:
+        return F.lit(root.first)
+    at = {id(x): k for k, x in enumerate(nodes)}
+    rows = ", ".join(
+        f"named_struct('d', {DIMENSIONS.index(x.dim) if x.children else -1}, 'k', {x.key}L, 'l', {at[id(x.children[0])] if x.children else k}, 'r', {at[id(x.children[1])] if x.children else k}, 'f', {x.first})"
+        for k, x in enumerate(nodes)
+    )
+    step = "if(n.d < 0, n, if(k[n.d] < n.k, t[n.l], t[n.r]))"
+    # tables and keys are bound once a row
+    walk = f"aggregate(sequence(1, {depth}), t[0], (n, i) -> {step}).f"
+    keys = ", ".join(_KEY.format(dim=d) for d in DIMENSIONS)
+    return F.expr(f"transform(array(array({rows})), t -> transform(array(array({keys})), k -> {walk})[0])[0]")
 
 
 def _open(root: Node) -> list[Node]:
     return [x for c in root.children for x in _open(c)] if root.children else [root] if root.leaves > 1 else []
 
 
-def build_tree(units: DataFrame, shards: int) -> Node:
-    """Split all open boxes of a level at once until every box is one shard of about total / shards bytes.
+def build_tree(units: DataFrame, goals: list[float]) -> Node:
+    """Split all open boxes of a level at once until every box is one leaf; the leaves' bytes are in proportion to ``goals``.
 
     A level's first aggregate has the bytes of each box by value of each dimension: it gives the spread of bytes around
     their mean, in units of the whole table's, so each box's widest dimension, and the bin of its weighted median.
     Further histograms narrow down medians whose bin is heavy, by the ties' hash. At most shards * dimensions *
-    2**STEP_BITS aggregated rows come to the driver, whatever the table's size.
+    2**STEP_BITS aggregated rows come to the driver (shards: leaves), whatever the table's size.
     """
-    root = Node(0, shards)
+    root = Node(0, len(goals))
     all_bits = VALUE_BITS + TIE_BITS
     width: dict[str, float] = {}
 
@@ -122,7 +137,8 @@ def build_tree(units: DataFrame, shards: int) -> Node:
             if n is root:
                 width = {d: s or 1.0 for d, s in spread.items()}
             n.dim = max(DIMENSIONS, key=lambda d: (spread[d] / width[d], d == "d_size"))
-            goal = [n, total * (n.leaves // 2) / n.leaves, 0, 0, total]
+            share = sum(goals[n.first : n.first + n.leaves // 2]) / sum(goals[n.first : n.first + n.leaves])
+            goal = [n, total * share, 0, 0, total]
             if not narrow(goal, found[n.first][DIMENSIONS.index(n.dim)]):
                 todo[n.first] = goal
         while todo:
@@ -142,23 +158,47 @@ def build_tree(units: DataFrame, shards: int) -> Node:
     return root
 
 
+def _pins(groups: list, shards: int, target: float) -> tuple[dict[int, list[int]], list[float]]:
+    """Shards of each heavy group, one unless it outweighs a shard, and what all of them put into each shard."""
+    parts = sorted(((r["bytes"] / n, r["group"]) for r in groups for n in [max(1, -(-r["bytes"] // max(1, int(target))))] for _ in range(n)), reverse=True)
+    heap, pins, loads = [(0.0, k) for k in range(shards)], {}, [0.0] * shards
+    for size, group in parts:
+        load, k = heapq.heappop(heap)
+        pins.setdefault(group, []).append(k)
+        loads[k] = load + size
+        heapq.heappush(heap, (loads[k], k))
+    return pins, loads
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: a row per input row.
 
-    Law ``bytes``: the shards' bytes are nearly equal. Equal texts stay in one shard unless their group is larger than
-    a GROUP_PARTS-th of a shard; such groups are dealt in parts of about that size. A null text has no bytes beyond the
-    overhead; null metadata counts as one value; null ids are rows like others. An empty table gives no rows.
+    Law ``bytes``: the shards' bytes are nearly equal. Equal texts stay in one shard unless all of them together are larger
+    than a shard; such a group is dealt over as few shards as hold it. A null text has no bytes beyond the overhead; null
+    metadata counts as one value; null ids are rows like others. An empty table gives no rows. Of other columns only source
+    and lang are read.
     """
+    spark = docs.sparkSession
     points = stage_table(_points(docs), "shard-points")
     rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    located = stage_table(_with_units(points, max(1, total // shards // GROUP_PARTS)), "shard-located")
-    units = stage_table(located.groupBy("unit").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in DIMENSIONS)), "shard-units")
-    root = build_tree(units, shards)
+    target = total / shards
+    groups = stage_table(points.groupBy("group").agg(F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in DIMENSIONS)), "shard-groups")
+    heavy = F.col("bytes") > max(1.0, target / PINNED)
+    pins, loads = _pins(groups.where(heavy).select("group", "bytes").collect(), shards, target)  # at most shards * PINNED rows
+    open_ = [k for k in range(shards) if loads[k] < target] or [0]
+    units = groups.where(~heavy)
+    root = build_tree(units, [max(target - loads[k], 1e-9) for k in open_])
+    leaf = F.get(F.array(*map(F.lit, open_)), _place(root).cast("int"))
+    pinned = spark.createDataFrame(list(pins.items()), "`group` long, shards array<int>")
+    # heavy groups by a broadcast of their few pins, all others by the place of their group
+    deal = F.get("shards", F.pmod(F.xxhash64("rid"), F.size("shards")).cast("int"))
+    known = points.join(F.broadcast(pinned), "group").withColumn("shard", deal).drop("shards")
+    homes = units.select("group", leaf.alias("shard"))
+    dealt = known.unionByName(points.join(F.broadcast(pinned), "group", "left_anti").join(homes, "group"))
     # a shard's rows are numbered in buckets, whose counts are summed to offsets
     buckets = max(1, rows // shards // 20_000)
-    homes = units.select("unit", _place(root).cast("int").alias("shard"))
-    dealt = located.join(homes, "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(buckets)).alias("bucket"))
-    dealt = stage_table(dealt, "shard-dealt")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("rid")).otherwise(F.xxhash64("doc_id", "text_crc32"))
+    dealt = stage_table(dealt.select("doc_id", "size", "text_crc32", "shard", F.pmod(spread, F.lit(buckets)).alias("bucket")), "shard-dealt")
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -170,4 +210,5 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes; null texts count their overhead."""
     return shard(read_table(spark, sf_dir, "documents"))
