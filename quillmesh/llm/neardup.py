@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quillmesh.llm.common import add_columns, doc_columns, prepare, read_table, slices, stage_table, tidy
 from quillmesh.llm.components import components
@@ -180,11 +180,12 @@ def shingle_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b) with a < b: all pairs of distinct shingle sets, by key, whose Jaccard similarity is TENTHS / 10 or more.
+    """(a, b) with a < b: links that connect all distinct shingle sets, by key, whose Jaccard similarity is TENTHS / 10 or more.
 
     Exact prefix join: in any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
     order puts shingles of rare counters first. A first common place bounds what can follow it; pairs that pass are
-    verified on whole sets. A large group of texts that truly are this close makes all its pairs.
+    verified on whole sets. First each set meets the least set of each of its buckets; sets that this connects are a
+    class and make no more pairs among themselves, so a large group of close texts makes about as many pairs as it has rows.
     """
     order = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text))
 
@@ -212,14 +213,41 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
 
     texts = docs.select(docs[text].cast("string").alias("text"))
     rows = texts.mapInArrow(tidy(prefixes), "shingle long, fp long, n int, place int").repartition("shingle").dropDuplicates(["shingle", "fp"])
-    left = rows.select("shingle", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    right = rows.select("shingle", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # in common, if this is the first place that is
-    may = (F.col("a") < F.col("b")) & (F.lit(10 + TENTHS) * most >= F.lit(TENTHS) * (F.col("na") + F.col("nb")))
-    pairs = stage_table(left.join(right, "shingle").where(may).select("a", "b").distinct(), "candidates")
-
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")).select("h").distinct()
+    # a shingle that one set alone has in its prefix joins nothing
+    hub = rows.groupBy("shingle").agg(F.min(F.struct("fp", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = stage_table(rows.join(hub, "shingle").select("shingle", "fp", "n", "place", "hub"), "met")
+    first = met.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), *_sizes(F.col("hub"), F.struct("n", "place"))).where((F.col("a") < F.col("b")) & _may())
+    first = stage_table(first.select("a", "b").distinct(), "candidates")
+    ids = marked.groupBy("fp").agg(F.min("h").alias("h"))  # copies go before any join
+    close = stage_table(_verified(texts, ids, first), "links-of-hubs")
+    members = stage_table(components(close, "a", "b"), "members-of-hubs")
+    # what hubs have joined already needs no more pairs: the rest of a bucket meets the bucket's greatest class and itself
+    held = met.select("shingle", "fp", "n", "place").join(members, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("component", "fp")).drop("node", "component")
+    held = stage_table(held, "met-classes")
+    sizes = held.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("k"))
+    greatest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", F.col("top.class").alias("greatest"))
+    mixed = stage_table(held.join(greatest, "shingle"), "met-mixed")
+    x = mixed.where("class <> greatest").select("shingle", F.col("fp").alias("x"), F.col("class").alias("cx"), F.struct("n", "place").alias("sx"))
+    y = mixed.select("shingle", F.col("fp").alias("y"), F.col("class").alias("cy"), F.struct("n", "place").alias("sy"), F.col("greatest"))
+    pair = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("greatest")) | (F.col("x") < F.col("y"))) & _may(F.col("sx"), F.col("sy"))
+    rest = x.join(y, "shingle").where(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = stage_table(rest.join(first, ["a", "b"], "left_anti"), "candidates")
+    return close.unionByName(_verified(texts, ids, rest))
+
+
+def _sizes(left: Column, right: Column) -> list[Column]:
+    return [left["n"].alias("na"), left["place"].alias("pa"), right["n"].alias("nb"), right["place"].alias("pb")]
+
+
+def _may(left: Column | None = None, right: Column | None = None) -> Column:
+    """Can two sets be close whose first common shingle, in the order of prefixes, stands at these places?"""
+    na, pa_, nb, pb = (F.col(c) for c in ("na", "pa", "nb", "pb")) if left is None else (left["n"], left["place"], right["n"], right["place"])
+    most = F.least(na - pa_, nb - pb)  # in common, if this is the first place that is
+    return F.lit(10 + TENTHS) * most >= F.lit(TENTHS) * (na + nb)
+
+
+def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole shingle sets are close; ``ids`` has a text hash of each set's key."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +255,7 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
                 made = [shingle_set(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([_signed(_set_key(x)) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["fp", "found"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -236,11 +264,13 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
                 mask.append((10 + TENTHS) * both >= TENTHS * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = ids.join(wanted, "fp", "left_semi").select("h").distinct()
     texts = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
     known = stage_table(texts.mapInArrow(tidy(sets), "fp long, found binary"), "sets")
     x = known.select(F.col("fp").alias("a"), F.col("found").alias("x"))
     y = known.select(F.col("fp").alias("b"), F.col("found").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(verified), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long")
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
