@@ -57,3 +57,51 @@ def links(c: Column) -> Column:
 
 def is_external(target: Column) -> Column:
     return target.rlike("^(https?|mailto|file):|://")
+
+
+def rfc3339(c: Column) -> Column:
+    """Epoch milliseconds as ``2024-01-31T08:05:00Z``."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(F.floor(c / 1000) * 1000), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def event_millis(c: Column) -> Column:
+    """Epoch milliseconds of a number or of an RFC 3339 time; null for another text."""
+    whole = F.try_to_number(c, F.lit("999999999999999999")).cast("long")
+    form = c.rlike("^\\d{4}-\\d\\d-\\d\\d[Tt ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?([Zz]|[+-]\\d\\d:\\d\\d)$")
+    return F.coalesce(F.when(c.rlike("^\\d+$"), whole), F.when(form, F.unix_millis(F.try_to_timestamp(F.upper(c)))))
+
+
+def csv_values(c: Column) -> Column:
+    """The parts of a comma list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def first_of(json: Column, keys: list[str]) -> Column:
+    """The value of the first of ``keys`` that a JSON object has as text."""
+    return F.coalesce(*(F.get_json_object(json, f"$.{k}") for k in keys))
+
+
+# fixed values: words that hint at an API
+API_WORDS = ["api", "apis", "endpoint", "endpoints", "route", "routes", "openapi", "swagger", "graphql", "rest"]
+
+
+def is_api_query(c: Column) -> Column:
+    """Is one of the ASCII words of a query about APIs?"""
+    folded = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.arrays_overlap(F.split(folded, "[^a-z0-9]"), F.array(*map(F.lit, API_WORDS)))
+
+
+def appended(a: Column, b: Column) -> Column:
+    """The values of ``a``, then those of ``b`` that are not there, each once, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def front_matter(c: Column) -> Column:
+    """A map of text as front matter: a line for each key, by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+
+
+def envelope(kind: Column, **fields: Column) -> Column:
+    """An event as JSON: its kind and the fields that are not null."""
+    return F.to_json(F.struct(kind.alias("event"), *(c.alias(k) for k, c in fields.items())))

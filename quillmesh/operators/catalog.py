@@ -55,15 +55,30 @@ def key_files(files: DataFrame, names: list[str] = KEY_NAMES, each: int = 3) ->
     return ranked.where(F.col("rank") <= each).select("name", "path")
 
 
-def symbol_search(symbols: DataFrame, query: str, kind: str | None = None, file: str | None = None, limit: int = 20) -> DataFrame:
-    """Names that contain ``query``: exact first, then prefixes, then others."""
+def symbol_search(symbols: DataFrame, query: str, kind: str | None = None, file: str | None = None, limit: int = 20, last: list[str] = ()) -> DataFrame:
+    """Names that contain ``query``: exact first, then prefixes, then others, by name, path and the columns of ``last``."""
     out = symbols.where(contains("name", query))
     if kind is not None:
         out = out.where(F.col("kind") == kind)
     if file is not None:
         out = out.where(contains("path", file))
     rank = F.when(F.col("name") == query, 0).when(like_fold("name", f"{query}%"), 1).otherwise(2)
-    return out.withColumn("rank", rank).orderBy("rank", "name", "path").limit(limit)
+    return out.withColumn("rank", rank).orderBy("rank", "name", "path", *last).limit(limit)
+
+
+def search_all(blocks: list[DataFrame], order: list[str], limit: int) -> DataFrame:
+    """block (its number) and rows of each block, ``limit`` of each in its own order: there is no common rank."""
+    parts = [b.withColumn("block", F.lit(k)).orderBy(*order).limit(limit) for k, b in enumerate(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resource_detail(resources: DataFrame, parts: dict[str, DataFrame], uses: DataFrame) -> DataFrame:
+    """``resources`` with the number of rows (id) of each of ``parts`` and the sum of uses (resource, access_count); none is 0."""
+    out = resources
+    for name, rows in parts.items():
+        out = out.join(rows.groupBy("id").agg(F.count(F.lit(1)).alias(name)), "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    total = uses.groupBy(F.col("resource").alias("id")).agg(F.sum("access_count").alias("uses"))
+    return out.join(total, "id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def find_resources(resources: DataFrame, query: str, namespace: str | None = None, limit: int = 20) -> DataFrame:
@@ -119,7 +134,8 @@ def entries(files: DataFrame, depth: int) -> DataFrame:
 def list_dir(files: DataFrame, parent: str, hidden: bool = False) -> DataFrame:
     """Entries of one folder, folders first, sizes for files alone."""
     depth = parent.count("/") + 2 if parent else 1
-    out = entries(files, depth).where(F.col("parent") == parent)
+    below = files.where(F.col("path").startswith(f"{parent}/")) if parent else files
+    out = entries(below, depth).where(F.col("parent") == parent)
     out = out if hidden else out.where(~F.col("name").startswith("."))
     return out.select("name", "is_dir", "size").orderBy(F.desc("is_dir"), "name")
 
@@ -127,8 +143,32 @@ def list_dir(files: DataFrame, parent: str, hidden: bool = False) -> DataFrame:
 def tree(files: DataFrame, depth: int, per_dir: int) -> DataFrame:
     """parent, rank, name, is_dir: the first files of each folder, all folders, and a row that counts what is left out."""
     rows = entries(files, depth)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("parent", "is_dir").orderBy("name")).cast("long"))
-    shown = ranked.where(F.col("is_dir") | (F.col("rank") <= per_dir)).select("parent", "name", "is_dir", "rank")
-    over = rows.where("NOT is_dir").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_dir)
+    rank = lambda by: F.row_number().over(Window.partitionBy("parent").orderBy(by)).cast("long")
+    folders = rows.where("is_dir").withColumn("rank", rank("name")).select("parent", "name", "is_dir", "rank")
+    # files alone, so that only the first of a folder are sorted; names and their number in one aggregate would hold them all
+    names = rows.where("NOT is_dir")
+    shown = names.withColumn("rank", rank("name")).where(F.col("rank") <= per_dir).select("parent", "name", "is_dir", "rank")
+    over = names.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_dir)
     more = over.select("parent", F.concat(F.lit("[+"), (F.col("n") - per_dir).cast("string"), F.lit(" more]")).alias("name"), F.lit(False).alias("is_dir"), F.lit(per_dir + 1).cast("long").alias("rank"))
-    return shown.unionByName(more)
+    return folders.unionByName(shown).unionByName(more)
+
+
+def with_optional(rows: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
+    """``rows`` with the columns of each part that has their key, null where it hasn't."""
+    return reduce(lambda a, b: a.join(b, key, "left"), parts, rows)
+
+
+def symbol_rows(symbols: DataFrame, files: DataFrame, parents: DataFrame) -> DataFrame:
+    """Symbols with their file's columns, and their parent's where they have one; symbols without a file are left out."""
+    return symbols.join(files, "file").join(parents, "parent_id", "left")
+
+
+def recent_resources(counts: DataFrame, resources: DataFrame, since: int, limit: int) -> DataFrame:
+    """uri, uses of resources used since then, the most used first, then by uri."""
+    used = counts.where(F.col("last_access") >= since).groupBy(F.col("resource").alias("id")).agg(F.sum("access_count").alias("uses"))
+    return used.join(resources.select("id", "uri"), "id").select("uri", "uses").orderBy(F.desc("uses"), "uri").limit(limit)
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The row with these values; one at most."""
+    return reduce(lambda df, k: df.where(F.col(k) == keys[k]), keys, rows).limit(1)

@@ -1,137 +1,248 @@
-"""Full-text search over segments: postings, a query language, BM25 and the best segment of each resource."""
+"""Full-text search over segments: an index of postings, a query language, BM25 and the best segment of each resource.
+
+The index is a table of postings dealt to buckets by their term, and one row of statistics. A query reads the buckets of
+its own terms, gathers their postings by segment, and tests and scores each segment there.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillmesh.runtime import shared_dir
+
 K1, B = 1.2, 0.75
+#: Folders of the postings table.
+BUCKETS = 64
+#: A token's place is its column's number, shifted by this, and its place there.
+_SHIFT = 40
+
+
+def _folds() -> tuple[str, str]:
+    """Letters with marks and the letters without, then combining marks, which go."""
+    pairs = {}
+    for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(k):
+            pairs[chr(k)] = plain
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(pairs) + marks, "".join(pairs.values())
+
+
+_MARKED, _PLAIN = _folds()
+
+
+def fold(c: Column | str) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.lower(c), _MARKED, _PLAIN)
 
 
 def tokens(c: Column | str) -> Column:
-    return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(fold(c), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+
+
+def words(text: str) -> list[str]:
+    """The tokens of a query's word or phrase, by the rule of :func:`tokens`."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return [w for w in re.split(r"[\W_]+", unicodedata.normalize("NFC", plain)) if w]
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (bucket, term, id, ordinal, size, places), ``stats`` (N, avgdl; one row) and the names of the columns."""
 
+    postings: DataFrame
+    stats: DataFrame
+    columns: tuple[str, ...]
 
-def postings(segments: DataFrame) -> DataFrame:
-    """term, id, ordinal, tf, positions, size of every term of every segment; partial counts before the shuffle."""
-    cut = segments.select("id", "ordinal", tokens("text").alias("t")).withColumn("size", F.size("t"))
-    return cut.select("id", "ordinal", "size", F.posexplode("t").alias("at", "term")).groupBy("term", "id", "ordinal", "size").agg(F.count(F.lit(1)).alias("tf"), F.collect_list("at").alias("positions"))
+
+def postings(segments: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """term, id, ordinal, size, tf, places of every term of every segment; partial counts before the shuffle."""
+    def placed(k: int):
+        return lambda x, i: F.struct(x.alias("term"), (F.lit(k << _SHIFT) + i).alias("place"))
+
+    cut = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), placed(k)) for k, c in enumerate(columns)]
+    rows = segments.select("id", "ordinal", F.concat(*cut).alias("t")).withColumn("size", F.size("t"))
+    rows = rows.select("id", "ordinal", "size", F.explode("t").alias("x")).select("id", "ordinal", "size", "x.term", "x.place")
+    return rows.groupBy("term", "id", "ordinal", "size").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def build_index(segments: DataFrame, columns: tuple[str, ...] = ("text",), path: str | None = None) -> Index:
+    """Write postings and statistics of ``segments`` (id, ordinal and the columns) under ``path`` or in the shared folder."""
+    spark = segments.sparkSession
+    path = path or f"{shared_dir(spark)}/quillmesh-index-{uuid.uuid4().hex}"
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    # a term's bucket is dealt to several files by segment, so that a frequent term is not one task's
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings(segments, columns).drop("tf").withColumn("bucket", bucket)
+    rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id", "ordinal"), F.lit(max(1, parts // 8)))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    segments.agg(F.count(F.lit(1)).alias("N"), F.avg(size).alias("avgdl")).write.parquet(f"{path}/stats")
+    return open_index(spark, path, columns)
+
+
+def open_index(spark, path: str, columns: tuple[str, ...] = ("text",)) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), tuple(columns))
 
 
 def parse(query: str) -> list:
-    """Postfix tokens of a query: words, "phrases", prefix*, AND (also by juxtaposition), OR, NOT, parentheses."""
-    found = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
+    """Postfix form of a query: ("phrase", words, prefix, column) and ("near", phrases, distance), "AND", "OR", "NOT".
+
+    Words, "phrases", prefix*, column:, NEAR(a b, 5), AND (also by juxtaposition), OR, NOT, parentheses. A word is cut by the
+    rule of texts, so ``foo_bar`` is a phrase of two. ValueError for a form that can't be read.
+    """
     if query.count('"') % 2:
         raise ValueError("unterminated phrase")
+    found = re.findall(r'NEAR\s*\([^()]*\)|"[^"]*"\s*\*?|[():]|[^\s()":*]+\*?|\*', query)
     out: list = []
     at = 0
 
-    def atom() -> None:
+    def phrase(x: str, column: str | None) -> tuple:
+        own = words(x.strip("* \t\n").strip('"'))
+        if not own:
+            raise ValueError(f"no word in {x!r}")
+        return "phrase", own, x.rstrip().endswith("*"), column
+
+    def atom(column: str | None = None) -> None:
         nonlocal at
         if at >= len(found):
             raise ValueError("a term is missing")
         x = found[at]
         at += 1
         if x == "(":
-            either()
+            either(column)
             if at >= len(found) or found[at] != ")":
                 raise ValueError("a parenthesis is missing")
             at += 1
-        elif x.startswith('"'):
-            words = re.findall(r"\w+", x.lower())
-            if not words:
-                raise ValueError("an empty phrase")
-            out.append(("phrase", words))
-        elif x in ("AND", "OR", "NOT", ")"):
+        elif near := re.fullmatch(r"NEAR\s*\((.*)\)", x, re.S):
+            body, _, distance = near[1].rpartition(",") if "," in near[1] else (near[1], "", "10")
+            if not distance.strip().isdigit():
+                raise ValueError("NEAR takes a number of words")
+            out.append(("near", [phrase(p, column) for p in re.findall(r'"[^"]*"|\S+', body)], int(distance)))
+        elif x in ("AND", "OR", "NOT", ")", ":", "*"):
             raise ValueError(f"unexpected {x}")
-        elif re.fullmatch(r"\w+\*", x):
-            out.append(("prefix", x[:-1].lower()))
-        elif re.fullmatch(r"\w+", x):
-            out.append(("term", x.lower()))
-        else:
+        elif at < len(found) and found[at] == ":":
+            at += 1
+            atom(x.lower())
+        elif not x.startswith('"') and re.search(r"[^\w*]", x):
             raise ValueError(f"bad token {x!r}")
+        else:
+            out.append(phrase(x, column))
 
-    def without() -> None:
+    def without(column: str | None) -> None:
         nonlocal at
-        atom()
+        atom(column)
         while at < len(found) and found[at] == "NOT":
             at += 1
-            atom()
+            atom(column)
             out.append("NOT")
 
-    def both() -> None:
+    def both(column: str | None) -> None:
         nonlocal at
-        without()
+        without(column)
         while at < len(found) and found[at] not in ("OR", ")"):
             at += found[at] == "AND"
-            without()
+            without(column)
             out.append("AND")
 
-    def either() -> None:
+    def either(column: str | None) -> None:
         nonlocal at
-        both()
+        both(column)
         while at < len(found) and found[at] == "OR":
             at += 1
-            both()
+            both(column)
             out.append("OR")
 
-    either()
+    either(None)
     if at < len(found):
         raise ValueError(f"unexpected {found[at]!r}")
     return out
 
 
-def _starts(prefix: str):
-    return lambda w: w.startswith(prefix)
+def _phrases(parsed: list) -> list[tuple]:
+    return [p for x in parsed if isinstance(x, tuple) for p in ([x] if x[0] == "phrase" else x[1])]
+
+
+def _places(hits: Column, word: str, prefix: bool) -> Column:
+    """Places of a word, or of all words with a prefix, among a segment's postings (term, places)."""
+    test = (lambda h: h["term"].startswith(word)) if prefix else (lambda h: h["term"] == word)
+    return F.flatten(F.transform(F.filter(hits, test), lambda h: h["places"]))
+
+
+def _starts(hits: Column, phrase: tuple, columns: tuple[str, ...]) -> Column:
+    """Places where a phrase starts, in its column if it names one."""
+    _, own, prefix, column = phrase
+    places = [_places(hits, w, prefix and k == len(own) - 1) for k, w in enumerate(own)]
+    if column is not None and column not in columns:
+        raise ValueError(f"no column {column}")
+    inside = lambda p: F.lit(True) if column is None else F.shiftright(p, _SHIFT) == columns.index(column)
+    follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(x, p + k) for k, x in enumerate(places[1:], 1)], inside(p))
+    return F.filter(places[0], follows)
+
 
+def _near(starts: list[Column], sizes: list[int], distance: int) -> list[Column]:
+    """Of each phrase's places those in a window: all phrases stand there, ``distance`` words at most from the end of the
+    first to the start of the last."""
 
-def _equals(word: str):
-    return lambda w: w == word
+    def window(a: Column, size: int) -> Column:
+        return reduce(lambda x, y: x & y, [F.exists(other, lambda q: (q >= a) & (q <= a + size + distance)) for other in starts])
 
+    def windows(places: Column, size: int) -> Column:
+        return F.transform(F.filter(places, lambda a: window(a, size)), lambda a: F.struct(a.alias("a"), (a + size + distance).alias("z")))
 
-def matches(segments: DataFrame, query: str) -> tuple[Column, list[Column]]:
-    """(test, frequency of each phrase) over a column ``t`` of token arrays: one scan, no join, for any query."""
+    anchors = F.concat(*(windows(s, n) for s, n in zip(starts, sizes, strict=True)))
+    return [F.filter(s, lambda p: F.exists(anchors, lambda w: (p >= w["a"]) & (p <= w["z"]))) for s in starts]
+
+
+def bm25(index: Index, query: str) -> DataFrame:
+    """id, ordinal, rank of matching segments: negative, lower is better.
+
+    Only postings of the query's terms are read, from their buckets (a prefix reads all buckets). The number of segments of
+    each phrase and the index's statistics are one row, whose size does not depend on the data; it is broadcast.
+    """
+    parsed = parse(query)
+    known = _phrases(parsed)
+    exact = sorted({w for _, own, prefix, _ in known for w in (own[:-1] if prefix else own)})
+    starts = sorted({own[-1] for _, own, prefix, _ in known if prefix})
+    rows = index.postings
+    test = F.col("term").isin(exact) if exact else F.lit(False)
+    for w in starts:
+        test = test | F.col("term").startswith(w)
+    if not starts:
+        buckets = rows.sparkSession.range(1).select(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in exact)).first()
+        rows = rows.where(F.col("bucket").isin(sorted(set(buckets))))
+    hits = rows.where(test).groupBy("id", "ordinal", "size").agg(F.collect_list(F.struct("term", "places")).alias("hits"))
+    # places are columns of their own, so that tests of windows don't make them again for each place
+    hits = hits.select("id", "ordinal", "size", *(_starts(F.col("hits"), p, index.columns).alias(f"s{k}") for k, p in enumerate(known)))
     stack: list[Column] = []
     freqs: list[Column] = []
-    for x in parse(query):
+    for x in parsed:
         if isinstance(x, str):
             b, a = stack.pop(), stack.pop()
             stack.append(a & b if x == "AND" else a | b if x == "OR" else a & ~b)
             continue
-        kind, value = x
-        if kind == "phrase":
-            # words hold no sign that a regular expression reads; the look-ahead counts overlapping phrases too
-            freq = F.regexp_count(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), F.lit(f" (?={' '.join(value)} )"))
-        elif kind == "prefix":
-            freq = F.size(F.filter("t", _starts(value)))
-        else:
-            freq = F.size(F.filter("t", _equals(value)))
-        freqs.append(freq)
-        stack.append(freq > 0)
-    return stack[0], freqs
-
-
-def bm25(segments: DataFrame, query: str) -> DataFrame:
-    """id, ordinal, text, rank of matching segments: negative, lower is better.
-
-    Counts of segments, their mean length and each phrase's document count come from one aggregate of one row, whose
-    size does not depend on the data; it is broadcast.
-    """
-    test, freqs = matches(segments, query)
-    cut = segments.withColumn("t", tokens("text")).withColumn("size", F.size("t"))
-    cut = cut.select(*[c for c in cut.columns if c != "t"], test.alias("hit"), *(f.cast("double").alias(f"f{k}") for k, f in enumerate(freqs)))
-    stats = cut.agg(F.count(F.lit(1)).alias("N"), F.avg("size").alias("avgdl"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(freqs))))
+        found = [F.col(f"s{len(freqs) + k}") for k in range(1 if x[0] == "phrase" else len(x[1]))]
+        if x[0] == "near":
+            found = _near(found, [len(p[1]) for p in x[1]], x[2])
+        freqs += [F.size(f) for f in found]
+        stack.append(reduce(lambda a, b: a & b, [F.size(f) > 0 for f in found]))
+    n = range(len(freqs))
+    scored = hits.select("id", "ordinal", "size", stack[0].alias("hit"), *(f.cast("double").alias(f"f{k}") for k, f in enumerate(freqs)))
+    counts = scored.agg(*(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in n))
 
     def part(k: int) -> Column:
         raw = F.log((F.col("N") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
         f = F.col(f"f{k}")
         return F.when(raw <= 0, 1e-6).otherwise(raw) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
 
-    score = -reduce(lambda a, b: a + b, [part(k) for k in range(len(freqs))])
-    return cut.where("hit").crossJoin(F.broadcast(stats)).withColumn("rank", score).drop("hit", "N", "avgdl", "size", *(f"f{k}" for k in range(len(freqs))), *(f"n{k}" for k in range(len(freqs))))
-
+    one = counts.crossJoin(index.stats)
+    score = -reduce(lambda a, b: a + b, [part(k) for k in n])
+    return scored.where("hit").crossJoin(F.broadcast(one)).select("id", "ordinal", score.alias("rank"))
 
 
 def authority_rank() -> Column:
@@ -142,23 +253,43 @@ def status_rank() -> Column:
     return F.when(F.col("status") == "stable", 0).when(F.col("status") == "draft", 1).otherwise(2)
 
 
-def search_segments(segments: DataFrame, query: str, limit: int) -> DataFrame:
-    return bm25(segments, query).orderBy("rank", "id", "ordinal").limit(limit)
+def search_segments(index: Index, query: str, limit: int) -> DataFrame:
+    return bm25(index, query).orderBy("rank", "id", "ordinal").limit(limit)
+
 
+#: Filters of :func:`search` that are equalities on columns of resources.
+FILTERS = ("namespace", "kind", "authority", "status", "origin")
 
-def search(segments: DataFrame, resources: DataFrame, query: str, namespace: str | None = None, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """Best segment of each resource, by authority, status, rank and uri."""
+
+def search(
+    index: Index, resources: DataFrame, query: str, limit: int = 20, path: str | None = None, files: DataFrame | None = None, relation: str | None = None, edges: DataFrame | None = None, **filters: str | None
+) -> DataFrame:
+    """Best segment of each resource, by authority, status, rank and uri; a filter that is None does not filter.
+
+    ``path`` keeps resources that ``files`` (id, path) places there; ``relation`` those that an edge (src, dst, relation; ids)
+    of that kind leaves or enters.
+    """
     kept = resources
-    if namespace is not None:
-        kept = kept.where(F.col("namespace") == namespace)
-    if kind is not None:
-        kept = kept.where(F.col("kind") == kind)
-    ranked = bm25(segments, query).withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("rank", "ordinal")))
+    for name, value in filters.items():
+        if name not in FILTERS:
+            raise TypeError(f"no filter {name}")
+        kept = kept if value is None else kept.where(F.col(name) == value)
+    if path is not None:
+        kept = kept.join(files.where(F.col("path") == path).select("id"), "id", "left_semi")
+    if relation is not None:
+        of = edges.where(F.col("relation") == relation)
+        kept = kept.join(of.select(F.col("src").alias("id")).unionByName(of.select(F.col("dst").alias("id"))), "id", "left_semi")
+    ranked = bm25(index, query).withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("rank", "ordinal")))
     best = ranked.where("rn = 1").drop("rn").join(kept, "id")
     return best.orderBy(authority_rank(), status_rank(), "rank", "uri").limit(limit)
 
 
+def search_docs(index: Index, resources: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """id, title, uri, rank of documents, each once, 100 at most."""
+    return search(index, resources, query, limit=min(limit, 100)).select("id", "title", "uri", "rank")
+
+
 def prompt_query(prompt: str, limit: int = 8) -> str:
     """Quoted words of a prompt, joined by OR."""
-    words = [w for w in re.split(r"[^\w]+", prompt.lower()) if len(w.encode()) >= 2]
+    words = [w for w in re.split(r"[\W_]+", prompt.lower()) if len(w.encode()) >= 2]
     return " OR ".join(f'"{w}"' for w in words[:limit])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmesh.operators.fts import Index, build_index
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +89,28 @@ def patterns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, d: str, columns: tuple[str, ...] = ("text",)) -> Index:
+    """The search index over segments (with ``title``, also over titles of resources), built once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d, columns)
+    if key not in _indexes:
+        rows = segments(spark, d)
+        if "title" in columns:
+            rows = rows.join(resources(spark, d).select("id", "title"), "id")
+        _indexes[key] = build_index(rows, columns)
+    return _indexes[key]
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`edges` with ids (edge) and unresolved references (dst_ref): each nation has two of those with equal ends."""
+    known = edges(spark, d).select(F.concat_ws(">", "src", "dst").alias("edge"), "src", "dst", "relation", F.lit(None).cast("string").alias("dst_ref"))
+    gone = table(spark, d, "nation").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("k"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("src"), F.col("n_regionkey").alias("r"))
+    gone = gone.select(F.concat_ws("!", "src", "k").alias("edge"), "src", F.lit(None).cast("string").alias("dst"), F.lit("contains").alias("relation"), F.concat(F.lit("gone:"), F.col("r").cast("string")).alias("dst_ref"))
+    return known.unionByName(gone)
+
+
 V_FILES = "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, lang AS extension, n_chars AS size, doc_id AS mtime, text FROM documents"
 V_RESOURCES = """SELECT d.doc_id AS id, 'repo://docs/' || d.doc_id AS uri, substring(d.text, 1, 30) AS title, d.lang AS kind, d.source AS namespace,
  CASE WHEN quality = 1 THEN 'repository' WHEN quality = 0 THEN 'gateway' ELSE 'derived' END AS authority,
@@ -98,11 +122,13 @@ V_EDGES = """SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS
  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer
  UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'contains' FROM supplier
  UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'calls' FROM orders"""
+V_LINKS = """SELECT src || '>' || dst AS edge, src, dst, relation, CAST(NULL AS VARCHAR) AS dst_ref FROM v_edges
+ UNION ALL SELECT 'nation:' || n_nationkey || '!' || k, 'nation:' || n_nationkey, NULL, 'contains', 'gone:' || n_regionkey FROM nation, (VALUES ('a'), ('b')) x(k)"""
 V_ACCESS = "SELECT user_id AS resource, event_type AS tool, CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM events"
 V_MESSAGES = "SELECT conv_id AS conv, turn AS id, CASE WHEN turn > 0 THEN turn - 1 END AS parent, role AS sender, text AS content FROM conversations"
 V_TASKS = """SELECT o_orderkey AS id, 'order ' || o_orderkey || ' ' || lower(o_orderpriority) AS title,
  CASE o_orderstatus WHEN 'O' THEN 'todo' WHEN 'P' THEN 'in_progress' ELSE 'done' END AS status, o_custkey AS rank, lower(o_orderpriority) AS label FROM orders"""
 V_PATTERNS = """SELECT item_id AS id, 'p-' || item_id AS slug, text AS body, CAST(item_id % 3 AS VARCHAR) AS version,
  CASE WHEN item_id % 5 = 0 THEN 'superseded-by:p-' || (item_id + 1) ELSE 'accepted' END AS state FROM benchmark"""
-VIEWS = f"""WITH v_files AS ({V_FILES}), v_resources AS ({V_RESOURCES}), v_segments AS ({V_SEGMENTS}), v_edges AS ({V_EDGES}),
+VIEWS = f"""WITH v_files AS ({V_FILES}), v_resources AS ({V_RESOURCES}), v_segments AS ({V_SEGMENTS}), v_edges AS ({V_EDGES}), v_links AS ({V_LINKS}),
  v_access AS ({V_ACCESS}), v_messages AS ({V_MESSAGES}), v_tasks AS ({V_TASKS}), v_patterns AS ({V_PATTERNS})"""

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillmesh.functions import markdown, scalars, text
 from quillmesh.operators import board, catalog, fts, graph, store
 from quillmesh.plans import adapters as v
+from quillmesh.plans.base import query
 from quillmesh.sources import files as source_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Register a query with the body of its SQL, which may use the model views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"{v.VIEWS} {sql}"
-        return f
-
-    return add
-
-
 # files and resources
 
 
@@ -49,20 +33,21 @@ def key_files(s, d):
     return catalog.key_files(v.files(s, d), ["7.txt", "11.txt", "nope.md"])
 
 
-@query("""SELECT p_name AS name, p_brand AS kind, p_type AS path, CASE WHEN p_name = 'part 1' THEN 0 WHEN lower(p_name) LIKE 's%' THEN 1 ELSE 2 END AS rank, p_partkey AS id
- FROM part WHERE lower(p_name) LIKE '%e%' AND p_size > 10""")
+@query("""SELECT p_name AS name, p_brand AS kind, p_type AS path, CASE WHEN p_name = 'S' THEN 0 WHEN lower(p_name) LIKE 's%' THEN 1 ELSE 2 END AS rank, p_partkey AS id
+ FROM part WHERE lower(p_name) LIKE '%s%' AND p_brand = 'Brand#13' AND lower(p_type) LIKE '%e%' ORDER BY 4, 1, 3, 5 LIMIT 200""")
 def symbol_search_rank(s, d):
-    p = v.table(s, d, "part").where("p_size > 10").select(F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_type").alias("path"), F.col("p_partkey").alias("id"))
-    rank = F.when(F.col("name") == "part 1", 0).when(catalog.like_fold("name", "S%"), 1).otherwise(2)
-    return p.where(catalog.contains("name", "E")).withColumn("rank", rank)
+    p = v.table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_type").alias("path"), F.col("p_partkey").alias("id"))
+    return catalog.symbol_search(p, "S", "Brand#13", "E", 200, last=["id"])
 
 
-@query("""SELECT id, uri, CASE WHEN uri = 'repo://docs/12' THEN 0 ELSE 3 END AS rank FROM v_resources WHERE uri = 'repo://docs/12' OR lower(title) LIKE '%the the%'
- ORDER BY 3, 2 LIMIT 20""")
+@query("""SELECT id, uri, CASE WHEN uri = 'repo://docs/12' THEN 0 WHEN title = 'repo://docs/12' THEN 1 WHEN ext = 'repo://docs/12' THEN 2 ELSE 3 END AS rank, 0 AS case_no FROM (SELECT *, 'x' || id AS ext FROM v_resources) WHERE uri = 'repo://docs/12'
+ UNION ALL SELECT * FROM (SELECT id, uri, CASE WHEN ext = 'x7' THEN 2 ELSE 3 END, 1 FROM (SELECT *, 'x' || id AS ext FROM v_resources) WHERE lower(title) LIKE '%x7%' OR lower(ext) LIKE '%x7%' ORDER BY 3, 2 LIMIT 20)
+ UNION ALL SELECT * FROM (SELECT id, uri, 3, 2 FROM v_resources WHERE lower(title) LIKE '%the%' AND namespace = 'src2' ORDER BY 2 LIMIT 20)""")
 def resource_lookup(s, d):
-    r = v.resources(s, d).withColumn("external_id", F.lit(""))
-    q = r.where((F.col("uri") == "repo://docs/12") | catalog.contains("title", "The The"))
-    return q.select("id", "uri", F.when(F.col("uri") == "repo://docs/12", 0).otherwise(3).alias("rank")).orderBy("rank", "uri").limit(20)
+    r = v.resources(s, d).withColumn("external_id", F.concat(F.lit("x"), F.col("id").cast("string")))
+    found = [catalog.find_resources(r, "repo://docs/12"), catalog.find_resources(r, "X7").withColumn("rank", F.when(F.col("external_id") == "x7", 2).otherwise(F.col("rank"))), catalog.find_resources(r, "The", "src2")]
+    parts = [f.select("id", "uri", "rank", F.lit(k).alias("case_no")) for k, f in enumerate(found)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""SELECT id, uri, authority FROM (SELECT *, CASE authority WHEN 'repository' THEN 0 WHEN 'gateway' THEN 1 ELSE 2 END AS r FROM v_resources WHERE kind = 'de')
@@ -93,10 +78,9 @@ def tree_topn(s, d):
 @query("""SELECT * FROM (SELECT 0 AS block, uri AS hit FROM v_resources WHERE kind = 'es' ORDER BY uri LIMIT 5)
  UNION ALL SELECT * FROM (SELECT 1, p_name || '#' || p_partkey FROM part ORDER BY 2 LIMIT 5) UNION ALL SELECT * FROM (SELECT 2, path FROM v_files ORDER BY path LIMIT 5)""")
 def search_all(s, d):
-    a = v.resources(s, d).where("kind = 'es'").select(F.lit(0).alias("block"), F.col("uri").alias("hit")).orderBy("hit").limit(5)
-    b = v.table(s, d, "part").select(F.lit(1).alias("block"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("hit")).orderBy("hit").limit(5)
-    c = v.files(s, d).select(F.lit(2).alias("block"), F.col("path").alias("hit")).orderBy("hit").limit(5)
-    return a.unionByName(b).unionByName(c)
+    a = v.resources(s, d).where("kind = 'es'").select(F.col("uri").alias("hit"))
+    b = v.table(s, d, "part").select(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("hit"))
+    return catalog.search_all([a, b, v.files(s, d).select(F.col("path").alias("hit"))], ["hit"], 5)
 
 
 # text
@@ -150,12 +134,12 @@ def read_lines(s, d):
 
 @query("SELECT path, size FROM v_files ORDER BY size DESC, path LIMIT 25 OFFSET 10")
 def page_with_resume(s, d):
-    return v.files(s, d).orderBy(F.desc("size"), "path").offset(10).limit(25).select("path", "size")
+    return text.page(v.files(s, d), [F.desc("size"), "path"], 10, 25).select("path", "size")
 
 
 # full text
 
-_TOKENS = "t AS (SELECT id, ordinal, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM v_segments)"
+_TOKENS = "t AS (SELECT id, ordinal, text, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM v_segments)"
 
 
 def _bm25(terms: list[str], test: str) -> str:
@@ -172,22 +156,22 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_bm25(["the", "ouble"], "f0 > 0 OR f1 > 0") + " SELECT id, ordinal, round(rank, 6) AS rank FROM r")
 def fts_or(s, d):
-    return _rounded(fts.bm25(v.segments(s, d), "the OR ouble")).select("id", "ordinal", "rank")
+    return _rounded(fts.bm25(v.index(s, d), "the OR ouble")).select("id", "ordinal", "rank")
 
 
 @query(_bm25(["and", "with"], "f0 > 0 AND f1 > 0") + " SELECT id, ordinal, round(rank, 6) AS rank FROM r")
 def fts_and(s, d):
-    return _rounded(fts.bm25(v.segments(s, d), "and with")).select("id", "ordinal", "rank")
+    return _rounded(fts.bm25(v.index(s, d), "and with")).select("id", "ordinal", "rank")
 
 
 @query(_bm25(["er"], "f0 > 0") + " SELECT id, ordinal, round(rank, 6) AS rank FROM r ORDER BY r.rank, id, ordinal LIMIT 40")
 def fts_bm25(s, d):
-    return _rounded(fts.search_segments(v.segments(s, d), "er", 40)).select("id", "ordinal", "rank")
+    return _rounded(fts.search_segments(v.index(s, d), "er", 40)).select("id", "ordinal", "rank")
 
 
 @query(f", {_TOKENS} SELECT id, ordinal FROM t WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')")
 def fts_phrase(s, d):
-    return fts.bm25(v.segments(s, d), '"of the"').select("id", "ordinal")
+    return fts.bm25(v.index(s, d), '"of the"').select("id", "ordinal")
 
 
 @query(
@@ -197,7 +181,7 @@ def fts_phrase(s, d):
  ORDER BY CASE authority WHEN 'repository' THEN 0 WHEN 'gateway' THEN 1 ELSE 2 END, CASE status WHEN 'stable' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END, b.rank, uri LIMIT 30"""
 )
 def fts_filtered(s, d):
-    found = fts.search(v.segments(s, d), v.resources(s, d), "thnt OR ouble OR ertion", kind="en", limit=30)
+    found = fts.search(v.index(s, d), v.resources(s, d), "thnt OR ouble OR ertion", kind="en", limit=30)
     return _rounded(found).select("id", "ordinal", "rank", "uri", "authority", "status")
 
 
@@ -216,7 +200,7 @@ def graph_out(s, d):
 
 @query("SELECT src, dst, relation FROM v_edges WHERE dst IN ('customer:5', 'order:9')")
 def graph_in(s, d):
-    return graph.hop(v.edges(s, d), s.createDataFrame([("customer:5",), ("order:9",)], "node string"), "in")
+    return graph.hop_order(graph.hop(v.edges(s, d), s.createDataFrame([("customer:5",), ("order:9",)], "node string"), "in"))
 
 
 @query("""SELECT src, dst, relation, 1 AS depth FROM v_edges WHERE src = 'region:2' UNION ALL
@@ -248,10 +232,7 @@ def impls_union(s, d):
 @query("""SELECT o.id, uri, coalesce(n_segments, 0)::BIGINT AS n_segments, coalesce(uses, 0)::BIGINT AS uses FROM v_resources o
  LEFT JOIN (SELECT id, count(*) AS n_segments FROM v_segments GROUP BY 1) s ON s.id = o.id LEFT JOIN (SELECT resource, count(*) AS uses FROM v_access GROUP BY 1) a ON a.resource = o.id""")
 def resource_detail(s, d):
-    n = v.segments(s, d).groupBy("id").agg(F.count(F.lit(1)).alias("n_segments"))
-    u = store.access_counts(v.access(s, d)).groupBy(F.col("resource").alias("id")).agg(F.sum("access_count").alias("uses"))
-    out = v.resources(s, d).join(n, "id", "left").join(u, "id", "left")
-    return out.select("id", "uri", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return catalog.resource_detail(v.resources(s, d), {"n_segments": v.segments(s, d).select("id")}, store.access_counts(v.access(s, d))).select("id", "uri", "n_segments", "uses")
 
 
 _SPANS = "s AS (SELECT l_orderkey * 10 + l_linenumber AS owner, l_orderkey AS file, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber * 5 AS b FROM lineitem)"
@@ -296,11 +277,12 @@ def prune_recent(s, d):
     return store.prune_to_recent(r, ["namespace"], 5, "at", "id").select("namespace", "id")
 
 
-@query("SELECT id AS resource, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS version FROM v_resources")
+@query("SELECT id AS resource, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS hash FROM v_resources")
 def current_version(s, d):
     r = v.resources(s, d).select(F.col("id").alias("resource"))
-    both = r.withColumn("version", F.lit(1)).unionByName(r.where("resource % 2 = 0").withColumn("version", F.lit(2)))
-    return store.current_versions(both)
+    stored = r.withColumn("hash", F.lit("old")).withColumn("version", F.lit(1))
+    new = r.withColumn("hash", F.when(F.col("resource") % 2 == 0, "new").otherwise("old"))
+    return store.current_versions(store.put_version(stored, new))
 
 
 @query("SELECT uri AS source_ref, CASE WHEN id % 4 = 0 THEN 'create' WHEN id % 3 = 0 THEN 'update' ELSE 'reuse' END AS action FROM v_resources")
@@ -383,10 +365,9 @@ def pattern_search(s, d):
 
 @query("SELECT p.slug, replace(p.state, 'superseded-by:', '') AS replacement, 'review ' || p.slug AS task_title, 'create' AS action FROM v_patterns p WHERE p.state LIKE 'superseded-by:%' AND p.id % 10 = 0")
 def pattern_check(s, d):
-    p = v.patterns(s, d).withColumn("replacement", board.superseded_by(F.col("state"))).where("replacement IS NOT NULL")
-    p = p.withColumn("task_title", F.concat(F.lit("review "), F.col("slug")))
-    open_ = p.where("id % 10 <> 0").select("task_title")
-    return p.join(open_, "task_title", "left_anti").select("slug", "replacement", "task_title", F.lit("create").alias("action"))
+    p = v.patterns(s, d)
+    open_ = p.where("id % 10 <> 0").select(F.concat(F.lit("review "), F.col("slug")).alias("task_title"))
+    return board.pattern_tasks(p, open_).where("action = 'create'").select("slug", "replacement", "task_title", "action")
 
 
 # context
@@ -453,9 +434,36 @@ def file_classes(s, d):
     return classed.select("path", "class", "has_bom", "line_ending", "trailing_newline")
 
 
-@query("""SELECT path, i AS ordinal, CASE WHEN i = 0 THEN path ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END AS title, i + 1 AS start_line, i + 1 AS end_line,
- coalesce(sum(strlen(t) + 4) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte
- FROM (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM v_files)""")
+_HEADED = """d AS (SELECT path, 'before' || chr(10) || '# One' || chr(10) || text || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '### Three [in](x/' || mtime || '.md) it' || chr(10) || 'end' AS text FROM v_files WHERE NOT regexp_matches(text, '(^|\n)\\s{0,3}(#|```|~~~)')),
+ l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM d),
+ h AS (SELECT *, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte FROM l)"""
+
+
+def _headed(s, d):
+    """Documents as Markdown: a preamble, two headings, a fence that holds a false one, and a link."""
+    f = v.texts(s, d).join(v.files(s, d).select("path", "mtime"), "path").where(~F.col("text").rlike("(^|\n)\\s{0,3}(#|```|~~~)"))
+    link = F.concat(F.lit("\n```\n# no heading\n```\n### Three [in](x/"), F.col("mtime").cast("string"), F.lit(".md) it\nend"))
+    return f.select("path", F.concat(F.lit("before\n# One\n"), F.col("text"), link).alias("text"))
+
+
+@query(f""", {_HEADED} SELECT path, 0 AS ordinal, path AS title, 1 AS start_line, 1 AS end_line, 0::BIGINT AS start_byte FROM d
+ UNION ALL SELECT path, 1, 'One', 2, n - 2, byte FROM h WHERE i = 1 UNION ALL SELECT path, 2, regexp_extract(t, '^### (.*)$', 1), n - 1, n, byte FROM h WHERE i = n - 2""")
 def heading_segments(s, d):
-    headed = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("## "), x)), "\n")
-    return markdown.segments(v.texts(s, d).select("path", headed.alias("text"))).select("path", "ordinal", "title", "start_line", "end_line", "start_byte")
+    return markdown.segments(_headed(s, d)).select("path", "ordinal", "title", "start_line", "end_line", "start_byte")
+
+
+@query(f""", {_HEADED} SELECT path, 1::BIGINT AS level, 'One' AS title, 2::BIGINT AS line FROM d UNION ALL SELECT path, 3, regexp_extract(t, '^### (.*)$', 1), n - 1 FROM h WHERE i = n - 2""")
+def heading_outline(s, d):
+    found = markdown.outline(_headed(s, d)).select("path", F.explode("headings").alias("h"))
+    return found.select("path", F.col("h.level").cast("long").alias("level"), F.col("h.text").alias("title"), F.col("h.line").cast("long").alias("line"))
+
+
+@query(f""", {_HEADED} SELECT path, '# One' || chr(10) || string_agg(t, chr(10) ORDER BY i) || chr(10) AS section FROM h WHERE i > 1 GROUP BY path""")
+def doc_section(s, d):
+    plain = _headed(s, d).where(~F.col("text").contains("\r"))
+    return markdown.section(plain, "oNE")
+
+
+@query(f""", {_HEADED} SELECT path, 'in' AS label, 'x/' || regexp_extract(t, 'x/([0-9]+)', 1) || '.md' AS target, (n - 1)::BIGINT AS line FROM h WHERE i = n - 2""")
+def inline_links(s, d):
+    return markdown.inline_links(_headed(s, d)).select("path", "label", "target", F.col("line").cast("long").alias("line"))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillmesh.plans.catalog import ORACLES, QUERIES
+from quillmesh.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,6 +30,6 @@ def rows(df):
     return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(ORACLES[name]).df())
