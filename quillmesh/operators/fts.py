@@ -189,6 +189,11 @@ def _near(starts: list[Column], sizes: list[int], distance: int) -> list[Column]
     """Of each phrase's places those in a window: all phrases stand there, ``distance`` words at most from the end of the
     first to the start of the last."""
 
+    if len(starts) == 2:  # each place needs one of the other phrase before or after it
+        (a, b), (m, n) = starts, sizes
+        close = lambda p, size, q, other: ((q >= p) & (q <= p + size + distance)) | ((p >= q) & (p <= q + other + distance))
+        return [F.filter(a, lambda p: F.exists(b, lambda q: close(p, m, q, n))), F.filter(b, lambda p: F.exists(a, lambda q: close(p, n, q, m)))]
+
     def window(a: Column, size: int) -> Column:
         return reduce(lambda x, y: x & y, [F.exists(other, lambda q: (q >= a) & (q <= a + size + distance)) for other in starts])
 
