@@ -549,6 +549,21 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).selectExpr("sum(length)").first()[0] > 10_000
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    # columns that stages might use themselves, repeated ids and rows, nulls, empty and very long texts
+    clashing = odd_docs.selectExpr("*", "1 AS fp", "'c' AS class", "'l' AS line", "2 AS n_words", "'k' AS known", "3 AS h", "4 AS node", "5 AS n", "6 AS start", "'p' AS part", "7 AS rank")
+    for docs in (clashing, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert len(got) <= docs.count() and (docs is no_docs or name == "quality_rules" or got), name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+        assert len({r.doc_id for r in pieces}) == len({r.doc_id for r in docs.collect()})
+
+
 def _hash(text):
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (1 << 64) if h >> 63 else h
