@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillmesh.llm.common import add_columns, doc_columns, prepare, read_table, slices, stage_table, tidy
+from quillmesh.llm.common import add_columns, doc_columns, drop_staged, prepare, read_table, slices, stage_table, tidy
 from quillmesh.llm.components import components
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
@@ -184,7 +184,7 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
 
     Exact prefix join: in any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
     order puts shingles of rare counters first. A first common place bounds what can follow it; pairs that pass are
-    verified on whole sets. First each set meets the least set of each of its buckets; sets that this connects are a
+    verified on whole sets. First each set meets the least set of most of its buckets; sets that this connects are a
     class and make no more pairs among themselves, so a large group of close texts makes about as many pairs as it has rows.
     """
     order = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text))
@@ -216,22 +216,25 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
     # a shingle that one set alone has in its prefix joins nothing
     hub = rows.groupBy("shingle").agg(F.min(F.struct("fp", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stage_table(rows.join(hub, "shingle").select("shingle", "fp", "n", "place", "hub"), "met")
-    first = met.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), *_sizes(F.col("hub"), F.struct("n", "place"))).where((F.col("a") < F.col("b")) & _may())
-    first = stage_table(first.select("a", "b").distinct(), "candidates")
+    hubs = met.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), *_sizes(F.col("hub"), F.struct("n", "place"))).where((F.col("a") < F.col("b")) & _may())
+    # a set meets one hub, that of most of its buckets
+    shared = hubs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("k"))
+    first = stage_table(shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b"), "candidates")
     ids = marked.groupBy("fp").agg(F.min("h").alias("h"))  # copies go before any join
     close = stage_table(_verified(texts, ids, first), "links-of-hubs")
     members = stage_table(components(close, "a", "b"), "members-of-hubs")
     # what hubs have joined already needs no more pairs: the rest of a bucket meets the bucket's greatest class and itself
     held = met.select("shingle", "fp", "n", "place").join(members, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("component", "fp")).drop("node", "component")
-    held = stage_table(held, "met-classes")
     sizes = held.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("k"))
     greatest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", F.col("top.class").alias("greatest"))
     mixed = stage_table(held.join(greatest, "shingle"), "met-mixed")
+    drop_staged(met)
     x = mixed.where("class <> greatest").select("shingle", F.col("fp").alias("x"), F.col("class").alias("cx"), F.struct("n", "place").alias("sx"))
     y = mixed.select("shingle", F.col("fp").alias("y"), F.col("class").alias("cy"), F.struct("n", "place").alias("sy"), F.col("greatest"))
     pair = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("greatest")) | (F.col("x") < F.col("y"))) & _may(F.col("sx"), F.col("sy"))
     rest = x.join(y, "shingle").where(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stage_table(rest.join(first, ["a", "b"], "left_anti"), "candidates")
+    drop_staged(mixed)
     return close.unionByName(_verified(texts, ids, rest))
 
 
@@ -266,6 +269,7 @@ def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = ids.join(wanted, "fp", "left_semi").select("h").distinct()
+    wanted = stage_table(wanted, "wanted")
     texts = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
     known = stage_table(texts.mapInArrow(tidy(sets), "fp long, found binary"), "sets")
     x = known.select(F.col("fp").alias("a"), F.col("found").alias("x"))
