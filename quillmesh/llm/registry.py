@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillmesh.llm import bpe, gif, language, lines, neardup, packing, pages, quality, sharding, tokenfile
+from quillmesh.llm import bpe, classifier, gif, language, lines, names, neardup, packing, pages, quality, sharding, tokenfile, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lines.op8_line_dedup,
         bpe.op9_byte_bpe,
         sharding.op10_kd_sharding,
+        names.op11_edit_name_join,
+        classifier.op12_quality_classifier,
+        trie.op13_conversation_trie,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op11_edit_name_join": names.ORACLE, "op13_conversation_trie": trie.ORACLE}
