@@ -37,19 +37,30 @@ def _folds() -> tuple[str, str]:
 _MARKED, _PLAIN = _folds()
 
 
+_TABLE = str.maketrans(_MARKED, _PLAIN + "\0" * (len(_MARKED) - len(_PLAIN)))
+#: A token with the combining marks that folding takes out of it.
+_TOKEN = "[\\p{L}\\p{N}\u0300-\u036f]*[\\p{L}\\p{N}][\\p{L}\\p{N}\u0300-\u036f]*"
+
+
 def fold(c: Column | str) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    """Lower case, Latin letters without their marks, no combining marks U+0300 to U+036F. Letters of other scripts stay whole."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.lower(c), _MARKED, _PLAIN))
 
 
 def tokens(c: Column | str) -> Column:
     return F.filter(F.split(fold(c), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
 
 
+def n_tokens(c: Column | str) -> Column:
+    """The number of :func:`tokens`, without making them."""
+    return F.regexp_count(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), F.lit(_TOKEN))
+
+
 def words(text: str) -> list[str]:
-    """The tokens of a query's word or phrase, by the rule of :func:`tokens`."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return [w for w in re.split(r"[\W_]+", unicodedata.normalize("NFC", plain)) if w]
+    """The tokens of a query's word or phrase, folded by the table of :func:`fold` and cut by the rule of :func:`tokens`."""
+    folded = text.lower().translate(_TABLE).replace("\0", "")
+    return [w for w in "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded).split(" ") if w]
 
 
 @dataclass(frozen=True)
@@ -81,7 +92,7 @@ def build_index(segments: DataFrame, columns: tuple[str, ...] = ("text",), path:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = postings(segments, columns).drop("tf").withColumn("bucket", bucket)
     rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id", "ordinal"), F.lit(max(1, parts // 8)))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    size = sum((n_tokens(c) for c in columns), F.lit(0))
     segments.agg(F.count(F.lit(1)).alias("N"), F.avg(size).alias("avgdl")).write.parquet(f"{path}/stats")
     return open_index(spark, path, columns)
 
@@ -90,74 +101,143 @@ def open_index(spark, path: str, columns: tuple[str, ...] = ("text",)) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), tuple(columns))
 
 
+_LEXEMES = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x1a\x80-\U0010ffff]+)|([(){}:,+*^-]))')
+
+
+def _lexemes(query: str) -> list[str]:
+    found, at = [], 0
+    while query[at:].strip():
+        m = _LEXEMES.match(query, at)
+        if not m:
+            raise ValueError(f"can't read {query[at:].strip()[:20]!r}")
+        found.append(m[0].strip())
+        at = m.end()
+    return found
+
+
+def _string(x: str) -> bool:
+    return x[0] == '"' or x not in ("AND", "OR", "NOT") and x[0] not in "(){}:,+*^-"
+
+
+def _narrowed(column, more):
+    """A column filter inside another: both hold."""
+    return column if more is None else more if column is None else ("both", column, more)
+
+
 def parse(query: str) -> list:
-    """Postfix form of a query: ("phrase", words, prefix, column) and ("near", phrases, distance), "AND", "OR", "NOT".
+    """Postfix form of a query: ("phrase" or "first", words, prefix, columns), ("near", phrases, distance), "AND", "OR", "NOT".
 
-    Words, "phrases", prefix*, column:, NEAR(a b, 5), AND (also by juxtaposition), OR, NOT, parentheses. A word is cut by the
-    rule of texts, so ``foo_bar`` is a phrase of two. ValueError for a form that can't be read.
+    Words, "phrases" (with "" for a quote), one + two as one phrase, prefix*, ^first word of a column, NEAR(a b, 5), AND, OR, NOT
+    and parentheses. Terms that stand side by side belong together by AND, more tightly than by any operator. ``a : x``,
+    ``{a b} : x``, ``- a : x`` and ``- {a b} : x`` name the columns that x may or may not be in, or must not be in; in another
+    filter both hold. Columns are None (any), a name, ("in", names), ("out", names) or ("both", columns, columns). A word is cut
+    by the rule of texts, so ``foo_bar`` is a phrase of two. ValueError for a form that can't be read.
     """
-    if query.count('"') % 2:
-        raise ValueError("unterminated phrase")
-    found = re.findall(r'NEAR\s*\([^()]*\)|"[^"]*"\s*\*?|[():]|[^\s()":*]+\*?|\*', query)
+    found = _lexemes(query)
     out: list = []
     at = 0
 
-    def phrase(x: str, column: str | None) -> tuple:
-        own = words(x.strip("* \t\n").strip('"'))
-        if not own:
-            raise ValueError(f"no word in {x!r}")
-        return "phrase", own, x.rstrip().endswith("*"), column
+    def peek(k: int = 0) -> str:
+        return found[at + k] if at + k < len(found) else ""
 
-    def atom(column: str | None = None) -> None:
+    def take(x: str) -> None:
         nonlocal at
-        if at >= len(found):
-            raise ValueError("a term is missing")
-        x = found[at]
+        if peek() != x:
+            raise ValueError(f"{x} is missing" if not peek() else f"unexpected {peek()!r}")
         at += 1
-        if x == "(":
-            either(column)
-            if at >= len(found) or found[at] != ")":
-                raise ValueError("a parenthesis is missing")
+
+    def string() -> str:
+        nonlocal at
+        if not peek() or not _string(peek()):
+            raise ValueError("a term is missing" if not peek() else f"unexpected {peek()!r}")
+        at += 1
+        x = found[at - 1]
+        return x[1:-1].replace('""', '"') if x[0] == '"' else x
+
+    def filtered() -> bool:
+        return peek() in ("-", "{") or bool(peek()) and _string(peek()) and peek(1) == ":"
+
+    def columns():
+        nonlocal at
+        out_ = peek() == "-"
+        at += out_
+        if peek() == "{":
             at += 1
-        elif near := re.fullmatch(r"NEAR\s*\((.*)\)", x, re.S):
-            body, _, distance = near[1].rpartition(",") if "," in near[1] else (near[1], "", "10")
-            if not distance.strip().isdigit():
-                raise ValueError("NEAR takes a number of words")
-            out.append(("near", [phrase(p, column) for p in re.findall(r'"[^"]*"|\S+', body)], int(distance)))
-        elif x in ("AND", "OR", "NOT", ")", ":", "*"):
-            raise ValueError(f"unexpected {x}")
-        elif at < len(found) and found[at] == ":":
+            names = []
+            while peek() != "}":
+                names.append(string().lower())
             at += 1
-            atom(x.lower())
-        elif not x.startswith('"') and re.search(r"[^\w*]", x):
-            raise ValueError(f"bad token {x!r}")
         else:
-            out.append(phrase(x, column))
+            names = [string().lower()]
+        take(":")
+        if not names:
+            raise ValueError("a column is missing")
+        return ("out" if out_ else "in", tuple(names)) if out_ or len(names) > 1 else names[0]
 
-    def without(column: str | None) -> None:
+    def phrase(column) -> tuple:
         nonlocal at
-        atom(column)
-        while at < len(found) and found[at] == "NOT":
+        own, prefix = words(string()), False
+        while True:
+            if peek() == "*":
+                at += 1
+                prefix = True
+            if peek() != "+" or prefix:
+                break
             at += 1
-            atom(column)
-            out.append("NOT")
+            own += words(string())
+        if not own:
+            raise ValueError("a phrase has no word")
+        return "phrase", own, prefix, column
 
-    def both(column: str | None) -> None:
+    def near_set(column) -> None:
         nonlocal at
-        without(column)
-        while at < len(found) and found[at] not in ("OR", ")"):
-            at += found[at] == "AND"
-            without(column)
-            out.append("AND")
+        if peek() == "NEAR" and peek(1) == "(":
+            at += 2
+            phrases, distance = [phrase(column)], "10"
+            while peek() not in (")", ","):
+                phrases.append(phrase(column))
+            if peek() == ",":
+                at += 1
+                distance = string()
+            take(")")
+            if not distance.isdigit():
+                raise ValueError("NEAR takes a number of words")
+            out.append(("near", phrases, int(distance)))
+        elif peek() == "^":
+            at += 1
+            out.append(("first", *phrase(column)[1:]))
+        else:
+            out.append(phrase(column))
 
-    def either(column: str | None) -> None:
+    def item(column) -> None:
         nonlocal at
-        both(column)
-        while at < len(found) and found[at] == "OR":
+        while filtered():
+            column = _narrowed(column, columns())
+        if peek() == "(":
             at += 1
-            both(column)
-            out.append("OR")
+            either(column)
+            take(")")
+        else:
+            near_set(column)
+
+    def terms(column) -> None:
+        item(column)
+        while peek() and (_string(peek()) or peek() in ("(", "^", "-", "{")):
+            item(column)
+            out.append("AND")
 
+    def chain(below, word: str):
+        def run(column) -> None:
+            nonlocal at
+            below(column)
+            while peek() == word:
+                at += 1
+                below(column)
+                out.append(word)
+
+        return run
+
+    either = chain(chain(chain(terms, "NOT"), "AND"), "OR")
     either(None)
     if at < len(found):
         raise ValueError(f"unexpected {found[at]!r}")
@@ -165,7 +245,21 @@ def parse(query: str) -> list:
 
 
 def _phrases(parsed: list) -> list[tuple]:
-    return [p for x in parsed if isinstance(x, tuple) for p in ([x] if x[0] == "phrase" else x[1])]
+    return [p for x in parsed if isinstance(x, tuple) for p in (x[1] if x[0] == "near" else [x])]
+
+
+def _allowed(column, columns: tuple[str, ...]) -> set[int]:
+    """Numbers of the columns that a filter leaves."""
+    if column is None:
+        return set(range(len(columns)))
+    if column[0] == "both" and isinstance(column, tuple):
+        return _allowed(column[1], columns) & _allowed(column[2], columns)
+    kind, names = column if isinstance(column, tuple) else ("in", (column,))
+    lower = [c.lower() for c in columns]
+    for name in names:
+        if name not in lower:
+            raise ValueError(f"no column {name}")
+    return {k for k, c in enumerate(lower) if (c in names) == (kind == "in")}
 
 
 def _places(hits: Column, word: str, prefix: bool) -> Column:
@@ -176,11 +270,13 @@ def _places(hits: Column, word: str, prefix: bool) -> Column:
 
 def _starts(hits: Column, phrase: tuple, columns: tuple[str, ...]) -> Column:
     """Places where a phrase starts, in its column if it names one."""
-    _, own, prefix, column = phrase
+    kind, own, prefix, column = phrase
     places = [_places(hits, w, prefix and k == len(own) - 1) for k, w in enumerate(own)]
-    if column is not None and column not in columns:
-        raise ValueError(f"no column {column}")
-    inside = lambda p: F.lit(True) if column is None else F.shiftright(p, _SHIFT) == columns.index(column)
+    kept = _allowed(column, columns)
+    if kind == "first":
+        inside = lambda p: p.isin([k << _SHIFT for k in sorted(kept)])
+    else:
+        inside = lambda p: F.lit(True) if len(kept) == len(columns) else F.shiftright(p, _SHIFT).isin(sorted(kept))
     follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(x, p + k) for k, x in enumerate(places[1:], 1)], inside(p))
     return F.filter(places[0], follows)
 
@@ -231,9 +327,9 @@ def bm25(index: Index, query: str) -> DataFrame:
             b, a = stack.pop(), stack.pop()
             stack.append(a & b if x == "AND" else a | b if x == "OR" else a & ~b)
             continue
-        found = [F.col(f"s{len(freqs) + k}") for k in range(1 if x[0] == "phrase" else len(x[1]))]
+        found = [F.col(f"s{len(freqs) + k}") for k in range(len(x[1]) if x[0] == "near" else 1)]
         if x[0] == "near":
-            found = _near(found, [len(p[1]) for p in x[1]], x[2])
+            found = _near(found, [len(p[1]) for p in x[1]], x[2]) if len(found) > 1 else found
         freqs += [F.size(f) for f in found]
         stack.append(reduce(lambda a, b: a & b, [F.size(f) > 0 for f in found]))
     n = range(len(freqs))
@@ -284,8 +380,9 @@ def search(
     if relation is not None:
         of = edges.where(F.col("relation") == relation)
         kept = kept.join(of.select(F.col("src").alias("id")).unionByName(of.select(F.col("dst").alias("id"))), "id", "left_semi")
-    ranked = bm25(index, query).withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("rank", "ordinal")))
-    best = ranked.where("rn = 1").drop("rn").join(kept, "id")
+    # a segment's rank depends on all segments, its place only on those of resources that are kept
+    ranked = bm25(index, query).join(kept.select("id"), "id", "left_semi")
+    best = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("rank", "ordinal"))).where("rn = 1").drop("rn").join(kept, "id")
     return best.orderBy(authority_rank(), status_rank(), "rank", "uri").limit(limit)
 
 

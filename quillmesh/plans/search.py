@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmesh.operators import fts, graph
+from quillmesh.operators import fts, ftsdelta, graph
 from quillmesh.plans import adapters as v
 from quillmesh.plans.base import query
 from quillmesh.plans.catalog import _TOKENS, _bm25, _rounded
@@ -62,6 +62,43 @@ def prompt_search(s, d):
     return _rounded(fts.search_segments(v.index(s, d), fts.prompt_query("What is_the?"), 15))
 
 
+#: Letters of other scripts for some of ours, so that texts hold Cyrillic, Greek and kana.
+_OTHERS = ("aeiou", "\u0439\u03ad\u304c\u0451\u03cd")
+
+
+@query((_bm25(["th\u03ad", "\u0439nd", "f\u0451r"], "f0 > 0 AND (f1 > 0 OR f2 > 0)") + " SELECT id, ordinal, round(rank, 6) AS rank FROM r").replace("strip_accents(lower(text))", f"translate(strip_accents(lower(text)), '{_OTHERS[0]}', '{_OTHERS[1]}')"))
+def fts_scripts(s, d):
+    rows = v.segments(s, d).withColumn("text", F.translate(fts.fold("text"), *_OTHERS))
+    return _rounded(fts.bm25(fts.build_index(rows), "TH\u0388 (\u0419nd OR F\u0401r)"))
+
+
+@query(f", {_TOKENS}" + """, h AS (SELECT t.id, ordinal, t, list_filter(string_split_regex(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS h FROM t JOIN v_resources v ON v.id = t.id)
+ SELECT id, ordinal FROM h WHERE ((t[1] = 'the' OR h[1] = 'the') AND list_contains(t, 'and')) OR contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(h, ' ') || ' ', ' of the ')""")
+def fts_forms(s, d):
+    return fts.bm25(v.index(s, d, ("text", "title")), '^the AND -title:and OR {text title}: of + "the"').select("id", "ordinal")
+
+
+def changed(s, d) -> ftsdelta.Live:
+    """An index that starts with all segments; then texts of poor quality are replaced, toxic documents go, benchmark items and turns come in."""
+    labels = v.table(s, d, "labels")
+    items = v.table(s, d, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.lit(0).alias("ordinal"), "text")
+    turns = v.table(s, d, "conversations").select((-1_000_000_000 - F.col("conv_id")).alias("id"), F.col("turn").alias("ordinal"), "text")
+    poor = v.segments(s, d).join(labels.where("quality = 0").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    live = ftsdelta.apply(ftsdelta.create(s), v.segments(s, d))
+    live = ftsdelta.apply(live, poor.withColumn("text", F.concat(F.lit("reviewed the "), "text")))
+    live = ftsdelta.apply(live, taken=labels.where("toxic = 1").select(F.col("doc_id").alias("id")))
+    return ftsdelta.merge(ftsdelta.apply(ftsdelta.apply(live, items), turns))
+
+
+_CHANGED = """, live AS (SELECT s.id, ordinal, CASE WHEN quality = 0 THEN 'reviewed the ' || text ELSE text END AS text FROM v_segments s LEFT JOIN labels l ON l.doc_id = s.id WHERE coalesce(toxic, 0) <> 1
+ UNION ALL SELECT -1 - item_id, 0, text FROM benchmark UNION ALL SELECT -1000000000 - conv_id, turn, text FROM conversations)"""
+
+
+@query(_CHANGED + _bm25(["the", "reviewed"], "f0 > 0 OR f1 > 0").replace("FROM v_segments", "FROM live") + " SELECT id, ordinal, round(rank, 6) AS rank FROM r")
+def fts_incremental(s, d):
+    return _rounded(fts.bm25(ftsdelta.index(changed(s, d)), "the OR reviewed"))
+
+
 # traversals: the reached nodes of each level, and their edges
 
 def _bfs(start: str, depth: int, out: bool, into: bool) -> str:
