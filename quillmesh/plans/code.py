@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import code, graph
 from quillmesh.plans import adapters as v
-from quillmesh.plans.base import query
+from quillmesh.plans.base import ORACLES, query
 
 # parts as files of code, customers as symbols in them, orders as references
 _V = r""", f AS (SELECT p_partkey AS target, 'src' || (p_partkey % 7) || '/mod' || (p_partkey % 40) || '/' || CASE WHEN p_partkey % 3 = 0 THEN 'unit' || (p_partkey % 90) ELSE 'part_' || p_partkey END || CASE p_partkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.d.ts' ELSE '' END AS path FROM part),
@@ -70,7 +70,22 @@ def _references(s, d):
  SELECT x.ref, CASE WHEN c = 1 THEN target END AS target, CASE WHEN c IS NULL THEN 'extracted' WHEN c = 1 THEN 'resolved' ELSE 'ambiguous' END AS confidence FROM x LEFT JOIN b ON b.ref = x.ref""")
 def symbol_qualifier(s, d):
     refs = _references(s, d)
-    return graph.confidences(refs, graph.symbol_matches(refs, _symbols(s, d)))
+    return graph.resolve_edges(refs, _symbols(s, d), _files(s, d).limit(0)).drop("relation")
+
+
+_QUALIFIED = ORACLES["symbol_qualifier"].removeprefix(f"{v.VIEWS} ")
+
+
+@query(_QUALIFIED)
+def edge_update(s, d):
+    """References resolved before customers of a negative balance moved to the files, kinds and names that they have now."""
+    refs, now = _references(s, d), _symbols(s, d)
+    poor = v.table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("target"))
+    moved = now.join(poor, "target", "left_semi").withColumns({"name": F.concat(F.lit("old_"), "name"), "file": F.lit("src/old.rs"), "kind": F.lit("fn")})
+    before = now.join(poor, "target", "left_anti").unionByName(moved)
+    none = _files(s, d).limit(0)
+    known = graph.resolve_edges(refs, before, none)
+    return graph.resolve_changed(known, refs, refs, before, now, none, none).drop("relation")
 
 
 @query(_SYM + r""" SELECT ref, CASE WHEN c = 1 THEN target END AS target, CASE WHEN c = 1 THEN CASE WHEN kind = 'interface' THEN 'implements' ELSE 'inherits' END ELSE 'inherits' END AS relation FROM
