@@ -33,6 +33,8 @@ MAGIC = b"QMX2"
 CELLS = 8 << 20
 #: Order-1 pairs that occur less often in a run are not worth their bytes in the prior.
 LEAST_PAIR = 3
+#: Later ids of an order-1 row, the commonest ones; each takes a share of the row's total, the others are left to order 0.
+MOST_AFTER = 8192
 #: Slots of a block's order-2 table.
 SLOTS = 1024
 _U = np.uint64
@@ -96,7 +98,13 @@ class Prior:
         at = place[ids]
         pairs = np.bincount((rank * n)[at[:-1]] + at[1:], minlength=rows * n)[: rows * n] if len(ids) > 1 else np.zeros(rows * n, np.int64)
         kept = np.flatnonzero(pairs >= LEAST_PAIR)
-        return vocab, counts, np.bincount(kept // n, minlength=rows), kept % n, _level(pairs[kept])
+        sizes = np.bincount(kept // n, minlength=rows)
+        if (sizes > MOST_AFTER).any():
+            order = np.lexsort((-pairs[kept], kept // n))
+            within = np.arange(len(kept)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = np.sort(kept[order[within < MOST_AFTER]])
+            sizes = np.minimum(sizes, MOST_AFTER)
+        return vocab, counts, sizes, kept % n, _level(pairs[kept])
 
     @staticmethod
     def pack(vocab: np.ndarray, counts: np.ndarray, sizes: np.ndarray, after: np.ndarray, level: np.ndarray) -> bytes:
