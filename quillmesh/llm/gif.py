@@ -135,7 +135,10 @@ def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
         length += more
         jump = jump[jump]
     length += 1
-    ends = np.cumsum(length)
+    ends = np.cumsum(length, dtype=np.int64)
+    # codes behind the last sample that is asked for make none: what a stream could make does not count
+    used = int(np.searchsorted(ends, count)) + 1
+    length, ends, source, copied, codes = (x[:used] for x in (length, ends, source, copied, codes))
     place = ends - length
     total = int(ends[-1])
     pointer = np.arange(total, dtype=np.int32) - np.repeat((place - place[source]).astype(np.int32), length)
@@ -165,10 +168,16 @@ def gif_encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int
     return b"".join([*out, b"\x3b"])
 
 
+#: Pixels of a frame or a canvas at most; of a canvas that any first frame may have, else SPARE times the first frame's.
+MAX_PIXELS, LEAST_CANVAS, SPARE = 1 << 24, 1 << 20, 16
+
+
 def gif_decode(data: bytes) -> list[Frame]:
     """Frames as shown: local or global palette, interlace, transparency, and disposal of the frame before.
 
-    A file that is cut, or has impossible blocks, codes or too few samples, raises ValueError.
+    A file that is cut (it has no trailer), or has impossible blocks, codes or too few samples, raises ValueError. So does a
+    frame or a canvas of more than MAX_PIXELS, or a canvas far larger than what its frames hold: memory is bounded before
+    it is taken.
     """
     try:
         return _gif_decode(data)
@@ -200,7 +209,7 @@ def _gif_decode(data: bytes) -> list[Frame]:
 
     width, height = u16(6), u16(8)
     shared, at = palette(13, data[10])
-    canvas = np.zeros((height, width, 3), np.uint8)
+    canvas = np.zeros((0, 0, 3), np.uint8)  # taken when the first frame has its samples
     frames: list[Frame] = []
     time, delay, disposal, transparent = 0, 0, 0, None
     while at < len(data) and data[at] != 0x3B:
@@ -214,12 +223,18 @@ def _gif_decode(data: bytes) -> list[Frame]:
         if data[at] != 0x2C:
             raise ValueError("unknown GIF block")
         x, y, w, h, flags = u16(at + 1), u16(at + 3), u16(at + 5), u16(at + 7), data[at + 9]
+        if w * h > MAX_PIXELS:
+            raise ValueError("a frame is too large")
         own, at = palette(at + 10, flags)
         bits = data[at]
         stream, at = sub_blocks(at + 1)
         samples = lzw_decode(stream, bits, w * h)
         if len(samples) < w * h:
             raise ValueError("a frame's code stream is short")
+        if not frames:
+            if width * height > min(MAX_PIXELS, max(LEAST_CANVAS, SPARE * w * h)):
+                raise ValueError("the canvas is too large for its first frame")
+            canvas = np.zeros((height, width, 3), np.uint8)
         indices = np.frombuffer(samples, np.uint8).reshape(h, w)
         if flags & 0x40:
             order = np.concatenate([np.arange(first, h, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -247,6 +262,8 @@ def _gif_decode(data: bytes) -> list[Frame]:
         elif before is not None:
             canvas = before
         delay, disposal, transparent = 0, 0, None
+    if at >= len(data):
+        raise ValueError("the file is cut")
     return frames
 
 
