@@ -16,6 +16,8 @@ from quillmesh.llm.common import add_columns, read_table
 #: Characters of blocks: shorter ones are left to their neighbours, longer ones may be good by themselves.
 SHORT_CHARS, LONG_CHARS = 70, 200
 MAX_LINK_DENSITY, LOW_STOPWORDS, HIGH_STOPWORDS = 0.2, 0.10, 0.20
+#: Below this share of listed words in a page's longer blocks, its language is taken as one that the list does not know.
+UNLISTED = 0.05
 
 # fixed values: frequent function words of the corpus languages
 STOPWORDS = frozenset(
@@ -37,6 +39,22 @@ BLOCKS = frozenset(
 DROPPED = frozenset("script style noscript template svg math head title select option button textarea form nav aside footer iframe object canvas dialog menu label input audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements whose end tag another start tag implies, by group: (members, elements that keep outer members out of reach).
+IMPLIED = {
+    "item": (frozenset(["li"]), BLOCKS - {"address", "div", "p", "li"}),
+    "entry": (frozenset(["dt", "dd"]), BLOCKS - {"address", "div", "p", "dt", "dd"}),
+    "cell": (frozenset(["td", "th"]), frozenset(["tr", "table", "thead", "tbody", "tfoot"])),
+    "row": (frozenset(["tr"]), frozenset(["table"])),
+    "section": (frozenset(["thead", "tbody", "tfoot", "caption"]), frozenset(["table"])),
+    "option": (frozenset(["option"]), frozenset(["select"])),
+    "p": (frozenset(["p"]), BLOCKS - {"p"}),
+}
+#: Groups that a start tag ends; the outer ones take the inner ones with them. Every block also ends an open paragraph.
+_ENDS = {"li": ["item"], "dt": ["entry"], "dd": ["entry"], "td": ["cell"], "th": ["cell"], "tr": ["row", "cell"], "option": ["option"]} | dict.fromkeys(["thead", "tbody", "tfoot", "caption"], ["section", "row", "cell"])
+#: Letters of scripts that put no spaces between words; one says about as much as WIDE letters of others.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WIDE = 3
+_SENTENCE = re.compile("[.!?\u2026][\"'\u00bb\u201d\u2019)]*(?:\\s|$)|[\u3002\uff01\uff1f\u0964\u06d4\u061f]")
 #: Words of class, id and role values that mark what surrounds an article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|"
@@ -127,23 +145,25 @@ def blocks_of(source: str) -> list[Block]:
     """Text blocks in page order. Blocks of scripts' and forms' like are never there or marked; the stack of open elements
     is read at its top alone, so that deep pages cost no more than flat ones."""
     out: list[Block] = []
-    # name, dropped by its name or an outer one's, wrapper number, scope number, all as they hold inside
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    # name, dropped by its name or an outer one's, wrapper number, scope number, all as they hold inside; then for each group
+    # of IMPLIED the place of the open member that a start tag would end here, or 0, so that no stack is ever searched
+    stack: list[tuple[str, bool, int, int, dict[str, int]]] = [("", False, 0, 0, dict.fromkeys(IMPLIED, 0))]
     open_names: Counter[str] = Counter()
     text: list[str] = []
     links = scopes = wrappers = link_open = heading = 0
 
     def flush() -> None:
         nonlocal links
-        joined = " ".join(html.unescape("".join(text)).split())
+        joined = " ".join("".join(text).split())
         if joined:
-            _, dropped, wrapper, scope = stack[-1]
+            _, dropped, wrapper, scope, _ = stack[-1]
             out.append(Block(joined, links, heading > 0, dropped or wrapper > 0, scope, wrapper=0 if dropped else wrapper))
         text.clear()
         links = 0
 
     for kind, name, value, _ in tokens(source):
         if kind == "text":
+            value = html.unescape(value)  # before runs are joined: a reference does not go on behind a tag
             text.append(value)
             if link_open:
                 links += len("".join(value.split()))
@@ -175,10 +195,11 @@ def blocks_of(source: str) -> list[Block]:
             heading += 1
         if not block and name not in DROPPED and "=" not in value:
             continue  # inline elements without attributes decide nothing
-        if name == "p" and stack[-1][0] == "p":  # a paragraph ends at the next one
-            stack.pop()
-            open_names["p"] -= 1
-        _, dropped, wrapper, scope = stack[-1]
+        for group in [*_ENDS.get(name, ()), *(["p"] if block else ())]:
+            at = stack[-1][4][group]
+            while at and len(stack) > at:
+                open_names[stack.pop()[0]] -= 1
+        _, dropped, wrapper, scope, places = stack[-1]
         framing = name in ("article", "main")
         gone = name in DROPPED or name == "header" and not scope
         soft = not gone and not framing and name not in ("html", "body") and _marked_by_attributes(value)
@@ -191,19 +212,44 @@ def blocks_of(source: str) -> list[Block]:
             elif soft and not wrapper:
                 wrappers += 1
                 wrapper = wrappers
-            stack.append((name, dropped or gone, wrapper, scopes if framing else scope))
+            if block:
+                places = {g: len(stack) if name in members else 0 if name in walls else places[g] for g, (members, walls) in IMPLIED.items()}
+            stack.append((name, dropped or gone, wrapper, scopes if framing else scope, places))
             open_names[name] += 1
     flush()
     return out
 
 
+def _width(text: str) -> int:
+    """Characters of a text, letters of scripts without spaces WIDE times."""
+    return len(text) + (WIDE - 1) * sum(1 for _ in _UNSPACED.finditer(text)) if not text.isascii() else len(text)
+
+
+def _prose(text: str) -> bool:
+    """Does a text of unlisted words read as sentences: an end of one in every 400 characters, and mostly letters?"""
+    return _SENTENCE.search(text) is not None and 400 * sum(1 for _ in _SENTENCE.finditer(text)) >= len(text) and sum(map(str.isalpha, text)) >= 0.6 * len(text)
+
+
 def _densities(blocks: list[Block]) -> None:
-    """First pass: good, bad, near (good) or short by marks, length, stop words and links."""
+    """First pass: good, bad, near (good) or short by marks, length, stop words and links.
+
+    Where the list of stop words does not know a page's language (they are hardly any of the words of its longer blocks,
+    or its script has no words between spaces), length, links and sentences decide alone.
+    """
+    seen: list[tuple[Block, int, int, int]] = []
+    words_, stops_ = 0, 0
     for b in blocks:
-        n = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOPWORDS for w in words) / max(1, len(words))
-        density = b.link_chars / max(1, n)
+        n, words = _width(b.text), _WORD.findall(b.text.lower())
+        stops = sum(w in STOPWORDS for w in words)
+        if not b.marked and n >= SHORT_CHARS and b.link_chars <= MAX_LINK_DENSITY * len(b.text):
+            unspaced = n - len(b.text) > len(b.text) // 2
+            words_ += n // (2 * WIDE) if unspaced else len(words)
+            stops_ += 0 if unspaced else stops
+        seen.append((b, n, len(words), stops))
+    unlisted = stops_ < UNLISTED * words_
+    for b, n, count, found in seen:
+        stops = found / max(1, count)
+        density = b.link_chars / max(1, len(b.text))
         if b.marked or density > MAX_LINK_DENSITY or "\xa9" in b.text and n < SHORT_CHARS and not b.scope:
             b.label = "bad"
         elif n < SHORT_CHARS:
@@ -212,8 +258,10 @@ def _densities(blocks: list[Block]) -> None:
             b.label = "good" if n > LONG_CHARS else "near"
         elif stops >= LOW_STOPWORDS:
             b.label = "near"
+        elif unlisted and n > LONG_CHARS and _prose(b.text):
+            b.label = "good"
         else:
-            b.label = "near" if b.scope or n > LONG_CHARS and stops > 0 else "bad"
+            b.label = "near" if b.scope or n > LONG_CHARS and (stops > 0 or _prose(b.text)) or unlisted and _prose(b.text) else "bad"
 
 
 def classify(blocks: list[Block]) -> list[Block]:
