@@ -7,9 +7,10 @@ their ends by matching braces, or by indentation. It reads what is declared, not
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,9 +27,30 @@ MAX_SITES = 10_000
 CONTAINERS = ("class", "struct", "enum", "interface", "trait", "impl", "mod", "namespace")
 _KEYWORDS = frozenset("if for while switch match return catch sizeof using lock foreach when fixed unsafe function fn def func class new await typeof delete throw import type const var package elif else do try with assert print_ in not and or lambda yield super".split())
 _PATH = r"[A-Za-z_]\w*(?:(?:::|->|\.)[A-Za-z_]\w*)*"
-_HASH_COMMENTS = r"\"\"\".*?\"\"\"|'''.*?'''|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-_SLASH_COMMENTS = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'"
-_BODY = r"(?<![\w.>])(?P<n>~?[A-Za-z_]\w*)\s*\([^()]*\)\s*[^{};()=]*(?=\{)"
+#: Comments, strings and character literals, by language; what :func:`_literals` does not read by itself.
+_SPANS = {
+    "Python": r"(?i:(?<!\w)[rbuf]{0,2})(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|#[^\n]*",
+    "Rust": r"//[^\n]*|/\*|b?r(?P<h>#*)\".*?\"(?P=h)|b?\"(?:\\.|[^\"\\])*\"?|b?'(?:\\(?:u\{[^}]*\}|.)|[^'\\\n])'",
+    "Go": r"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*`?|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.[^'\n]*|[^'\\\n])'",
+    "C#": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\$?@\$?\"(?:\"\"|[^\"])*\"?|\"\"\".*?(?:\"\"\"|\Z)|\$?\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.[^'\n]*|[^'\\\n])'|^[ \t]*#[^\n]*",
+    "C++": r"//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|R\"(?P<h>[^()\\\s]{0,16})\(.*?\)(?P=h)\"|\"(?:\\.|[^\"\\\n])*\"?|(?<![0-9A-Fa-f])'(?:\\.[^'\n]*|[^'\\\n])'",
+    "TypeScript": r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`|/(?=[^/*\n])",
+}
+_SPANS["JavaScript"] = _SPANS["TypeScript"]
+#: A slash after one of these starts a regular expression, elsewhere it divides.
+_REGEX_AFTER = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await))\s*$")
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_ROUND = re.compile(r"[()\[\]]")
+_BODY = r"(?<![\w.>])(?P<n>[#~]?[A-Za-z_$][\w$]*)\s*(?:<[^<>(){};]*>\s*)?\([^()]*\)\s*[^{};()=]*(?=\{)"
+#: A body after a parameter list and, in a constructor, its members' first values.
+_CPP_BODY = r"(?<![\w.>])(?P<n>~?[A-Za-z_]\w*|operator\s*[^\s\w(]{1,3})\s*\([^()]*\)\s*(?:[^{};()=,:]|::|\([^()]*\))*(?::(?!:)\s*[\w:<>]+\s*(?:\([^()]*\)|\{[^{}]*\})(?:\s*,\s*[\w:<>]+\s*(?:\([^()]*\)|\{[^{}]*\}))*\s*)?(?=\{)"
+
+#: Modifiers, a type that is no keyword of a statement, and a name, which an interface may stand before.
+_CS_HEAD = (
+    r"(?:\b(?:public|internal|private|protected|static|async|override|virtual|abstract|sealed|extern|partial|new|unsafe|readonly|required)\s+)*"
+    r"(?<![\w.])(?!(?:public|internal|private|protected|static|async|override|virtual|abstract|sealed|extern|partial|unsafe|readonly|required|return|await|throw|else|in|yield|case|using|goto|is|as|not|and|or|when|new|out|ref|var|where|event|delegate|class|struct|enum|interface|namespace|record|get|set|init|operator|implicit|explicit)\b)"
+    r"[A-Za-z_][\w.]*(?:\s*<[^(){};=]*?>)?(?:\[[\], ]*\]|\?)*\s+(?:[A-Za-z_][\w.]*\.)?(?P<n>[A-Za-z_]\w*)\s*"
+)
 
 #: (kind, head) of declarations, by language; a ``fn`` inside a container is a method.
 _HEADS: dict[str, list[tuple[str, str]]] = {
@@ -38,15 +60,19 @@ _HEADS: dict[str, list[tuple[str, str]]] = {
         ("impl", r"\bimpl\b(?:\s*<[^{};]*?>(?=\s))?\s+(?P<n>[A-Za-z_]\w*)"),
         ("macro", r"\bmacro_rules!\s*(?P<n>\w+)"),
     ],
-    "Go": [("fn", r"\bfunc\s+(?P<n>\w+)"), ("method", r"\bfunc\s*\([^)]*\)\s*(?P<n>\w+)"), ("type", r"\btype\s+(?P<n>\w+)"), ("const", r"\bconst\s+(?P<n>\w+)"), ("var", r"\bvar\s+(?P<n>\w+)")],
+    "Go": [("fn", r"^func\s+(?P<n>\w+)"), ("method", r"^func\s*\([^)]*\)\s*(?P<n>\w+)\s*(?:\[[^\]]*\]\s*)?\("), ("type", r"\btype\s+(?P<n>\w+)"), ("const", r"\bconst\s+(?P<n>\w+)"), ("var", r"\bvar\s+(?P<n>\w+)")],
     "TypeScript": [
         ("fn", r"(?:export\s+(?:default\s+)?)?(?:async\s+)?\bfunction\s*\*?\s*(?P<n>\w+)"),
-        *((k, rf"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?\b{w}\s+(?P<n>\w+)") for k, w in (("class", "class"), ("interface", "interface"), ("enum", "enum"), ("type", "type"), ("var", "(?:const|let)"))),
+        *((k, rf"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?\b{w}\s+(?P<n>\w+)") for k, w in (("class", "class"), ("interface", "interface"), ("enum", "enum"), ("type", "type"), ("var", "(?<!\\()(?:const(?!\\s+enum\\b)|let)"))),
         ("method", _BODY),
     ],
-    "C#": [*((k, rf"(?:\b(?:public|internal|private|protected|static|abstract|sealed|partial)\s+)*\b{w}\s+(?P<n>[\w.]+)") for k, w in (("class", "class"), ("struct", "struct"), ("enum", "enum"), ("interface", "interface"), ("namespace", "namespace"))), ("method", r"(?:\b(?:public|internal|private|protected|static|async|override|virtual)\s+)*" + _BODY)],
-    "C++": [("macro", r"#\s*define\s+(?P<n>\w+)"), *((k, rf"\b{k}\s+(?P<n>\w+)(?=[^;(){{}}]*\{{)") for k in ("class", "struct", "enum", "namespace")), ("type", r"\btypedef\b[^;{}]*?(?P<n>\w+)\s*(?=;)"), ("fn", _BODY)],
-    "Python": [("fn", r"(?:async\s+)?\bdef\s+(?P<n>\w+)"), ("class", r"\bclass\s+(?P<n>\w+)")],
+    "C#": [*((k, rf"(?:\b(?:public|internal|private|protected|static|abstract|sealed|partial)\s+)*\b{w}\s+(?P<n>[\w.]+)") for k, w in (("class", "class"), ("struct", "struct"), ("enum", "enum"), ("interface", "interface"), ("namespace", "namespace"))), ("method", _CS_HEAD + r"(?:<[^<>(){};]*>\s*)?\([^()]*\)\s*(?:where\b[^{};=]*)?(?=\{|=>|;)"), ("property", _CS_HEAD + r"(?=\{\s*(?:\[[^\]]*\]\s*)?(?:(?:public|private|protected|internal)\s+)*(?:get|set|init)\b|=>)")],
+    "C++": [("macro", r"#\s*define\s+(?P<n>\w+)"), *((k, rf"{w}\s+(?P<n>\w+)(?=[^;(){{}}]*\{{)") for k, w in (("class", "(?<!enum )\\bclass"), ("struct", "(?<!enum )\\bstruct"), ("enum", "\\benum(?:\\s+(?:class|struct))?"), ("namespace", "\\bnamespace"))), ("type", r"\btypedef\b[^;{}]*?(?P<n>\w+)\s*(?=;)"), ("fn", _CPP_BODY)],
+    "Python": [
+        ("fn", r"(?:async\s+)?\bdef\s+(?P<n>\w+)"),
+        ("class", r"\bclass\s+(?P<n>\w+)"),
+        ("decorated", r"(?:^[ \t]*@[\w.]+(?:\s*\([^()]*\))?[^\n]*\n(?:[ \t]*\n)*)+[ \t]*(?:(?:async\s+)?def|class)\s+(?P<n>\w+)"),
+    ],
 }
 _HEADS["JavaScript"] = _HEADS["TypeScript"]
 #: (relation, form) with groups t (target) and s (source, where the form names it).
@@ -75,10 +101,78 @@ def language_of(path: str | None) -> str | None:
     return EXTENSIONS.get((path or "").rpartition(".")[2].lower())
 
 
-def _blank(source: str, language: str) -> str:
-    """``source`` with comments and the insides of strings as blanks; places and lines stay."""
-    form = _compiled(_HASH_COMMENTS if language == "Python" else _SLASH_COMMENTS)
-    return form.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+def _literals(source: str, language: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, comment?) of comments, strings and literals in order: nested comments, raw strings, templates, regular expressions."""
+    form, at = _compiled(_SPANS[language]), 0
+    while m := form.search(source, at):
+        start, at = m.span()
+        if m[0] == "/*":  # comments nest
+            depth = 1
+            while depth and (n := re.compile(r"/\*|\*/").search(source, at)):
+                depth += 1 if n[0] == "/*" else -1
+                at = n.end()
+            at = at if not depth else len(source)
+        elif m[0] == "`":
+            at = _template_end(source, at)
+        elif m[0] == "/":
+            found = _REGEX.match(source, start) if _REGEX_AFTER.search(source, max(0, start - 40), start) else None
+            if not found:
+                continue
+            at = found.end()
+        elif at == start:
+            at += 1
+            continue
+        yield start, at, m[0].startswith(("//", "/*")) or language == "Python" and m[0].startswith("#")
+
+
+def _template_end(source: str, at: int) -> int:
+    """The end of a template string whose inside starts at ``at``; what it holds in braces may hold templates."""
+    braces: list[int] = []
+    for m in re.compile(r"\\.|`|\$\{|[{}]", re.S).finditer(source, at):
+        if m[0] == "`":
+            if braces and braces[-1] >= 0:  # a template in a template's braces
+                braces.append(-1)
+            elif braces:
+                braces.pop()
+            else:
+                return m.end()
+        elif m[0] == "${":
+            braces.append(0)
+        elif braces and braces[-1] >= 0 and m[0] in "{}":
+            if m[0] == "{":
+                braces[-1] += 1
+            elif braces[-1]:
+                braces[-1] -= 1
+            else:
+                braces.pop()
+    return len(source)
+
+
+def _blank(source: str, language: str, comments: bool = False) -> str:
+    """``source`` with comments, and unless ``comments`` strings, as blanks; places and lines stay."""
+    out, at = [], 0
+    for start, end, comment in _literals(source, language):
+        if comment or not comments:
+            out += [source[at:start], re.sub(r"[^\n]", " ", source[start:end])]
+            at = end
+    return "".join([*out, source[at:]])
+
+
+def _flat(code: str) -> str:
+    """``code`` with what stands in round or square brackets inside round ones as blanks, so that a head's parameters have none."""
+    out, at, depth = [], 0, 0
+    for m in _ROUND.finditer(code):
+        if m[0] in "([":
+            if depth == 1 and m[0] in "([":
+                out.append(code[at : m.start()])
+                at = m.start()
+            depth += 1 if m[0] == "(" or depth else 0
+        elif depth:
+            depth -= 1
+            if depth == 1:
+                out.append(re.sub(r"[^\n]", " ", code[at : m.end()]))
+                at = m.end()
+    return "".join([*out, code[at:]])
 
 
 def _braces(code: str) -> dict[int, int]:
@@ -94,12 +188,14 @@ def _braces(code: str) -> dict[int, int]:
 
 def _end(code: str, at: int, pairs: dict[int, int]) -> int:
     """The end of a declaration whose head ends at ``at``: its closing brace, or the first semicolon or line's end before one."""
-    m = re.compile(r"[{;]").search(code, at)
-    if m is None:
-        return len(code.rstrip())
-    if m[0] == ";":
-        return m.end()
-    return pairs.get(m.start(), len(code.rstrip()) - 1) + 1
+    arrow = code.startswith("=>", at)
+    while m := _compiled(r"[{;]").search(code, at):
+        if m[0] == ";":
+            return m.end()
+        at = pairs.get(m.start(), len(code.rstrip()) - 1) + 1
+        if not arrow:  # what stands behind an arrow ends with a semicolon
+            return at
+    return len(code.rstrip())
 
 
 def _indented_end(lines: list[str], row: int) -> int:
@@ -123,58 +219,94 @@ class _Source:
 
     def __init__(self, source: str, language: str):
         self.text, self.language, self.code = source, language, _blank(source, language)
+        self.flat = _flat(self.code)
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.ascii = source.isascii()
+        self.line_bytes = [0] if self.ascii else [0, *accumulate(len(source[a:b].encode()) for a, b in zip(self.starts, self.starts[1:], strict=False))]
 
     def line(self, at: int) -> int:
-        low, high = 0, len(self.starts)
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if self.starts[mid] <= at else (low, mid)
-        return low + 1
+        return bisect_right(self.starts, at)
+
+    def byte(self, at: int) -> int:
+        if self.ascii:
+            return at
+        row = self.line(at) - 1
+        return self.line_bytes[row] + len(self.text[self.starts[row] : at].encode())
 
     def symbols(self) -> list[dict]:
-        pairs = _braces(self.code) if self.language != "Python" else {}
+        pairs = self.braces() if self.language != "Python" else {}
         lines = self.code.split("\n")
         found: dict[int, dict] = {}
         for kind, form in _HEADS[self.language]:
-            for m in _compiled(form).finditer(self.code):
+            for m in _compiled(form).finditer(self.flat):
                 at = m.start("n")
-                if at in found or m["n"] in _KEYWORDS:
+                place = at if kind != "decorated" else -at - 1
+                if place in found or m["n"] in _KEYWORDS:
                     continue
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
                 row = self.line(start)
                 if self.language == "Python":
-                    last = _indented_end(lines, row - 1)
+                    last = _indented_end(lines, self.line(at) - 1)
                     end = self.starts[last] + len(lines[last].rstrip())
                 elif kind == "macro" and self.language == "C++":
+                    while row < len(self.starts) and self.text.endswith("\\\n", 0, self.starts[row]):
+                        row += 1
                     end = self.starts[row] - 1 if row < len(self.starts) else len(self.text)
                 else:
                     end = _end(self.code, m.end(), pairs)
-                found[at] = {"name": m["n"], "kind": kind, "at": at, "start": start, "end": end}
+                found[place] = {"name": m["n"], "kind": "fn" if kind == "decorated" else kind, "at": at, "start": start, "end": end, "decorated": kind == "decorated"}
+        if self.language == "Go":
+            self._grouped(found)
         out = sorted(found.values(), key=lambda x: (x["start"], -x["end"]))
         open_: list[dict] = []
         for x in out:
             while open_ and open_[-1]["end"] <= x["start"]:
                 open_.pop()
-            holder = next((o for o in reversed(open_) if o["kind"] in CONTAINERS), None)
-            x["parent"] = holder["name"] if holder else None
-            if holder and x["kind"] == "fn" and holder["kind"] not in ("mod", "namespace"):
+            # the innermost declaration around is the parent, whatever its kind
+            x["parent"], x["inside"] = (open_[-1]["name"], open_[-1]["kind"]) if open_ else (None, None)
+            if open_ and x["kind"] == "fn" and not x.get("decorated") and self.language in ("Rust", "Python", "C++"):
                 x["kind"] = "method"
-            x["inside"] = next((o["kind"] for o in reversed(open_)), None)
             open_.append(x)
-        # a body in braces after a call-like head is a method only where a container holds it; variables count at the top alone
-        return [x for x in out if not (x["kind"] == "method" and self.language in ("TypeScript", "JavaScript", "C#") and x["inside"] not in CONTAINERS) and not (x["kind"] == "var" and x["inside"] in ("fn", "method"))]
+        # a body in braces after a call-like head is a method only where a container holds it
+        return [x for x in out if not (x["kind"] in ("method", "property") and self.language in ("TypeScript", "JavaScript", "C#") and x["inside"] not in CONTAINERS)]
+
+    def _grouped(self, found: dict[int, dict]) -> None:
+        """Go's declarations in round brackets: the first name of each line."""
+        for m in _compiled(r"\b(const|var|type)\s*\(").finditer(self.code):
+            depth = 1
+            for n in _compiled(r"[(){}\[\]]|(?:(?<=\n)|(?<=\())[ \t]*([A-Za-z_]\w*)").finditer(self.code, m.end() - 1):
+                if n.start() < m.end() and not n[1]:
+                    continue
+                if n[1]:
+                    if depth == 1 and n.start(1) not in found:
+                        end = self.code.find("\n", n.end())
+                        opened = self.code.find("{", n.end(), end if end >= 0 else len(self.code)) if m[1] == "type" else -1
+                        stop = self.braces().get(opened, opened) + 1 if opened >= 0 else end if end >= 0 else len(self.code)
+                        found[n.start(1)] = {"name": n[1], "kind": m[1], "at": n.start(1), "start": n.start(1), "end": stop}
+                elif n[0] in "({[":
+                    depth += 1
+                else:
+                    depth -= 1
+                    if not depth:
+                        break
+
+    def braces(self) -> dict[int, int]:
+        if not hasattr(self, "_pairs"):
+            self._pairs = _braces(self.code)
+        return self._pairs
 
     def relations(self, symbols: list[dict]) -> list[tuple[str, str | None, str, int]]:
         """(relation, source symbol, target, place), each once."""
         names = {x["at"] for x in symbols}
         out: dict[tuple, None] = {}
 
+        cuts, inner = _owners(symbols)
+
         def owner(at: int) -> str | None:
-            around = [x for x in symbols if x["start"] <= at < x["end"]]
-            return min(around, key=lambda x: x["end"] - x["start"])["name"] if around else None
+            k = bisect_right(cuts, at) - 1
+            return inner[k] if k >= 0 else None
 
-        raw = _compiled(_HASH_COMMENTS.split("|")[2] if self.language == "Python" else r"//[^\n]*|/\*.*?\*/").sub(lambda m: re.sub(r"[^\n]", " ", m[0]), self.text)
+        raw = _blank(self.text, self.language, comments=True)
         imports = _IMPORTS[self.language]
         if self.language == "Go":
             blocks = re.finditer(r"\bimport\s*(?:\(([^)]*)\)|((?:\w+\s+)?\"[^\"\n]*\"))", raw)
@@ -195,7 +327,7 @@ class _Source:
         count = 0
         for m in calls:
             last = m["t"].replace("->", ".").replace("::", ".").rpartition(".")[2]
-            if last in _KEYWORDS or m.start("t") in names or self.code[m.start() - 1 : m.start()] == "#":
+            if last in _KEYWORDS or last == "void" or m.start("t") in names or self.code[m.start() - 1 : m.start()] == "#":
                 continue
             before = re.search(r"(\w+)\s*$", self.code[max(0, m.start() - 24) : m.start()])
             if before and before[1] in ("fn", "def", "func", "function", "class", "struct"):
@@ -207,11 +339,32 @@ class _Source:
         return list(out)
 
 
+def _owners(symbols: list[dict]) -> tuple[list[int], list[str | None]]:
+    """Places where the innermost symbol changes, and its name from there on."""
+    cuts, names, open_ = [], [], []
+
+    def cut(at: int) -> None:
+        cuts.append(at)
+        names.append(open_[-1]["name"] if open_ else None)
+
+    for x in sorted(symbols, key=lambda x: (x["start"], -x["end"])):
+        while open_ and open_[-1]["end"] <= x["start"]:
+            end = open_.pop()["end"]
+            cut(end)
+        open_.append(x)
+        cut(x["start"])
+    while open_:
+        cut(open_.pop()["end"])
+    return cuts, names
+
+
 def _doc_above(text: str, start: int) -> str | None:
     """The comment lines right above a declaration, blank lines between it and them left out."""
     found: list[str] = []
-    for line in reversed(text[:start].split("\n")[:-1] if "\n" in text[:start] else []):
-        bare = line.strip()
+    stop = text.rfind("\n", 0, start)
+    while stop >= 0:
+        begin = text.rfind("\n", 0, stop) + 1
+        bare, stop = text[begin:stop].strip(), begin - 1
         if not bare and not found:
             continue
         m = re.match(r"///|//!|//|#|\*", bare)
@@ -222,10 +375,18 @@ def _doc_above(text: str, start: int) -> str | None:
     return joined if joined.strip() else None
 
 
+def _lines(text: str, at: int, end: int) -> Iterator[str]:
+    while at <= end:
+        stop = text.find("\n", at, end)
+        stop = end if stop < 0 else stop
+        yield text[at:stop]
+        at = stop + 1
+
+
 def _signature(text: str, start: int, end: int) -> str | None:
     """The head of a declaration: at most five lines, to the one that opens or ends it."""
     kept = []
-    for line in text[start:end].split("\n")[:5]:
+    for line in islice(_lines(text, start, end), 5):
         kept.append(line.rstrip())
         if kept[-1].endswith(("{", ":", ";")):
             break
@@ -234,7 +395,7 @@ def _signature(text: str, start: int, end: int) -> str | None:
 
 
 def _exported(x: dict, s: _Source) -> bool:
-    rest = (line.lstrip() for line in s.text[x["start"] :].split("\n"))
+    rest = (line.lstrip() for line in _lines(s.text, x["start"], len(s.text)))
     head = next((line for line in rest if line and not line.startswith(("#", "//"))), "")
     if s.language == "Rust":
         return head.startswith(("pub ", "pub("))
@@ -273,13 +434,13 @@ def _over(sources: DataFrame, schema: str, rows_of) -> DataFrame:
 def _symbol_rows(path: str, s: _Source) -> list[tuple]:
     out = []
     for x in s.symbols():
-        place = (s.line(x["start"]), s.line(max(x["start"], x["end"] - 1)), len(s.text[: x["start"]].encode()), len(s.text[: x["end"]].encode()))
+        place = (s.line(x["start"]), s.line(max(x["start"], x["end"] - 1)), s.byte(x["start"]), s.byte(x["end"]))
         out.append((path, s.language, x["name"], x["kind"], x["parent"], *place, _exported(x, s), _doc_above(s.text, x["start"]), _signature(s.text, x["start"], x["end"])))
     return out
 
 
 def _relation_rows(path: str, s: _Source) -> list[tuple]:
-    return [(path, s.language, relation, source, target, s.line(at), len(s.text[:at].encode())) for relation, source, target, at in s.relations(s.symbols())]
+    return [(path, s.language, relation, source, target, s.line(at), s.byte(at)) for relation, source, target, at in s.relations(s.symbols())]
 
 
 def symbols(sources: DataFrame) -> DataFrame:

@@ -180,3 +180,42 @@ def index_stats(s, d):
 def symbols_of_file(s, d):
     first = _sources(s, d).agg(F.min("path")).first()[0]
     return code.symbols_of(code.symbols(_sources(s, d)), first, "fn").select("path", "name")
+
+
+#: By language: extension, comment mark, and a source whose declarations stand behind the document's text as comments.
+_LANGUAGES = [
+    ("rs", "//", "mod m{k} {\n    pub fn go(f: fn(u8) -> u8) { /* /* */ fn no() {} */ run(f(1)); }\n}\n"),
+    ("py", "#", "class C{k}(Base):\n    def go(self, a=f(1)):\n        return run(a)\n"),
+    ("go", "//", "const (\n\tA{k} = 1\n)\nfunc (t *T) Go(f func(int) error) error { return run(f) }\n"),
+    ("cs", "//", "class C{k} : Base {\n    int Go(Func<int, int> f) => Run(f(1));\n}\n"),
+    ("ts", "//", "class C{k} extends Base {\n  go(cb = make(1)) { return run(`${cb(\"}\")}`); }\n}\n"),
+    ("js", "//", "class C{k} extends Base {\n  go(a) { const re = /[{\"]/; return run(a); }\n}\n"),
+    ("cpp", "//", "struct S{k} : Base {\n  void go(std::function<void(int)> f) { run(f); }\n};\n"),
+]
+# number of the language, name, kind, line behind the text, parent
+_DECLARED = """(VALUES (0, 'm{k}', 'mod', 1, NULL), (0, 'go', 'method', 2, 'm{k}'), (1, 'C{k}', 'class', 1, NULL), (1, 'go', 'method', 2, 'C{k}'), (2, 'A{k}', 'const', 2, NULL), (2, 'Go', 'method', 4, NULL),
+ (3, 'C{k}', 'class', 1, NULL), (3, 'Go', 'method', 2, 'C{k}'), (4, 'C{k}', 'class', 1, NULL), (4, 'go', 'method', 2, 'C{k}'), (5, 'C{k}', 'class', 1, NULL), (5, 'go', 'method', 2, 'C{k}'), (5, 're', 'var', 2, 'go'),
+ (6, 'S{k}', 'struct', 1, NULL), (6, 'go', 'method', 2, 'S{k}')) x(l, name, kind, off, parent)"""
+_RELATED = """(VALUES (0, 'calls', 'go', 'run', 2), (0, 'calls', 'go', 'f', 2), (1, 'inherits', 'C{k}', 'Base', 1), (1, 'calls', 'go', 'run', 3), (1, 'calls', 'go', 'f', 2), (2, 'calls', 'Go', 'run', 4), (3, 'inherits', 'C{k}', 'Base', 1),
+ (3, 'calls', 'Go', 'Run', 2), (3, 'calls', 'Go', 'f', 2), (4, 'inherits', 'C{k}', 'Base', 1), (4, 'calls', 'go', 'make', 2), (4, 'calls', 'go', 'run', 2), (5, 'inherits', 'C{k}', 'Base', 1), (5, 'calls', 'go', 'run', 2),
+ (6, 'inherits', 'S{k}', 'Base', 1), (6, 'calls', 'go', 'run', 2)) x(l, relation, source, target, off)"""
+_FILES_OF = "(SELECT path || '.' || (['rs', 'py', 'go', 'cs', 'ts', 'js', 'cpp'])[mtime % 7 + 1] AS path, mtime, len(string_split(text, chr(10))) AS lines FROM v_files WHERE text IS NOT NULL) f"
+
+
+def _documented(s, d):
+    """Documents as files of seven languages: the whole text in comments, then declarations."""
+    docs = v.table(s, d, "documents").select(F.col("doc_id").alias("k"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _LANGUAGES)), (F.col("k") % 7 + 1).cast("int"))
+    mark = F.concat(pick(1), F.lit(" "))
+    source = F.concat(mark, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)), F.lit("\n"), F.replace(pick(2), F.lit("{k}"), F.col("k").cast("string")))
+    return docs.select(F.concat("path", F.lit("."), pick(0)).alias("path"), source.alias("source"))
+
+
+@query(f" SELECT path, replace(name, '{{k}}', mtime::VARCHAR) AS name, kind, replace(parent, '{{k}}', mtime::VARCHAR) AS parent, lines + off AS start_line FROM {_FILES_OF} JOIN {_DECLARED} ON l = mtime % 7")
+def symbols_by_language(s, d):
+    return code.symbols(_documented(s, d)).select("path", "name", "kind", "parent", "start_line")
+
+
+@query(f" SELECT path, relation, replace(source, '{{k}}', mtime::VARCHAR) AS source_symbol, target, lines + off AS line FROM {_FILES_OF} JOIN {_RELATED} ON l = mtime % 7")
+def relations_by_language(s, d):
+    return code.relations(_documented(s, d)).select("path", "relation", "source_symbol", "target", "line")
