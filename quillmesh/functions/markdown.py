@@ -107,3 +107,48 @@ def section(docs: DataFrame, name: str) -> DataFrame:
     cut = F.split(F.regexp_replace("text", "\r?\n$", ""), "\r?\n", -1)
     size = F.coalesce(F.col("after.line") - F.col("first.line"), F.size(cut) - F.col("first.line") + 1)
     return at.withColumn("after", after).select("path", F.concat(F.array_join(F.slice(cut, F.col("first.line").cast("int"), size.cast("int")), "\n"), F.lit("\n")).alias("section"))
+
+
+#: Labels and categories of patterns by the start of their slug; the longest start wins. A caller may give its own.
+PATTERN_PREFIXES = {"go-": ("go", "programming-language/golang"), "fullstack-": ("fullstack", "application-architecture/fullstack")}
+
+
+def pattern_catalog(docs: DataFrame, prefixes: dict[str, tuple[str, str]] = PATTERN_PREFIXES) -> DataFrame:
+    """path, ordinal, title, slug, summary, body, labels, categories, version, state: the patterns of each catalog (path, text).
+
+    A pattern is a section of level two, outside fences, that names itself in a line ``<!-- pattern-slug: name -->``; sections
+    without a name, or with the name ``none``, are no patterns. A fence closes with its own character only. The summary is the
+    first paragraph under the heading ``### Scope``. State of fences is folded over the lines that are marks or headings, so
+    a text is read once and its sections are cut by line numbers.
+    """
+    lines = F.split("text", "\r?\n", -1)
+    cut = docs.where("text IS NOT NULL").select("path", F.when(F.endswith("text", F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines).alias("lines"))
+    mark = lambda x: F.regexp_extract(x, "(?U)^\\s*(```|~~~|## )", 1)
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), mark(x).alias("m"))), lambda x: x["m"] != "")
+    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<int>").alias("at"))
+    toggled = lambda s, m: F.when(m == "## ", s["fence"]).when(s["fence"] == "", m).when(s["fence"] == m, F.lit("")).otherwise(s["fence"])
+    step = lambda s, x: F.struct(toggled(s, x["m"]).alias("fence"), F.when((x["m"] == "## ") & (s["fence"] == ""), F.array_append(s["at"], x["i"])).otherwise(s["at"]).alias("at"))
+    found = cut.withColumn("at", F.aggregate(marks, start, step, lambda s: s["at"]))
+    ends = F.transform("at", lambda a, k: F.struct((a + 1).alias("a"), F.coalesce(F.get("at", k + 1), F.size("lines")).alias("b")))
+    rows = found.select("path", "lines", F.posexplode(ends).alias("ordinal", "s")).select("path", "ordinal", F.expr("slice(lines, s.a, s.b - s.a + 1)").alias("own"))
+    # the start of a section is counted from 1, its end is exclusive and from 0
+    rows = rows.withColumn("bare", F.transform("own", _strip))
+    slugs = F.transform(F.filter("bare", lambda x: x.rlike("^<!-- pattern-slug:.*-->$")), lambda x: _strip(F.regexp_extract(x, "^<!-- pattern-slug:(.*)-->$", 1)))
+    rows = rows.withColumn("slug", F.get(F.filter(slugs, lambda x: (x != "") & (F.lower(x) != "none")), F.lit(0))).where("slug IS NOT NULL")
+    after = lambda c, test: F.expr(f"slice({c}, 1 + coalesce(nullif(array_position(transform({c}, x -> {test}), true), 0) - 1, size({c})), size({c}))")
+    upto = lambda c, test: F.expr(f"slice({c}, 1, coalesce(nullif(array_position(transform({c}, x -> {test}), true), 0) - 1, size({c})))")
+    rows = rows.withColumn("scope", after("bare", "lower(x) rlike '^### +scope$'")).withColumn("scope", F.expr("slice(scope, 2, size(scope))"))
+    rows = rows.withColumn("scope", upto("scope", "x rlike '^### '")).withColumn("scope", after("scope", "x <> ''")).withColumn("scope", upto("scope", "x = ''"))
+    body = F.concat(F.regexp_replace(F.array_join("own", "\n"), "(?U)\\s+$", ""), F.lit("\n"))
+    known = lambda k, other: _chosen(prefixes, k, other)
+    return rows.select(
+        "path", "ordinal", _strip(F.regexp_replace(F.get("bare", F.lit(0)), "^## ", "")).alias("title"), "slug", F.when(F.size("scope") > 0, F.array_join("scope", " ")).alias("summary"), body.alias("body"),
+        known(0, F.array().cast("array<string>")).alias("labels"), known(1, F.array(F.lit("general"))).alias("categories"), F.lit("latest").alias("version"), F.lit("active").alias("state"),
+    )
+
+
+def _chosen(prefixes: dict[str, tuple[str, str]], k: int, other: Column) -> Column:
+    out = other
+    for prefix in sorted(prefixes, key=len):  # the longest is asked first
+        out = F.when(F.col("slug").startswith(prefix), F.array(F.lit(prefixes[prefix][k]))).otherwise(out)
+    return out

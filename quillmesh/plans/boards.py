@@ -53,9 +53,9 @@ def _docs(s, d):
     )
 
 
-@query(_DOCS + " SELECT slug, title FROM o WHERE lower(title) LIKE '%e%' AND kind = 'en' AND scope = 'local' AND app = 'src1'")
+@query(_DOCS + " SELECT slug, title FROM o WHERE lower(title) LIKE '%e%' AND kind = 'en' AND scope = 'global' AND app = 'src1'")
 def docs_list(s, d):
-    return board.list_docs(_docs(s, d), "E", "src1", "en", "en", "local").select("slug", "title")
+    return board.list_docs(_docs(s, d), "E", "src1", "en", "en", "global").select("slug", "title")
 
 
 @query(_DOCS + " SELECT slug, CASE WHEN id % 3 = 0 THEN 'new' ELSE title END AS title FROM o WHERE id % 5 <> 0")
@@ -78,9 +78,9 @@ def docs_export(s, d):
     return board.export_manifest(docs, there)
 
 
-@query(_DOCS + ", s AS (SELECT v.id, ordinal, text FROM v_segments v JOIN o ON o.id = v.id WHERE app = 'src2' AND scope = 'global') SELECT id, ordinal FROM s WHERE lower(text) LIKE '%the%'")
+@query(_DOCS + ", s AS (SELECT v.id, ordinal, text FROM v_segments v JOIN o ON o.id = v.id WHERE app = 'src2' AND scope = 'local') SELECT id, ordinal FROM s WHERE lower(text) LIKE '%the%'")
 def docs_chunks(s, d):
-    docs = board.list_docs(_docs(s, d), app="src2", scope="global").select("id")
+    docs = board.list_docs(_docs(s, d), app="src2", scope="local").select("id")
     return v.segments(s, d).where(F.lower("text").contains("the")).join(docs, "id", "left_semi").select("id", "ordinal")
 
 

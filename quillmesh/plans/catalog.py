@@ -378,15 +378,6 @@ def recent_accesses(s, d):
     return board.recent_accesses(store.access_counts(v.access(s, d)), 1705000000, 20)
 
 
-@query("""SELECT r.id, uses FROM (SELECT r.*, row_number() OVER (ORDER BY id) AS place FROM v_resources r ORDER BY id LIMIT 80) r
- JOIN (SELECT v.id AS id, coalesce(count(resource), 0)::BIGINT AS uses FROM v_resources v LEFT JOIN v_access ON resource = v.id GROUP BY 1) u ON u.id = r.id
- ORDER BY CASE authority WHEN 'repository' THEN 0 WHEN 'gateway' THEN 1 ELSE 2 END, CASE status WHEN 'stable' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END, uses DESC, place LIMIT 20""")
-def usage_rerank(s, d):
-    found = v.resources(s, d).orderBy("id").limit(80).withColumn("place", F.col("id"))
-    uses = v.access(s, d).groupBy("resource").agg(F.count(F.lit(1)).alias("uses"))
-    return board.usage_rerank(found, uses, 20).select("id", "uses")
-
-
 @query("SELECT id, ordinal, running FROM (SELECT id, ordinal, sum(length(text)) OVER (PARTITION BY id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM v_segments) WHERE running <= 3000")
 def budgeted_snippets(s, d):
     return board.within_budget(v.segments(s, d), ["ordinal"], F.length("text"), 3000, ["id"]).select("id", "ordinal", F.col("running").cast("long").alias("running"))

@@ -70,11 +70,11 @@ def run_counters(s, d):
     return counters.withColumn("code", text.exit_code(grep=True))
 
 
-@query("SELECT path, regexp_replace(text, '(?i)And', 'et') AS text, regexp_matches(text, '(?i)And') AS changed FROM (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM v_files) WHERE i = 0")
+@query("SELECT path, regexp_replace(text, '(?i)And', 'et') AS text, regexp_matches(text, '(?i)And') AS changed FROM (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM v_files)")
 def sed_expression(s, d):
     pattern, replacement, every, fold = text.parse_sed("s|And|et|i")
-    first = v.texts(s, d).select("path", F.split("text", "\n", -1)[0].alias("text"))
-    return text.sed_apply(first, text.check_regex(pattern, ignore_case=fold), text.escape_replacement(replacement, 0), first_only=not every)
+    every_line = v.texts(s, d).select("path", F.explode(F.split("text", "\n", -1)).alias("text"))
+    return text.sed_apply(every_line, text.check_regex(pattern, ignore_case=fold), text.escape_replacement(replacement, 0), first_only=not every)
 
 
 @query("SELECT path, line, t AS text FROM l WHERE line >= 3".join([f", {_LINES} ", ""]))

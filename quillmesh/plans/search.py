@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from quillmesh.operators import fts, ftsdelta, graph
+from quillmesh.operators import board, fts, ftsdelta, graph
 from quillmesh.plans import adapters as v
 from quillmesh.plans.base import query
 from quillmesh.plans.catalog import _TOKENS, _bm25, _rounded
@@ -99,6 +99,21 @@ def fts_incremental(s, d):
     return _rounded(fts.bm25(ftsdelta.index(changed(s, d)), "the OR reviewed"))
 
 
+_ORDER = "CASE authority WHEN 'repository' THEN 0 WHEN 'gateway' THEN 1 ELSE 2 END, CASE status WHEN 'stable' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END"
+
+
+@query(_bm25(["the"], "f0 > 0") + f""", b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, ordinal) AS rn FROM r),
+ k AS (SELECT b.id, authority, status, row_number() OVER (ORDER BY {_ORDER}, b.rank, uri) AS place FROM b JOIN v_resources v ON b.id = v.id WHERE rn = 1),
+ u AS (SELECT resource, count(*) AS n FROM v_access GROUP BY 1)
+ SELECT id, coalesce(n, 0)::BIGINT AS uses FROM k LEFT JOIN u ON resource = id WHERE place <= 80 ORDER BY {_ORDER}, coalesce(n, 0) DESC, place LIMIT 20""")
+def usage_rerank(s, d):
+    k = 20
+    found = fts.search(v.index(s, d), v.resources(s, d), "the", limit=4 * k)
+    place = F.row_number().over(Window.orderBy(fts.authority_rank(), fts.status_rank(), "rank", "uri"))  # 4 k rows
+    uses = v.access(s, d).groupBy("resource").agg(F.count(F.lit(1)).alias("uses"))
+    return board.usage_rerank(found.withColumn("place", place), uses, k).select("id", "uses")
+
+
 # traversals: the reached nodes of each level, and their edges
 
 def _bfs(start: str, depth: int, out: bool, into: bool) -> str:

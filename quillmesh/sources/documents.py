@@ -104,6 +104,65 @@ def concepts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return docs.select("path", parse("path", "text").alias("c")).select("path", "c.*")
 
 
+def with_front(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with ``front``, its front matter as a VARIANT; null where there is none or it can't be read."""
+    ship(parsed.sparkSession)
+
+    @F.pandas_udf("string")
+    def as_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(raw: str | None) -> str | None:
+            try:
+                return None if raw is None else json.dumps(load_yaml(raw), default=str, ensure_ascii=False)
+            except (ValueError, TypeError):  # keys that are no scalars
+                return None
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return parsed.withColumn("front", F.try_parse_json(as_json("raw_frontmatter")))
+
+
+def _scalar(value: Column) -> Column:
+    """A variant's text if it is a string, number or truth value."""
+    nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY|VOID)")
+    return F.when(~nested, F.try_variant_get(value, "$", "string"))
+
+
+def _field(value: Column, name: str) -> Column:
+    return _scalar(F.try_variant_get(value, f"$.{name}", "variant"))
+
+
+def front_sources(fronts: DataFrame) -> DataFrame:
+    """path, ordinal, id, resource, title: the sources that front matter (:func:`with_front`) lists, those without a resource left out,
+    then, of documents with a heading ``# Citations``, the external references of the lists under it."""
+    listed = fronts.select("path", F.posexplode(F.try_variant_get("front", "$.sources", "array<variant>")).alias("ordinal", "s"))
+    listed = listed.select("path", "ordinal", *(_field(F.col("s"), c).alias(c) for c in ("id", "resource", "title")))
+    # folded over the lines that matter: where the section starts, where a heading ends it, and items
+    lines = F.transform(F.split("body", "\r?\n", -1), lambda x: F.struct(F.startswith(x, F.lit("# ")).alias("head"), F.regexp_replace(x, "(?U)^\\s+|\\s+$", "").alias("t")))
+    some = F.filter(lines, lambda x: x["head"] | (x["t"] == "# Citations") | F.startswith(x["t"], F.lit("- ")))
+    start = F.struct(F.lit(False).alias("in"), F.array().cast("array<string>").alias("found"))
+    inside = lambda s, x: F.when(x["t"] == "# Citations", F.lit(True)).when(x["head"], F.lit(False)).otherwise(s["in"])
+    item = lambda x: F.substring(x["t"], 3, 1 << 20)
+    step = lambda s, x: F.struct(inside(s, x).alias("in"), F.when(s["in"] & ~x["head"] & F.startswith(x["t"], F.lit("- ")), F.array_append(s["found"], item(x))).otherwise(s["found"]).alias("found"))
+    cited = fronts.where(F.exists("diagnostics", lambda d: d["code"] == "okf-0.1-citations")).select("path", F.posexplode(F.aggregate(some, start, step, lambda s: s["found"])).alias("k", "resource"))
+    none = F.lit(None).cast("string")
+    cited = cited.where(markdown.is_external(F.col("resource"))).select("path", (F.col("k") + (1 << 20)).alias("ordinal"), none.alias("id"), "resource", none.alias("title"))
+    return listed.where("resource IS NOT NULL").unionByName(cited)
+
+
+def front_verified(fronts: DataFrame) -> DataFrame:
+    """path, kind, actor, at: who verified a document, by kind; ``at`` is shared by all. An actor that is no text is shown as JSON."""
+    marks = F.try_variant_get("front", "$.verified", "map<string, variant>")
+    rows = fronts.select("path", _field(F.try_variant_get("front", "$.verified", "variant"), "at").alias("at"), F.explode(marks).alias("kind", "value")).where("kind <> 'at'")
+    return rows.select("path", "kind", F.coalesce(_scalar(F.col("value")), F.to_json("value"), F.lit("null")).alias("actor"), "at")
+
+
+def front_generated(fronts: DataFrame) -> DataFrame:
+    """path, by, at: what generated a document and when; ``timestamp`` is what older documents have for ``at``."""
+    made = F.try_variant_get("front", "$.generated", "variant")
+    return fronts.select("path", _field(made, "by").alias("by"), F.coalesce(_field(made, "at"), _field(F.col("front"), "timestamp")).alias("at"))
+
+
 def bundle(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The concepts of a bundle; ValueError for too many files. Ids are paths without ``.md``."""
     found = docs.where(F.col("path").endswith(".md"))
