@@ -109,7 +109,7 @@ def resolve_unique(matches: DataFrame) -> DataFrame:
 
 
 def glob_regex(pattern: str) -> str:
-    """``*`` is any run, slashes included; ``?`` is one byte; matched against a whole path or file name."""
+    """``*`` is any run, slashes included; ``?`` is one character; matched against a whole path or file name."""
     return "^(?s:" + "".join(".*" if c == "*" else "." if c == "?" else "\\Q" + c + "\\E" for c in pattern) + ")$"
 
 

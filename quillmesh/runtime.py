@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,8 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit; the folder then stays for the cluster's own cleaning
+        pass
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage is cut, and a lost executor costs no more than one stage."""
+    """``df`` written to the shared folder and read back: its lineage is cut, and a lost executor costs no more than one stage.
+
+    The table goes when the session ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/quillmesh-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
