@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -15,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillmesh.runtime import ship
+from quillmesh.runtime import remove, shared_dir, ship
 
 #: Text bytes that one call of a batch function gets at most, unless one text alone is longer.
 SLICE_BYTES = 1 << 20
@@ -68,35 +67,11 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where none is set, a local session takes a temporary folder; on a cluster that would be one machine's own, so it raises.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the folder then stays for the cluster's own cleaning
-        pass
-
-
 def drop_staged(df: DataFrame | None) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "_qm_path", None)
     if path:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -113,7 +88,7 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._qm_path = path
     return back

@@ -15,6 +15,8 @@ from quillmesh.llm.components import components
 RADIUS, SEED, SHINGLE = 2, 42, 3
 #: The pipeline's stage: words of a shingle, least Jaccard similarity in tenths, counters of the shingle sketch.
 STAGE_SHINGLE, TENTHS, COUNTERS = 5, 8, 1 << 17
+#: One in so many candidate pairs is verified before the others, which it mostly decides.
+FEW = 4
 #: Shingle sets that one task remembers, so that most copies make no rows twice.
 REMEMBERED = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -235,7 +237,14 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
     rest = x.join(y, "shingle").where(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stage_table(rest.join(first, ["a", "b"], "left_anti"), "candidates")
     drop_staged(mixed)
-    return close.unionByName(_verified(texts, ids, rest))
+    # a few pairs, spread by hash, join most of what can be joined; then only pairs of classes that are still apart are left
+    few = F.pmod(F.xxhash64("a", "b"), F.lit(FEW)) == 0
+    found = stage_table(close.unionByName(_verified(texts, ids, rest.where(few))), "links-of-few")
+    members = stage_table(components(found, "a", "b"), "members-of-few")
+    own = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+    apart = rest.where(~few).join(own("a"), "a", "left").join(own("b"), "b", "left")
+    apart = stage_table(apart.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), "candidates-apart")
+    return found.unionByName(_verified(texts, ids, apart))
 
 
 def _sizes(left: Column, right: Column) -> list[Column]:
@@ -267,7 +276,7 @@ def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
                 mask.append((10 + TENTHS) * both >= TENTHS * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = pairs.select(F.col("a").alias("fp")).distinct().unionByName(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
     wanted = ids.join(wanted, "fp", "left_semi").select("h").distinct()
     wanted = stage_table(wanted, "wanted")
     texts = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
@@ -278,10 +287,15 @@ def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row, all columns, of each group of texts linked by 5-word Jaccard similarity of 0.8 or more: that of the least doc_id."""
+    """One row, all columns, of each group of texts linked by 5-word Jaccard similarity of 0.8 or more: that of the least doc_id.
+
+    Null, empty and wordless texts have equal (empty) shingle sets and are one group. Texts of fewer than five words are
+    one shingle each. Rows with a null doc_id come last in their group.
+    """
     marked = _marked(docs, key, text, lambda t: _set_key(shingle_set(t)))
     return _survivors(docs, key, text, marked, _classes(marked, jaccard_links(docs, marked, text)))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint zero, linked like any other."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
