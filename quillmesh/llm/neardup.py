@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from quillmesh.llm.components import components
 RADIUS, SEED, SHINGLE = 2, 42, 3
 #: The pipeline's stage: words of a shingle, least Jaccard similarity in tenths, counters of the shingle sketch.
 STAGE_SHINGLE, TENTHS, COUNTERS = 5, 8, 1 << 17
-#: One in so many candidate pairs is verified before the others, which it mostly decides.
-FEW = 4
+#: Slots of sets by hash, and how many of them take part in each round of pairs; the last round has all.
+SLOTS = 16
+ROUNDS = (1, SLOTS)
+#: Bits of a set's parity mask, 64 a column: bit k tells whether the set has an odd number of shingles whose hash falls on k.
+PARITY = ("p0", "p1", "p2", "p3")
 #: Shingle sets that one task remembers, so that most copies make no rows twice.
 REMEMBERED = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,6 +154,25 @@ def _set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The set's parity mask as a signed number for each column of PARITY."""
+    at = (found & np.uint64(64 * len(PARITY) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * len(PARITY)) & 1).view(np.int64)
+
+
+def _marked_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, h, fp, parity mask): a hash of the text, and key and mask of its shingle set, a row per input row."""
+
+    def work(part: pa.RecordBatch) -> list:
+        sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+        masks = np.array([parity(x) for x in sets], np.int64).reshape(-1, len(PARITY))
+        return [pa.array([_signed(_set_key(x)) for x in sets], pa.int64()), *(pa.array(masks[:, k].copy()) for k in range(len(PARITY)))]
+
+    rows = doc_columns(docs, key, text).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    fields = [T.StructField(name, T.LongType()) for name in ("fp", *PARITY)]
+    return stage_table(add_columns(rows, "text", fields, work, drop_input=True), "fingerprints")
+
+
 def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(47)).astype(np.int64)
 
@@ -187,7 +210,9 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
     Exact prefix join: in any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
     order puts shingles of rare counters first. A first common place bounds what can follow it; pairs that pass are
     verified on whole sets. First each set meets the least set of most of its buckets; sets that this connects are a
-    class and make no more pairs among themselves, so a large group of close texts makes about as many pairs as it has rows.
+    class and make no more pairs among themselves. Then rounds make the pairs of classes that are still apart in a bucket:
+    one with a sixteenth of the sets on one side, and, when its links have joined classes, one with all of them, less
+    pairs that were tested before and pairs whose parity masks differ in more bits than close sets can. So a large group of close texts makes far fewer pairs than its square.
     """
     order = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text))
 
@@ -224,27 +249,31 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
     first = stage_table(shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b"), "candidates")
     ids = marked.groupBy("fp").agg(F.min("h").alias("h"))  # copies go before any join
     close = stage_table(_verified(texts, ids, first), "links-of-hubs")
-    members = stage_table(components(close, "a", "b"), "members-of-hubs")
-    # what hubs have joined already needs no more pairs: the rest of a bucket meets the bucket's greatest class and itself
-    held = met.select("shingle", "fp", "n", "place").join(members, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("component", "fp")).drop("node", "component")
-    sizes = held.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("k"))
-    greatest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", F.col("top.class").alias("greatest"))
-    mixed = stage_table(held.join(greatest, "shingle"), "met-mixed")
+    # what is joined already needs no more pairs: the rest of a bucket meets the bucket's greatest class and itself, in the
+    # first round by its members of a few slots alone, which join most of what can be joined before more pairs are made
+    masks = marked.groupBy("fp").agg(*(F.min(c).alias(c) for c in PARITY))  # of one set all are equal
+    tested, found = first, close
+    for k, slots in enumerate(ROUNDS):
+        members = stage_table(components(found, "a", "b"), "members")
+        own = masks.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"), *PARITY)
+        held = met.select("shingle", "fp", "n", "place").join(own, "fp")
+        sizes = held.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("k"))
+        greatest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", F.col("top.class").alias("greatest"))
+        mixed = stage_table(held.join(greatest, "shingle"), "met-mixed")
+        x = mixed.where("class <> greatest").select("shingle", F.col("fp").alias("x"), F.col("class").alias("cx"), F.struct("n", "place", *PARITY).alias("sx"))
+        y = mixed.where(F.pmod(F.xxhash64("fp"), F.lit(SLOTS)) < slots)
+        y = y.select("shingle", F.col("fp").alias("y"), F.col("class").alias("cy"), F.struct("n", "place", *PARITY).alias("sy"), F.col("greatest"))
+        # of two sets outside the greatest class, either may be the one with a slot of this round; when all slots count, one order is enough
+        once = (F.col("x") < F.col("y")) if slots == SLOTS else F.lit(True)
+        pair = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("greatest")) | once) & _may(F.col("sx"), F.col("sy")) & _even(F.col("sx"), F.col("sy"))
+        made = x.join(y, "shingle").where(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        made = stage_table(made.join(tested, ["a", "b"], "left_anti"), "candidates")
+        drop_staged(mixed)
+        stars = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        found = stage_table(stars.unionByName(_verified(texts, ids, made)), f"links-{k}")
+        tested = tested.unionByName(made)
     drop_staged(met)
-    x = mixed.where("class <> greatest").select("shingle", F.col("fp").alias("x"), F.col("class").alias("cx"), F.struct("n", "place").alias("sx"))
-    y = mixed.select("shingle", F.col("fp").alias("y"), F.col("class").alias("cy"), F.struct("n", "place").alias("sy"), F.col("greatest"))
-    pair = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("greatest")) | (F.col("x") < F.col("y"))) & _may(F.col("sx"), F.col("sy"))
-    rest = x.join(y, "shingle").where(pair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stage_table(rest.join(first, ["a", "b"], "left_anti"), "candidates")
-    drop_staged(mixed)
-    # a few pairs, spread by hash, join most of what can be joined; then only pairs of classes that are still apart are left
-    few = F.pmod(F.xxhash64("a", "b"), F.lit(FEW)) == 0
-    found = stage_table(close.unionByName(_verified(texts, ids, rest.where(few))), "links-of-few")
-    members = stage_table(components(found, "a", "b"), "members-of-few")
-    own = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
-    apart = rest.where(~few).join(own("a"), "a", "left").join(own("b"), "b", "left")
-    apart = stage_table(apart.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), "candidates-apart")
-    return found.unionByName(_verified(texts, ids, apart))
+    return found
 
 
 def _sizes(left: Column, right: Column) -> list[Column]:
@@ -258,6 +287,12 @@ def _may(left: Column | None = None, right: Column | None = None) -> Column:
     return F.lit(10 + TENTHS) * most >= F.lit(TENTHS) * (na + nb)
 
 
+def _even(left: Column, right: Column) -> Column:
+    """Can two sets be close whose parity masks are these? A shingle that one of them alone has turns one bit of their difference, so it has no more bits than such shingles."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(left[c].bitwiseXOR(right[c])) for c in PARITY])
+    return F.lit(10 + TENTHS) * apart <= F.lit(10 - TENTHS) * (left["n"] + right["n"])
+
+
 def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole shingle sets are close; ``ids`` has a text hash of each set's key."""
 
@@ -289,10 +324,10 @@ def _verified(texts: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row, all columns, of each group of texts linked by 5-word Jaccard similarity of 0.8 or more: that of the least doc_id.
 
-    Null, empty and wordless texts have equal (empty) shingle sets and are one group. Texts of fewer than five words are
+    Null, empty and wordless texts have equal (empty) shingle sets and are one group, of which one row stays. Texts of fewer than five words are
     one shingle each. Rows with a null doc_id come last in their group.
     """
-    marked = _marked(docs, key, text, lambda t: _set_key(shingle_set(t)))
+    marked = _marked_sets(docs, key, text)
     return _survivors(docs, key, text, marked, _classes(marked, jaccard_links(docs, marked, text)))
 
 

@@ -667,3 +667,48 @@ def test_pipeline_matches_plain_python(spark, docs, tmp_path):
             del left[fits[0]]
             at, pieces = 0, []
     assert not left and not pieces
+
+
+def test_parity_masks_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 90, 700):
+        for cut in (0, 1, 5, 60):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[min(cut, len(x)) :], rng.integers(0, 1 << 63, cut).astype(np.uint64)]))
+            bits = sum(int(v).bit_count() for v in (neardup.parity(x) ^ neardup.parity(y)).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y))
+    assert not neardup.parity(np.array([3, 3 + (1 << 40)], np.uint64)).any()  # even on every bit
+
+
+def test_near_dedup_of_a_dense_group_equals_brute_force_and_makes_few_pairs(spark, monkeypatch):
+    """Variants of one template link in chains: far fewer pairs than the square, and the classes of all pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{k}_{j}" for j in range(40)) for k in range(50)] + texts[:20]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    tested = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda t, i, pairs: (tested.append(pairs.count()), verified(t, i, pairs))[1])
+    got = {r.doc_id for r in neardup.keep_one_similar(docs).collect()}
+    sets = [set(neardup.shingle_set(t).tolist()) for t in texts]
+    head = list(range(len(texts)))
+
+    def root(k):
+        while head[k] != k:
+            k = head[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 18 * both >= 8 * (len(sets[a]) + len(sets[b])):
+                x, y = root(a), root(b)
+                head[max(x, y)] = min(x, y)
+    assert got == {k for k in range(len(texts)) if root(k) == k}
+    assert sum(tested) < 400 * 399 // 8
