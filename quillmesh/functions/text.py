@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmesh.sources.files import hash_column
 
-_ADVANCED = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|\(\?>|[*+?}]\+")
+#: One piece of a pattern, read in order: what the dialect lacks, or an escape, a class or any other character.
+_PIECE = re.compile(r"(?P<advanced>\\[1-9]|\\k<|\(\?(?:[=!>]|<[=!])|[*+?}]\+)|\\[pPx]\{[^}]*\}|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
 
 
 def check_regex(pattern: str, fixed: bool = False, ignore_case: bool = False) -> str:
     """A pattern in the dialect without look-around, back references and possessive repeats; ValueError otherwise."""
     if fixed:
         pattern = re.sub(r"([\\.+*?()|\[\]{}^$#&~-])", r"\\\1", pattern)
-    elif _ADVANCED.search(pattern):
+    elif any(piece["advanced"] for piece in _PIECE.finditer(pattern)):
         raise ValueError("look-around, back references and possessive repeats are not supported")
     return ("(?i)" if ignore_case else "") + pattern
 
 
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), text: a final terminator makes no line, and a carriage return before it is left out."""
-    cut = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"), F.size(F.split("text", "\n", -1)).alias("n"))
+    parts = files.select("path", F.split("text", "\n", -1).alias("parts")).select("path", "parts", F.size("parts").alias("n"))
+    # outer, since a plain one would split again to skip empty arrays; a null text has a null place, which goes with the filter
+    cut = parts.select("path", "n", F.posexplode_outer("parts").alias("at", "text"))
     out = cut.where((F.col("at") < F.col("n") - 1) | (F.col("text") != ""))
     return out.select("path", (F.col("at") + 1).cast("long").alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 

@@ -169,3 +169,16 @@ def test_store_and_board(spark):
     rows = spark.createDataFrame([(i, 1000) for i in range(6)], "id int, n int")
     assert sorted(r.id for r in board.within_budget(rows, ["id"], rows.n, 3000).collect()) == [0, 1, 2]
     assert catalog.glob_filter(spark.createDataFrame([("a/b.txt",), ("c.md",)], "path string"), ["*.txt"]).count() == 1
+
+
+def test_patterns_are_read_in_order():
+    for legal in (r"\++", r"a\\1", "[*+]x", r"\p{L}+", r"\x{41}+", r"(?:a|b)+", "a+", r"[]*+]"):
+        assert text.check_regex(legal) == legal
+    for other in (r"a++", r"(a)\1", r"\\\1", "(?<=a)b", "(?>a)", "a{2}+", r"[a]*+", r"(?<n>a)\k<n>"):
+        with pytest.raises(ValueError):
+            text.check_regex(other)
+
+
+def test_lines_of_null_and_empty_texts(spark):
+    files = spark.createDataFrame([("a", None), ("b", ""), ("c", "\n"), ("d", "x\r\n\ny")], "path string, text string")
+    assert sorted(tuple(r) for r in text.lines(files).collect()) == [("c", 1, ""), ("d", 1, "x"), ("d", 2, ""), ("d", 3, "y")]
