@@ -6,51 +6,59 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Seconds before the end of a piece of work that count, links of one, and observations that are kept.
 WINDOW, LINKS, KEPT = 12 * 3600, 8, 200
-#: Seconds of a bucket, in which work and accesses meet.
-BUCKET = 3600
 
+def spans(accesses: DataFrame, window: int = WINDOW) -> DataFrame:
+    """resource, start, end, uses: the stretches of seconds in which a piece of work that ends then has so many uses of a resource.
 
-def _bucket(c: Column) -> Column:
-    return F.floor(c / BUCKET).cast("long")
+    ``accesses`` has resource, tool and seen (epoch seconds); rows without resource or time are left out. A tool counts with
+    all its accesses so far, from one of them until ``window`` seconds after it. Stretches of a resource don't meet, are
+    ``window`` + 1 seconds long at most, and are no more than twice its accesses.
+    """
+    seconds = accesses.where("resource IS NOT NULL AND seen IS NOT NULL").groupBy("resource", "tool", "seen").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("resource", "tool").orderBy("seen")
+    told = seconds.select("resource", "seen", "n", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lag("seen").over(by).alias("last"), F.lead("seen").over(by).alias("next"))
+    more = F.when(F.col("seen") - F.col("last") <= window, F.col("n")).otherwise(F.col("upto"))
+    ends = F.when(F.coalesce(F.col("next") - F.col("seen") > window, F.lit(True)), F.col("seen") + window + 1)
+    steps = told.select("resource", F.explode(F.array(F.struct(F.col("seen").alias("start"), more.alias("more")), F.struct(ends.alias("start"), (-F.col("upto")).alias("more")))).alias("s"))
+    steps = steps.select("resource", "s.*").where("start IS NOT NULL")
+    order = Window.partitionBy("resource").orderBy("start")
+    # steps of one second share a sum, and all but the last of them end before they start
+    out = steps.select("resource", "start", (F.lead("start").over(order) - 1).alias("end"), F.sum("more").over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("uses"))
+    return out.where("uses > 0 AND end >= start")
 
 
-def counted(accesses: DataFrame) -> DataFrame:
-    """resource, tool, seen, bucket, upto, last: accesses of each second, and how many of the resource's by the tool there were until then.
+def _blocks(start: Column, end: Column, levels: int) -> Column:
+    """The least blocks of 1, 2, 4, ... seconds, each from a multiple of its length, that make up a stretch: two of each length at most."""
+    found = []
+    for k in range(levels):
+        low, high = F.shiftright(start + ((1 << k) - 1), k), F.shiftright(end + 1, k)
+        odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+        found += [F.when((low < high) & odd(low), _block(low, k)), F.when((low < high) & odd(high), _block(high - 1, k))]
+    return F.array_compact(F.array(*found))
 
-    ``accesses`` has resource, tool and seen (epoch seconds); rows without resource or time are left out. Seconds are counted
-    first, buckets then, so that running sums go over a bucket's seconds and over a resource's buckets, not over its accesses.
-    """
-    seconds = accesses.where("resource IS NOT NULL AND seen IS NOT NULL").groupBy("resource", "tool", "seen").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bucket(F.col("seen")))
-    buckets = seconds.groupBy("resource", "tool", "bucket").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("resource", "tool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = buckets.select("resource", F.col("tool").alias("__tool"), "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = Window.partitionBy("resource", "tool", "bucket").orderBy("seen")
-    running = seconds.withColumn("own", F.sum("n").over(own))
-    joined = running.alias("r").join(before.alias("b"), (F.col("r.resource") == F.col("b.resource")) & F.col("r.tool").eqNullSafe(F.col("b.__tool")) & (F.col("r.bucket") == F.col("b.bucket")))
-    return joined.select("r.resource", "r.tool", "r.seen", "r.bucket", (F.col("before") + F.col("own")).alias("upto"))
+
+def _block(number: Column, level: int) -> Column:
+    return F.shiftleft(number, 6).bitwiseOR(F.lit(level).cast("long"))
 
 
 def observation_links(work: DataFrame, accesses: DataFrame, window: int = WINDOW, limit: int = LINKS) -> DataFrame:
     """work, rank, resource, uses: for each piece of ``work`` (work, at) the resources most used by then, of those touched in the ``window`` before.
 
     A resource counts by tool: the tools that touched it in the window count with all their accesses until ``at``, as
-    counters do that are read when the work ends. Most used first, then by resource. A bucketed range join: a piece of work
-    asks for each bucket of its window; buckets that lie within it whole meet one row for each resource and tool, the two at
-    its ends meet accesses by time. Each resource's greatest count goes before the shuffle, and of each piece only the first
-    ``limit`` rows. Work that touched nothing has no row; rows without id or time are left out.
+    counters do that are read when the work ends. Most used first, then by resource. No piece of work meets all that its
+    window holds: stretches of equal uses (:func:`spans`) are cut into blocks of seconds, of each block that holds the end of
+    some work the first ``limit`` resources stay, and a piece of work meets the blocks around its end, one of each length.
+    Work that touched nothing has no row; rows without id or time are left out.
     """
-    seen = counted(accesses)
-    whole = seen.groupBy("resource", "tool", "bucket").agg(F.max("upto").alias("upto"))
+    levels = (window + 1).bit_length()
     done = work.select("work", F.col("at").cast("long").alias("at")).where("work IS NOT NULL AND at IS NOT NULL").distinct()
-    low, high = F.col("at") - window, F.col("at")
-    spread = done.withColumn("bucket", F.explode(F.sequence(_bucket(low), _bucket(high))))
-    inner = (F.col("bucket") * BUCKET >= low) & ((F.col("bucket") + 1) * BUCKET <= high + 1)
-    full = spread.where(inner).join(whole, "bucket").select("work", "at", "resource", "tool", "upto")
-    ends = spread.where(~inner).join(seen, "bucket").where(F.col("seen").between(low, high)).select("work", "at", "resource", "tool", "upto")
-    by_tool = full.unionByName(ends).groupBy("work", "at", "resource", "tool").agg(F.max("upto").alias("uses"))
-    uses = by_tool.groupBy("work", "at", "resource").agg(F.sum("uses").alias("uses"))
-    rank = F.row_number().over(Window.partitionBy("work", "at").orderBy(F.desc("uses"), "resource"))
-    return uses.withColumn("rank", rank).where(F.col("rank") <= limit).select("work", "rank", "resource", "uses")
+    around = done.select("at").distinct().select("at", F.explode(F.array(*(_block(F.shiftright("at", k), k) for k in range(levels)))).alias("block"))
+    held = spans(accesses, window).select("resource", "uses", F.explode(_blocks(F.col("start"), F.col("end"), levels)).alias("block"))
+    held = held.join(around.select("block").distinct(), "block", "left_semi")
+    most = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("uses"), "resource"))
+    first = held.withColumn("rank", most("block")).where(F.col("rank") <= limit).drop("rank")
+    found = around.join(first, "block").withColumn("rank", most("at")).where(F.col("rank") <= limit)
+    return done.join(found, "at").select("work", "rank", "resource", "uses")
 
 
 def concept_link(namespace: Column, uri: Column, origin: Column, title: Column, project: Column) -> Column:

@@ -113,3 +113,18 @@ def test_front_matter(spark):
     assert sources == [("a.md", "1.5", "true", None), ("a.md", None, "https://a", None), ("a.md", None, "https://c", None), ("a.md", None, "mailto:x@y", None)]
     assert sorted(tuple(r) for r in documents.front_verified(fronts).collect()) == [("a.md", "x", "null", None), ("a.md", "y", "[1,2]", None)]
     assert sorted(tuple(r) for r in documents.front_generated(fronts).collect())[:2] == [("a.md", None, None), ("b.md", None, "12")]
+
+
+def test_spans_of_uses(spark):
+    """Work and what its window holds are not paired: stretches are twice the accesses at most, and links come out of them."""
+    accesses = [(1, "a", 10), (1, "b", 12), (1, "a", 15), (1, None, 15), (1, "a", 30), (2, "a", 15), (None, "a", 3), (2, "a", None)]
+    out = [tuple(r) for r in observe.spans(spark.createDataFrame(accesses, "resource long, tool string, seen long"), 5).collect()]
+    assert len(out) <= 2 * len(accesses)
+    want = {(r, t): sum(sum(x[:2] == (r, k) and x[2] <= t for x in accesses[:6]) for k in {x[1] for x in accesses[:6] if x[0] == r and t - 5 <= x[2] <= t}) for r in (1, 2) for t in range(50)}
+    got = {(r, t): n for r, start, end, n in out for t in range(start, end + 1)}
+    assert got == {k: n for k, n in want.items() if n} and len(got) == sum(end - start + 1 for _, start, end, _ in out)
+    # all 60 work pieces end within reach of all 60 resources: the plan has no join of the two by time
+    a = spark.createDataFrame([(k, "t", k) for k in range(60)], "resource long, tool string, seen long")
+    w = spark.createDataFrame([(k, 100 + k) for k in range(60)], "work long, at long")
+    links = observe.observation_links(w, a, 1000, 2).collect()
+    assert {tuple(r) for r in links} == {(k, n, n - 1, 1) for k in range(60) for n in (1, 2)}
