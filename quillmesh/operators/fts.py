@@ -73,14 +73,34 @@ class Index:
 
 
 def postings(segments: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """term, id, ordinal, size, tf, places of every term of every segment; partial counts before the shuffle."""
+    """term, id, ordinal, size, tf, places of every term of every segment. A segment (id, ordinal) is one row, whose tokens are
+    sorted and cut into terms where the row is, so nothing is shuffled."""
     def placed(k: int):
         return lambda x, i: F.struct(x.alias("term"), (F.lit(k << _SHIFT) + i).alias("place"))
 
+    def term(t: Column, starts: Column):
+        upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(t))
+        return lambda a, k: F.struct(F.get(t, a)["term"].alias("term"), F.transform(F.slice(t, a + 1, upto(k) - a), lambda x: x["place"]).alias("places"))
+
+    bound = lambda c, body: F.flatten(F.transform(F.array(c), body))  # noqa: E731  # once a row, not again in each lambda
+    first = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["term"] != F.get(t, i - 1)["term"]))
+    starts = lambda t: F.when(F.size(t) > 0, first(t)).otherwise(F.array().cast("array<int>"))
     cut = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), placed(k)) for k, c in enumerate(columns)]
-    rows = segments.select("id", "ordinal", F.concat(*cut).alias("t")).withColumn("size", F.size("t"))
-    rows = rows.select("id", "ordinal", "size", F.explode("t").alias("x")).select("id", "ordinal", "size", "x.term", "x.place")
-    return rows.groupBy("term", "id", "ordinal", "size").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    terms = bound(F.sort_array(F.concat(*cut)), lambda t: bound(starts(t), lambda a: F.transform(a, term(t, a))))
+    rows = segments.select("id", "ordinal", terms.alias("t"))
+    rows = rows.withColumn("size", F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x["places"]))).select("id", "ordinal", "size", F.explode("t").alias("x"))
+    return rows.select("x.term", "id", "ordinal", "size", F.size("x.places").cast("long").alias("tf"), "x.places")
+
+
+def write_buckets(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``rows`` in folders by bucket, from the tasks that make them: each keeps its BUCKETS files open, so no row is shuffled or sorted."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, str(BUCKETS))
+    try:
+        rows.write.mode(mode).partitionBy("bucket").parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def build_index(segments: DataFrame, columns: tuple[str, ...] = ("text",), path: str | None = None) -> Index:
@@ -88,10 +108,8 @@ def build_index(segments: DataFrame, columns: tuple[str, ...] = ("text",), path:
     spark = segments.sparkSession
     path = path or f"{shared_dir(spark)}/quillmesh-index-{uuid.uuid4().hex}"
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    # a term's bucket is dealt to several files by segment, so that a frequent term is not one task's
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings(segments, columns).drop("tf").withColumn("bucket", bucket)
-    rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id", "ordinal"), F.lit(max(1, parts // 8)))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # a term's bucket has a file of each task that meets it, so a frequent term is not one task's
+    write_buckets(postings(segments, columns).drop("tf").withColumn("bucket", bucket), f"{path}/postings")
     size = sum((n_tokens(c) for c in columns), F.lit(0))
     segments.agg(F.count(F.lit(1)).alias("N"), F.avg(size).alias("avgdl")).write.parquet(f"{path}/stats")
     return open_index(spark, path, columns)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillmesh.operators.fts import BUCKETS, Index, n_tokens, postings
+from quillmesh.operators.fts import BUCKETS, Index, n_tokens, postings, write_buckets
 from quillmesh.runtime import shared_dir
 
 #: Files of a tier in a bucket that are merged into one.
@@ -67,10 +67,12 @@ def _of(live: Live, kind: int) -> list[tuple[int, int, int, int]]:
 
 
 def _write(live: Live, kind: int, gen: int, rows: DataFrame, sort: list[str]) -> list[tuple[int, int, int, int]]:
-    """Write rows by bucket as one generation; the files' buckets. A bucket's rows are dealt to several tasks by segment."""
-    parts = int(live.spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64("id", "ordinal"), F.lit(max(1, parts // 8)))
-    rows.repartition(parts, "bucket", spread).sortWithinPartitions("bucket", *sort).write.mode("overwrite").partitionBy("bucket").parquet(_folder(live, kind, gen))
+    """Write rows by bucket as one generation; the files' buckets. Postings are written where they are made; the bucket of other
+    rows, which are short, is dealt to several tasks by segment."""
+    if kind != _POSTINGS:
+        parts = int(live.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id", "ordinal"), F.lit(max(1, parts // 8)))).sortWithinPartitions("bucket", *sort)
+    write_buckets(rows, _folder(live, kind, gen), "overwrite")
     schema = T.StructType([*rows.schema.fields])
     found = live.spark.read.schema(schema).parquet(_folder(live, kind, gen)).select("bucket").distinct().collect()  # BUCKETS rows at most
     return [(kind, r["bucket"], gen, 0) for r in found]
@@ -117,7 +119,8 @@ def _ended(live: Live) -> DataFrame:
 
 def _alive(rows: DataFrame, ended: DataFrame) -> DataFrame:
     """Rows that no later generation has ended; those of its own replace older ones."""
-    e = ended.select(F.col("id").alias("__id"), F.col("ordinal").alias("__ordinal"), "ended")
+    # a hash table of what has ended: the many rows beside it are not sorted
+    e = ended.select(F.col("id").alias("__id"), F.col("ordinal").alias("__ordinal"), "ended").hint("shuffle_hash")
     gone = (F.col("id") == F.col("__id")) & (F.col("ordinal") == F.col("__ordinal")) & (F.col("gen") < F.col("ended"))
     return rows.join(e, gone, "left_anti")
 

@@ -110,3 +110,13 @@ def test_column_filters_and_first_words(spark):
             fts.parse(bad)
     with pytest.raises(ValueError):
         found("-nope:x")
+
+
+def test_postings_are_made_and_written_where_segments_are(spark):
+    """No row of postings is shuffled or sorted on its way to its bucket."""
+    rows = [(1, 0, "b a b", "a"), (1, 1, None, "c"), (2, 0, "", ""), (3, 5, "Été ete x", None)]
+    made = fts.postings(spark.createDataFrame(rows, SEGMENT), COLUMNS)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    at = (1 << 40).__add__
+    want = {("a", 1, 0, 4, 2, (1, at(0))), ("b", 1, 0, 4, 2, (0, 2)), ("c", 1, 1, 1, 1, (at(0),)), ("ete", 3, 5, 3, 2, (0, 1)), ("x", 3, 5, 3, 1, (2,))}
+    assert {(r.term, r.id, r.ordinal, r.size, r.tf, tuple(r.places)) for r in made.collect()} == want
