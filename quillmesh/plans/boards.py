@@ -40,7 +40,7 @@ def task_states(s, d):
     log = F.lit(None)
     for k, events in logs.items():
         log = F.when(F.col("id") % 4 == k, F.array(*(F.struct(F.lit(i).alias("at"), F.lit(e).alias("event"), F.lit(a).alias("agent")) for i, (e, a) in enumerate(events)))).otherwise(log)
-    return board.fold_tasks(o.select("id", F.explode(log).alias("x")).select("id", "x.*").orderBy(F.desc("at")))
+    return board.fold_tasks(o.select("id", F.explode(log).alias("x")).select("id", "x.*"))
 
 
 _DOCS = """, o AS (SELECT id, 'd-' || id AS slug, title, namespace AS app, kind, CASE WHEN id % 2 = 0 THEN 'local' ELSE 'global' END AS scope, uri FROM v_resources)"""
