@@ -79,7 +79,7 @@ def _fronts(s, d):
         F.coalesce("text", F.lit("")),
     )
     docs = v.table(s, d, "documents").where("text IS NULL OR NOT contains(text, '# Citations')").select(F.concat(k, F.lit(".md")).alias("path"), text.alias("text"))
-    return documents.with_front(documents.concepts(docs))
+    return documents.with_front(documents.concepts(docs, front=True))
 
 
 _D = "FROM documents WHERE text IS NULL OR NOT contains(text, '# Citations')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Iterator
@@ -37,30 +38,60 @@ def split_front_matter(text: str) -> tuple[str, str] | None:
     return (m[1], text[m.end() :]) if m else None
 
 
+#: Where libyaml and the library's own parser read differently, or may: tags, explicit keys, directives, tabs, byte order marks, odd line ends, long keys.
+_UNLIKE = re.compile("(?:\\A|\n)%|[!?\t\r\x80-\x9f\u2028\u2029\ufeff]|[^\n]{1000}")
+
+
 @lru_cache
 def _loader():
-    """(module, loader, errors) of YAML in which dates stay as they are written; the library is needed only here."""
+    """(module, loader, fast loader or None, errors) of YAML in which dates stay as they are written; the library is needed only here.
+
+    The fast loader takes events from libyaml, where it is there, but composes and constructs as the other does, since
+    libyaml's own composer has no bound on nesting.
+    """
     import yaml
 
+    resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
     class Strings(yaml.SafeLoader):
-        pass
+        yaml_implicit_resolvers = resolvers
+
+    fast = None
+    if yaml.__with_libyaml__:
+        from yaml.composer import Composer
+        from yaml.constructor import SafeConstructor
+        from yaml.cyaml import CParser
+        from yaml.resolver import Resolver
+
+        class Events(Composer, CParser, SafeConstructor, Resolver):
+            yaml_implicit_resolvers = resolvers
 
-    Strings.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-    return yaml, Strings, (yaml.YAMLError, RecursionError)
+            def __init__(self, stream):
+                CParser.__init__(self, stream)
+                Composer.__init__(self)
+                SafeConstructor.__init__(self)
+                Resolver.__init__(self)
+
+        fast = Events
+
+    return yaml, Strings, fast, (yaml.YAMLError, RecursionError)
 
 
 def load_yaml(text: str) -> object:
     """The first document of ``text``; ValueError if it can't be parsed."""
-    yaml, loader, errors = _loader()
+    yaml, loader, fast, errors = _loader()
+    if fast and not _UNLIKE.search(text):
+        with contextlib.suppress(*errors):  # whether it is an error, the other decides
+            return yaml.load(text, fast)
     try:
         return yaml.load(text, loader)
     except errors as e:
         raise ValueError("invalid YAML") from e
 
 
-def parse_concept(path: str, text: str | None, limits: Limits = Limits()) -> dict:
-    """One document as a row of CONCEPT; ``error`` says why it can't be one, and all else is then null."""
-    row: dict = dict.fromkeys(("kind", "title", "description", "tags", "status", "stale_after", "body", "raw_frontmatter", "diagnostics", "error"))
+def parse_concept(path: str, text: str | None, limits: Limits = Limits(), front: bool = False) -> dict:
+    """One document as a row of CONCEPT; ``error`` says why it can't be one, and all else is then null. ``front``: with ``front_json``, its front matter as JSON."""
+    row: dict = dict.fromkeys(("kind", "title", "description", "tags", "status", "stale_after", "body", "raw_frontmatter", "diagnostics", "error") + ("front_json",) * front)
     text = text or ""
     if path.startswith("/") or "\0" in path or ".." in path.split("/"):
         return row | {"error": "path escapes the bundle"}
@@ -88,32 +119,45 @@ def parse_concept(path: str, text: str | None, limits: Limits = Limits()) -> dic
         "kind": _text(meta["type"]), "title": _text(meta.get("title")) or next(iter(headings), path), "description": _text(meta.get("description")),
         "tags": [t for t in map(_text, tags if isinstance(tags, list) else []) if t is not None], "status": _text(meta.get("status")) or "stable",
         "stale_after": _text(meta.get("stale_after")), "body": body, "raw_frontmatter": raw, "diagnostics": notes,
-    }
+    } | ({"front_json": _json(meta)} if front else {})
+
+
+def _json(value: object) -> str | None:
+    try:
+        return json.dumps(value, default=str, ensure_ascii=False)
+    except (ValueError, TypeError):  # keys that are no scalars
+        return None
+
 
+def concepts(docs: DataFrame, limits: Limits = Limits(), front: bool = False) -> DataFrame:
+    """path and the columns of CONCEPT for each (path, text); documents that break a rule keep a row, with ``error``.
 
-def concepts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """path and the columns of CONCEPT for each (path, text); documents that break a rule keep a row, with ``error``."""
+    ``front``: with ``front_json``, so that :func:`with_front` need not read front matter again.
+    """
     ship(docs.sparkSession)
+    schema = CONCEPT + ", front_json string" * front
 
-    @F.pandas_udf(CONCEPT)
+    @F.pandas_udf(schema)
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in re.split(r", (?![^<]*>)", CONCEPT)]
+        names = [x.split()[0] for x in re.split(r", (?![^<]*>)", schema)]
         for paths, texts in batches:
-            yield pd.DataFrame([parse_concept(p, t, limits) for p, t in zip(paths, texts, strict=True)], columns=names)
+            yield pd.DataFrame([parse_concept(p, t, limits, front) for p, t in zip(paths, texts, strict=True)], columns=names)
 
     return docs.select("path", parse("path", "text").alias("c")).select("path", "c.*")
 
 
 def with_front(parsed: DataFrame) -> DataFrame:
     """``parsed`` with ``front``, its front matter as a VARIANT; null where there is none or it can't be read."""
+    if "front_json" in parsed.columns:
+        return parsed.withColumn("front", F.try_parse_json("front_json")).drop("front_json")
     ship(parsed.sparkSession)
 
     @F.pandas_udf("string")
     def as_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(raw: str | None) -> str | None:
             try:
-                return None if raw is None else json.dumps(load_yaml(raw), default=str, ensure_ascii=False)
-            except (ValueError, TypeError):  # keys that are no scalars
+                return None if raw is None else _json(load_yaml(raw))
+            except ValueError:
                 return None
 
         for batch in batches:
@@ -135,19 +179,22 @@ def _field(value: Column, name: str) -> Column:
 def front_sources(fronts: DataFrame) -> DataFrame:
     """path, ordinal, id, resource, title: the sources that front matter (:func:`with_front`) lists, those without a resource left out,
     then, of documents with a heading ``# Citations``, the external references of the lists under it."""
-    listed = fronts.select("path", F.posexplode(F.try_variant_get("front", "$.sources", "array<variant>")).alias("ordinal", "s"))
-    listed = listed.select("path", "ordinal", *(_field(F.col("s"), c).alias(c) for c in ("id", "resource", "title")))
-    # folded over the lines that matter: where the section starts, where a heading ends it, and items
-    lines = F.transform(F.split("body", "\r?\n", -1), lambda x: F.struct(F.startswith(x, F.lit("# ")).alias("head"), F.regexp_replace(x, "(?U)^\\s+|\\s+$", "").alias("t")))
-    some = F.filter(lines, lambda x: x["head"] | (x["t"] == "# Citations") | F.startswith(x["t"], F.lit("- ")))
-    start = F.struct(F.lit(False).alias("in"), F.array().cast("array<string>").alias("found"))
-    inside = lambda s, x: F.when(x["t"] == "# Citations", F.lit(True)).when(x["head"], F.lit(False)).otherwise(s["in"])
-    item = lambda x: F.substring(x["t"], 3, 1 << 20)
-    step = lambda s, x: F.struct(inside(s, x).alias("in"), F.when(s["in"] & ~x["head"] & F.startswith(x["t"], F.lit("- ")), F.array_append(s["found"], item(x))).otherwise(s["found"]).alias("found"))
-    cited = fronts.where(F.exists("diagnostics", lambda d: d["code"] == "okf-0.1-citations")).select("path", F.posexplode(F.aggregate(some, start, step, lambda s: s["found"])).alias("k", "resource"))
-    none = F.lit(None).cast("string")
-    cited = cited.where(markdown.is_external(F.col("resource"))).select("path", (F.col("k") + (1 << 20)).alias("ordinal"), none.alias("id"), "resource", none.alias("title"))
-    return listed.where("resource IS NOT NULL").unionByName(cited)
+    # sections start at a heading, or at a line that is the mark alone; what follows the mark counts
+    mark = "[\\s&&[^\n]]*# Citations[\\s&&[^\n]]*(?:\n|\\z)"
+    sections = F.filter(F.split("body", f"(?U)(?:\\A|\n)(?=# |{mark})", -1), lambda x: x.rlike(f"(?U)\\A{mark}"))
+    lines = F.transform(F.flatten(F.transform(sections, lambda x: F.split(x, "\r?\n", -1))), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
+    items = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("- "))), lambda x: F.substr(x, F.lit(3)))
+    cited = F.when(F.exists("diagnostics", lambda d: d["code"] == "okf-0.1-citations"), items)
+    listed = F.try_variant_get("front", "$.sources", "array<variant>")
+    # both lists in one array, so that a document is read once
+    both = F.concat(
+        F.coalesce(F.transform(listed, lambda s, k: F.struct(k.alias("ordinal"), s.alias("s"), F.lit(None).cast("string").alias("cited"))), F.array()),
+        F.coalesce(F.transform(cited, lambda x, k: F.struct((k + (1 << 20)).alias("ordinal"), F.lit(None).cast("variant").alias("s"), x.alias("cited"))), F.array()),
+    )
+    rows = fronts.select("path", F.inline(both))
+    own = [F.when(F.col("cited").isNull(), _field(F.col("s"), c)).alias(c) for c in ("id", "resource", "title")]
+    rows = rows.select("path", "ordinal", "cited", *own).where(F.when(F.col("cited").isNull(), F.col("resource").isNotNull()).otherwise(markdown.is_external(F.col("cited"))))
+    return rows.select("path", "ordinal", "id", F.coalesce("cited", "resource").alias("resource"), "title")
 
 
 def front_verified(fronts: DataFrame) -> DataFrame:
