@@ -7,7 +7,7 @@ their ends by matching braces, or by indentation. It reads what is declared, not
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate, islice
@@ -148,16 +148,50 @@ def _template_end(source: str, at: int) -> int:
     return len(source)
 
 
-def _blank(source: str, language: str, comments: bool = False) -> str:
+def _blank(source: str, literals: list[tuple[int, int, bool]], comments: bool = False) -> str:
     """``source`` with comments, and unless ``comments`` strings, as blanks; places and lines stay."""
     out, at = [], 0
-    for start, end, comment in _literals(source, language):
+    for start, end, comment in literals:
         if comment or not comments:
-            out += [source[at:start], re.sub(r"[^\n]", " ", source[start:end])]
+            out += [source[at:start], "\n".join(" " * len(line) for line in source[start:end].split("\n"))]
             at = end
     return "".join([*out, source[at:]])
 
 
+_LONG_BLANK = re.compile(r"[ \t\n]{16,}")
+
+
+class _Squeezed:
+    """Code with its long blanks cut short, since a file of comments is blanks for the most part, and places of the whole for places in it.
+
+    What a form can tell apart stays: how a blank starts and ends, and whether it has no line's end, one or more.
+    """
+
+    def __init__(self, code: str):
+        self.whole, out, at, size = code, [], 0, 0
+        self.starts, self.shifts = [], [0]
+        for m in _LONG_BLANK.finditer(code):
+            lines = m[0].split("\n")
+            short = lines[0][:1] + "\n" * min(len(lines) - 1, 2) + lines[-1][-4:]
+            out += [code[at : m.start()], short]
+            self.starts.append(size + m.start() - at)
+            size, at = self.starts[-1] + len(short), m.end()
+            self.shifts.append(at - size)
+        self.code = "".join([*out, code[at:]])
+
+    def at(self, place: int) -> int:
+        return place + self.shifts[bisect_left(self.starts, place)]
+
+    def find(self, form: str) -> Iterator[tuple[int, int, re.Match]]:
+        """(start, end, match) of what is found; white space before it is not counted."""
+        for m in _compiled(form).finditer(self.code):
+            yield self.at(m.end() - len(m[0].lstrip())), self.at(m.end()), m
+
+    def group(self, m: re.Match, name: str) -> str:
+        """A group of a match as it stands in the whole."""
+        return self.whole[self.at(m.start(name)) : self.at(m.end(name))]
+
+
 def _flat(code: str) -> str:
     """``code`` with what stands in round or square brackets inside round ones as blanks, so that a head's parameters have none."""
     out, at, depth = [], 0, 0
@@ -218,7 +252,8 @@ class _Source:
     """One file: its blanked code, and lines and bytes of places."""
 
     def __init__(self, source: str, language: str):
-        self.text, self.language, self.code = source, language, _blank(source, language)
+        self.text, self.language, self.literals = source, language, list(_literals(source, language))
+        self.code = _blank(source, self.literals)
         self.flat = _flat(self.code)
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
         self.ascii = source.isascii()
@@ -237,13 +272,13 @@ class _Source:
         pairs = self.braces() if self.language != "Python" else {}
         lines = self.code.split("\n")
         found: dict[int, dict] = {}
+        flat = _Squeezed(self.flat)
         for kind, form in _HEADS[self.language]:
-            for m in _compiled(form).finditer(self.flat):
-                at = m.start("n")
+            for start, stop, m in flat.find(form):
+                at = flat.at(m.start("n"))
                 place = at if kind != "decorated" else -at - 1
                 if place in found or m["n"] in _KEYWORDS:
                     continue
-                start = m.start() + len(m[0]) - len(m[0].lstrip())
                 row = self.line(start)
                 if self.language == "Python":
                     last = _indented_end(lines, self.line(at) - 1)
@@ -253,7 +288,7 @@ class _Source:
                         row += 1
                     end = self.starts[row] - 1 if row < len(self.starts) else len(self.text)
                 else:
-                    end = _end(self.code, m.end(), pairs)
+                    end = _end(self.code, stop, pairs)
                 found[place] = {"name": m["n"], "kind": "fn" if kind == "decorated" else kind, "at": at, "start": start, "end": end, "decorated": kind == "decorated"}
         if self.language == "Go":
             self._grouped(found)
@@ -306,36 +341,37 @@ class _Source:
             k = bisect_right(cuts, at) - 1
             return inner[k] if k >= 0 else None
 
-        raw = _blank(self.text, self.language, comments=True)
+        raw, code = _Squeezed(_blank(self.text, self.literals, comments=True)), _Squeezed(self.code)
         imports = _IMPORTS[self.language]
         if self.language == "Go":
-            blocks = re.finditer(r"\bimport\s*(?:\(([^)]*)\)|((?:\w+\s+)?\"[^\"\n]*\"))", raw)
+            blocks = re.finditer(r"\bimport\s*(?:\(([^)]*)\)|((?:\w+\s+)?\"[^\"\n]*\"))", raw.whole)
             sites = [(m.start(0), t) for m in blocks for t in re.findall(r"\"[^\"\n]*\"", m[1] or m[2])]
         else:
-            sites = [(m.start(), m["t"] or m["u"] if self.language == "Python" else m["t"]) for m in _compiled(imports).finditer(raw)]
+            sites = [(at, raw.group(m, "t" if m["t"] is not None else "u")) for at, _, m in raw.find(imports)]
+            if self.language == "Python":  # an import starts where its line does
+                sites = [(self.starts[self.line(at) - 1], target) for at, target in sites]
         for at, target in sites[:MAX_SITES]:
             out["imports", owner(at), target.strip(), at] = None
         for relation, form in _BASES[self.language]:
-            for m in list(_compiled(form).finditer(self.code))[:MAX_SITES]:
-                for t in re.split(r"[,+](?![^<]*>)", m["t"]):
+            for at, _, m in islice(code.find(form), MAX_SITES):
+                for t in re.split(r"[,+](?![^<]*>)", code.group(m, "t")):
                     base = re.sub(r"^(?:(?:public|private|protected|virtual)\s+)+", "", t.strip())
                     if base and "=" not in base and not base.startswith("'"):
                         # a C# base list does not tell interfaces from classes; their names do, until symbols are resolved
                         kind = "implements" if self.language == "C#" and re.match(r"I[A-Z]", base.rpartition(".")[2]) else relation
-                        out[kind, m["s"], base, m.start()] = None
-        calls = (m for m in _compiled(rf"(?P<t>{_PATH})\s*(?:::<[^<>()]*>)?\(").finditer(self.code))
+                        out[kind, m["s"], base, at] = None
         count = 0
-        for m in calls:
+        for at, _, m in code.find(rf"(?P<t>{_PATH})\s*(?:::<[^<>()]*>)?\("):
             last = m["t"].replace("->", ".").replace("::", ".").rpartition(".")[2]
-            if last in _KEYWORDS or last == "void" or m.start("t") in names or self.code[m.start() - 1 : m.start()] == "#":
+            if last in _KEYWORDS or last == "void" or at in names or self.code[at - 1 : at] == "#":
                 continue
-            before = re.search(r"(\w+)\s*$", self.code[max(0, m.start() - 24) : m.start()])
+            before = re.search(r"(\w+)\s*$", self.code[max(0, at - 24) : at])
             if before and before[1] in ("fn", "def", "func", "function", "class", "struct"):
                 continue
             count += 1
             if count > MAX_SITES:
                 break
-            out["calls", owner(m.start()), m["t"], m.start()] = None
+            out["calls", owner(at), m["t"], at] = None
         return list(out)
 
 

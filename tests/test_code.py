@@ -189,3 +189,21 @@ def test_rows_have_places_in_lines_and_bytes(spark):
     assert (rows["one"].start_line, rows["one"].end_line) == (2, 4) and rows["two"].doc == "Docs é\n\nmore" and rows["two"].exported
     (call,) = [r for r in code.relations(df).collect() if r.relation == "calls"]
     assert (call.source_symbol, call.target, call.line) == ("one", "two", 3) and raw[call.byte :].startswith(b"two(")
+
+
+def test_long_blanks_are_cut_and_change_nothing(monkeypatch):
+    """Forms run over code whose comments are cut short; places, names and targets are those of the whole."""
+    pad = "// " + "word " * 400 + "\n"
+    text = pad * 30 + "class" + " " * 40 + "A" + " " * 30 + "extends\n" + pad * 3 + "Base<X," + " " * 20 + "Y> {\n  go(a) {" + " " * 50 + "return run(a); }\n}\n" + " " * 30 + "import x from 'm'\n"
+    python = "def f():\n" + " " * 24 + "import os\n" + "# word\n" * 40 + " " * 24 + "@dec\n\n" + " " * 24 + "class B( X ," + " " * 20 + "Y): pass\n"
+    cases = [("TypeScript", text), ("Python", python), ("C++", "enum" + " " * 20 + "class E { a };\n" + pad + "#define X 1 \\\n" + " " * 30 + "2\n")]
+
+    def read():
+        made = [code._Source(source, language) for language, source in cases]
+        return [(code._symbol_rows("p", s), code._relation_rows("p", s)) for s in made]
+
+    cut = read()
+    squeezed = code._Squeezed(code._Source(text, "TypeScript").flat)
+    assert len(squeezed.code) * 50 < len(text) and squeezed.at(len(squeezed.code)) == len(text)
+    monkeypatch.setattr(code, "_LONG_BLANK", code.re.compile(r"(?!)"))
+    assert cut == read() and len(cut[0][0]) == 2 and len(cut[0][1]) == 3 and len(cut[1][1]) == 3
