@@ -28,8 +28,12 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the XXH64 values of all word shingles, repeats included; 0 without words."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not hashes:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of ``hashes``; 0 without any."""
+    if not len(hashes):
         return 0
     bits = np.zeros(64, np.int64)
     values = np.array(hashes, ">u8").view(np.uint8)
@@ -161,18 +165,30 @@ def parity(found: np.ndarray) -> np.ndarray:
 
 
 def _marked_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, h, fp, parity mask): a hash of the text, and key and mask of its shingle set, a row per input row."""
+    """(doc_id, h, fp, simhash, parity mask): a hash of the text, and key, SimHash fingerprint and mask of its shingle set, a row per input row."""
 
     def work(part: pa.RecordBatch) -> list:
         sets = [shingle_set(t) for t in part.column("text").to_pylist()]
         masks = np.array([parity(x) for x in sets], np.int64).reshape(-1, len(PARITY))
-        return [pa.array([_signed(_set_key(x)) for x in sets], pa.int64()), *(pa.array(masks[:, k].copy()) for k in range(len(PARITY)))]
+        prints = [_signed(majority(x)) for x in sets]
+        return [pa.array([_signed(_set_key(x)) for x in sets], pa.int64()), pa.array(prints, pa.int64()), *(pa.array(masks[:, k].copy()) for k in range(len(PARITY)))]
 
     rows = doc_columns(docs, key, text).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    fields = [T.StructField(name, T.LongType()) for name in ("fp", *PARITY)]
+    fields = [T.StructField(name, T.LongType()) for name in ("fp", "simhash", *PARITY)]
     return stage_table(add_columns(rows, "text", fields, work, drop_input=True), "fingerprints")
 
 
+def _ball_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b) with a < b: sets of one SimHash fingerprint with the least of them, and the least sets of fingerprints that :func:`fingerprint_links` links."""
+    of = marked.select("simhash", "fp").distinct()
+    of = stage_table(of.join(of.groupBy("simhash").agg(F.min("fp").alias("least")), "simhash"), "prints")
+    same = of.where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    heads = of.where("fp = least").select("simhash", "fp")
+    links = fingerprint_links(heads.select(F.col("simhash").alias("fp")))
+    ends = links.join(heads.select(F.col("simhash").alias("a"), F.col("fp").alias("x")), "a").join(heads.select(F.col("simhash").alias("b"), F.col("fp").alias("y")), "b")
+    return same.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(47)).astype(np.int64)
 
@@ -207,13 +223,18 @@ def shingle_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
 def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> DataFrame:
     """(a, b) with a < b: links that connect all distinct shingle sets, by key, whose Jaccard similarity is TENTHS / 10 or more.
 
-    Exact prefix join: in any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
+    First SimHash: pairs that ball hashing finds by the sets' fingerprints are verified on whole sets, and those that are
+    close make classes. An exact prefix join finds the links that fingerprints miss. In any one order of shingles, two such sets meet in the first n - ceil(0.8 n) + 1 of each. The
     order puts shingles of rare counters first. A first common place bounds what can follow it; pairs that pass are
-    verified on whole sets. First each set meets the least set of most of its buckets; sets that this connects are a
+    verified on whole sets. First each set meets the least set of most of its buckets, unless they are of one class; sets that are connected so are a
     class and make no more pairs among themselves. Then rounds make the pairs of classes that are still apart in a bucket:
     one with a sixteenth of the sets on one side, and, when its links have joined classes, one with all of them, less
     pairs that were tested before and pairs whose parity masks differ in more bits than close sets can. So a large group of close texts makes far fewer pairs than its square.
     """
+    texts = docs.select(docs[text].cast("string").alias("text"))
+    ids = marked.groupBy("fp").agg(F.min("h").alias("h"))  # copies go before any join
+    balls = stage_table(_ball_pairs(marked), "ball-pairs")
+    near = stage_table(_verified(texts, ids, balls), "links-of-balls")
     order = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, text))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +259,6 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, keys, sizes, places)], ["shingle", "fp", "n", "place"])
 
-    texts = docs.select(docs[text].cast("string").alias("text"))
     rows = texts.mapInArrow(tidy(prefixes), "shingle long, fp long, n int, place int").repartition("shingle").dropDuplicates(["shingle", "fp"])
     # a shingle that one set alone has in its prefix joins nothing
     hub = rows.groupBy("shingle").agg(F.min(F.struct("fp", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -246,13 +266,16 @@ def jaccard_links(docs: DataFrame, marked: DataFrame, text: str = "text") -> Dat
     hubs = met.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), *_sizes(F.col("hub"), F.struct("n", "place"))).where((F.col("a") < F.col("b")) & _may())
     # a set meets one hub, that of most of its buckets
     shared = hubs.groupBy("b", "a").agg(F.count(F.lit(1)).alias("k"))
-    first = stage_table(shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b"), "candidates")
-    ids = marked.groupBy("fp").agg(F.min("h").alias("h"))  # copies go before any join
-    close = stage_table(_verified(texts, ids, first), "links-of-hubs")
+    hubs = shared.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b")
+    known = stage_table(components(near, "a", "b"), "members")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
+    apart = hubs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("class_a IS NULL OR class_b IS NULL OR class_a <> class_b").select("a", "b")
+    first = stage_table(apart.join(balls, ["a", "b"], "left_anti"), "candidates")
+    close = stage_table(near.unionByName(_verified(texts, ids, first)), "links-of-hubs")
     # what is joined already needs no more pairs: the rest of a bucket meets the bucket's greatest class and itself, in the
     # first round by its members of a few slots alone, which join most of what can be joined before more pairs are made
     masks = marked.groupBy("fp").agg(*(F.min(c).alias(c) for c in PARITY))  # of one set all are equal
-    tested, found = first, close
+    tested, found = balls.unionByName(first), close
     for k, slots in enumerate(ROUNDS):
         members = stage_table(components(found, "a", "b"), "members")
         own = masks.join(members, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"), *PARITY)

@@ -712,3 +712,39 @@ def test_near_dedup_of_a_dense_group_equals_brute_force_and_makes_few_pairs(spar
                 head[max(x, y)] = min(x, y)
     assert got == {k for k in range(len(texts)) if root(k) == k}
     assert sum(tested) < 400 * 399 // 8
+
+
+def test_near_dedup_stage_starts_from_simhash_balls(spark, monkeypatch):
+    """The first candidates are what ball hashing finds: all sets within two bits are joined by them, no others, and hubs don't repeat them."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randrange(900)}" for _ in range(250)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(k // 2):
+                copy[rng.randrange(250)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate([*texts, "", *texts[:5]])), "doc_id long, text string")
+    calls = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda t, i, pairs: (calls.append({tuple(r) for r in pairs.select("a", "b").collect()}), verified(t, i, pairs))[1])
+    neardup.keep_one_similar(docs).count()
+    prints = {}
+    for t in [*texts, ""]:
+        found = neardup.shingle_set(t)
+        prints[neardup._signed(neardup._set_key(found))] = neardup.majority(found)
+    keys = sorted(prints)
+    group = {k: k for k in keys}
+    for a in keys:
+        for b in keys:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+                group = {k: group[a] if x == group[b] else x for k, x in group.items()}
+    reached = {k: k for k in keys}
+    for a, b in calls[0]:
+        assert a < b and (prints[a] ^ prints[b]).bit_count() <= 2
+        if reached[a] != reached[b]:
+            reached = {k: reached[a] if x == reached[b] else x for k, x in reached.items()}
+    same = lambda of: {frozenset(k for k in keys if of[k] == x) for x in of.values()}
+    assert same(group) == same(reached) and len(calls[0]) > 5
+    assert not any(calls[0] & later for later in calls[1:])
