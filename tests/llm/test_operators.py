@@ -119,6 +119,26 @@ def test_word_cache_matches_the_untouched_tokenizer(name, spaced, width):
         assert got == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize(("name", "spaced", "width"), [("word_bpe_49k.json", False, "<u2"), ("byte_bpe_50k.json", True, "<u4")])
+def test_word_cache_takes_words_with_signs_by_their_letters(name, spaced, width):
+    """Words of letters reach the file's model at once; signs after them and line feeds before them cost nothing more."""
+    from tokenizers import Tokenizer
+
+    from quillmesh.llm.wordcache import _tokenizer_cache, split_ids
+
+    cache, sent = _tokenizer_cache(P.path(name), spaced, width), []
+    slow, plain = cache.encode_many, cache.encode_plain
+    cache.encode_many = lambda texts: sent.extend(texts) or slow(texts)
+    made = []
+    cache.encode_plain = lambda words: made.extend(words) or plain(words)
+    stems = ["onatan", "thstinnt", "ééellere", "ciónadoraez", "beßst"]
+    texts = [" ".join(["the", *(w + x for w in stems for x in ("", "$$$", ",###", ".", "&&&", "%%%", "***"))]) + "\n" + "\n".join(stems) for _ in range(3)]
+    whole = Tokenizer.from_file(P.path(name))
+    got = [np.frombuffer(x, width).tolist() for x in split_ids(*cache.encode(texts))]
+    assert got == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert sent == [] and len(made) <= 3 + 2 * len(stems)
+
+
 def test_packing_is_gapless(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
