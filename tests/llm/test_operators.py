@@ -385,6 +385,22 @@ def test_edit_links(spark, tau):
     assert got == Counter((j, i) for i in range(len(s)) for j in range(i) if min(len(s[i]), len(s[j])) >= tau + 3 and told[i] == told[j] and _edits(s[i], s[j]) <= tau)
 
 
+def test_letter_counts_come_from_what_the_letters_before_have_left(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("eantroisdhulcmwgE é,19 ") for _ in range(rng.randint(0, 150)))) for i in range(200)]
+    out = lines.with_counts(spark.createDataFrame(rows, "lid long, line string"))
+    assert "replace(__rest" in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == ["lid", "line", "n", "c", "digits"]
+    digits: dict = {}
+    for r in out.collect():
+        assert r.n == len(r.line)
+        if r.n < lines.MIN_CHARS:
+            assert r.c is None and r.digits is None
+            continue
+        assert [r.c >> 4 * k & 15 for k in range(16)] == [r.line.count(x) & 15 for x in reversed(lines.LETTERS)]
+        digits.setdefault("".join(x for x in r.line if x in "0123456789"), set()).add(r.digits)
+    assert all(len(x) == 1 for x in digits.values()) and len(set.union(*digits.values())) == len(digits)
+
+
 def test_line_dedup(spark, odd_docs, no_docs):
     out = lines.dedup_lines(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
