@@ -66,7 +66,7 @@ class Prior:
     def __init__(self, vocab: np.ndarray, counts: np.ndarray, sizes: np.ndarray, after: np.ndarray, level: np.ndarray):
         self.vocab, n = vocab, len(vocab)
         base = _share(counts.astype(np.int64), 1 << _T0, 1)
-        self.zero = np.concatenate(([0], np.cumsum(base))).astype(np.int64)
+        self.zero = np.concatenate(([0], np.cumsum(base))).astype(np.int32)
         rows = np.zeros((len(sizes) + 1, n + 1), np.uint16)
         ends = np.cumsum(sizes)
         for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
@@ -147,10 +147,10 @@ class _Encoder:
         """Narrow the ranges of the first ``n`` blocks to [start, start + size) of 2**_TOTAL."""
         low, wide = self.low[:n], self.range[:n]
         wide >>= _U(_TOTAL)
-        more = low + wide * start.view(_U)
+        more = low + wide * start.astype(_U)
         self.carry[:n] |= more < low
         low[:] = more
-        wide *= size.view(_U)
+        wide *= size.astype(_U)
         out = np.flatnonzero(wide < _U(1 << 32))
         if len(out):
             self._put(out)
@@ -193,8 +193,8 @@ class _Decoder:
 
     def code(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         value, wide = self.value[:n], self.range[:n]
-        value -= wide * start.view(_U)
-        wide *= size.view(_U)
+        value -= wide * start.astype(_U)
+        wide *= size.astype(_U)
         out = np.flatnonzero(wide < _U(1 << 32))
         if len(out):
             at = np.minimum(self.at[out], len(self.words) - 1)
@@ -203,70 +203,105 @@ class _Decoder:
             self.at[out] += 1
 
 
+#: What a guess is trusted after it missed and after it hit, by its trust before.
+_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+
+
 class _Mix:
-    """Adaptive state of ``lanes`` blocks, reset to the prior."""
+    """Adaptive state of ``lanes`` blocks, reset to the prior. Frequencies are below 2**_TOTAL and so fit in 32 bits."""
 
     def __init__(self, prior: Prior, lanes: int):
         self.prior, self.lanes = prior, np.arange(lanes)
         self.weight = [np.full(4 * lanes, w, np.float32) for w in _START]  # by confidence and block
-        self.guess, self.trust = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint8)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.held = np.zeros(lanes * SLOTS, np.int32)  # four times the guess, plus its trust
+        self.first = self.lanes * SLOTS
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.row = np.full(lanes, prior.none, np.int64)
+        self.mid, self.step = np.empty(lanes, np.int64), np.empty(lanes, np.int64)
+        self.c0, self.c1, self.part = np.empty(lanes, np.int32), np.empty(lanes, np.int32), np.empty(lanes, np.uint16)
+        self.less = np.empty(lanes, bool)
 
     def look(self, n: int) -> None:
         """Weights and guesses for the next id of the first ``n`` blocks."""
-        self.slot = self.lanes[:n] * SLOTS + (((self.last[:n] * 0x9E3B + self.before[:n] * 0x1F35B) >> 3) & (SLOTS - 1))
-        self.two, self.sure = self.guess[self.slot].astype(np.int64), self.trust[self.slot]
-        self.cell = self.sure * np.int64(len(self.lanes)) + self.lanes[:n]
-        self.w = [w[self.cell] for w in self.weight]
-        self.w1 = (self.w[0] * np.float32(1 << _TW)).astype(np.int64)
-        w2 = np.where(self.sure > 0, self.w[1] * np.float32(1 << _TW), 0).astype(np.int64)
-        self.w0 = (1 << _TW) - self.w1 - w2
-        self.w1 <<= _T0 - _T1
-        self.bump = w2 << _T0
+        mark = self.last[:n] * np.uint32(0x9E3B)
+        mark += self.before[:n] * np.uint32(0x1F35B)
+        mark >>= np.uint32(3)
+        mark &= np.uint32(SLOTS - 1)
+        self.slot = self.first[:n] + mark
+        held = self.held.take(self.slot)
+        self.two, self.sure = (held >> np.int32(2)).astype(np.int64), held & np.int32(3)
+        self.cell = self.sure * np.int64(len(self.lanes))
+        self.cell += self.lanes[:n]
+        self.w = [w.take(self.cell) for w in self.weight]
+        self.w1 = (self.w[0] * np.float32(1 << _TW)).astype(np.int32)
+        w2 = (self.w[1] * np.float32(1 << _TW)).astype(np.int32)
+        w2 *= self.sure > 0
+        self.w0 = np.int32(1 << _TW) - self.w1
+        self.w0 -= w2
+        self.w1 <<= np.int32(_T0 - _T1)
+        w2 <<= np.int32(_T0)
+        self.bump = w2
 
     def _edge(self, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cumulative frequency below ``ids`` in orders 0 and 1 mixed, and the weighted frequencies of the two."""
-        zero, one, at = self.prior.zero, self.prior.one, self.row[:n] + ids
-        c0, c1 = zero[ids], one[at].astype(np.int64)
-        return self.w0 * c0 + self.w1 * c1, self.w0 * (zero[ids + 1] - c0), self.w1 * (one[at + 1] - c1)
+        zero, one, after, at = self.prior.zero, self.prior.one, ids + 1, self.row[:n] + ids
+        p0, p1, c0, c1 = zero.take(after), one.take(at + 1).astype(np.int32), zero.take(ids), one.take(at).astype(np.int32)
+        p0 -= c0
+        p0 *= self.w0
+        p1 -= c1
+        p1 *= self.w1
+        c0 *= self.w0
+        c1 *= self.w1
+        c0 += c1
+        return c0, p0, p1
 
     def find(self, n: int, value: np.ndarray) -> np.ndarray:
         """The ids in whose intervals ``value`` lies."""
         low, p0, p1 = self._edge(n, self.two)
         high = low + p0 + p1
+        value = value.astype(np.int32)
         value = np.where(value < low, value, np.where(value < high + self.bump, low, value - self.bump))
         zero, one, row, w0, w1 = self.prior.zero, self.prior.one, self.row[:n], self.w0, self.w1
+        mid, step, c0, c1, part, less = (x[:n] for x in (self.mid, self.step, self.c0, self.c1, self.part, self.less))
         at, left = np.zeros(n, np.int64), len(self.prior.vocab)
         while left > 1:
             half = left >> 1
-            mid = at + half
-            c = zero.take(mid)
-            c *= w0
+            np.add(at, half, out=mid)
+            zero.take(mid, out=c0, mode="clip")  # places are in range; other modes would copy
+            c0 *= w0
             mid += row
-            c += one.take(mid) * w1
-            at += (c <= value) * np.int64(half)
+            one.take(mid, out=part, mode="clip")
+            np.multiply(part, w1, out=c1)
+            c0 += c1
+            np.less_equal(c0, value, out=less)
+            np.multiply(less, half, out=step)
+            at += step
             left -= half
         return at
 
     def interval(self, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, self.p0, self.p1 = self._edge(n, ids)
         self.hit = self.two == ids
-        start += np.where(ids > self.two, self.bump, 0)
+        start += self.bump * (ids > self.two)
         self.p2 = self.bump * self.hit
         return start, self.p0 + self.p1 + self.p2
 
     def learn(self, n: int, ids: np.ndarray, size: np.ndarray) -> None:
         scale = _ROOM / size.astype(np.float32)
         for k, part in enumerate((self.p1, self.p2)):
-            w = self.w[k]
-            w += _RATE * (part.astype(np.float32) * scale - w)
+            w, move = self.w[k], part.astype(np.float32)
+            move *= scale
+            move -= w
+            move *= _RATE
+            w += move
             self.weight[k][self.cell] = w
-        sure = self.sure
-        self.trust[self.slot] = np.where(self.hit & (sure > 0), np.minimum(sure + 1, 3), np.where(sure > 1, sure - 1, 1))
-        self.guess[self.slot] = np.where(sure > 1, self.two, ids)
+        sure, ids = self.sure, ids.astype(np.int64, copy=False)
+        held = np.where(sure > 1, self.two, ids).astype(np.int32)
+        held <<= np.int32(2)
+        held |= _TRUST.take(self.hit * np.int32(4) + sure)
+        self.held[self.slot] = held
         self.before[:n], self.last[:n] = self.last[:n], ids
-        self.row[:n] = self.prior.row[ids]
+        self.row[:n] = self.prior.row.take(ids)
 
 
 def _steps(coder: _Encoder | _Decoder, prior: Prior, lengths: np.ndarray, ids: np.ndarray) -> None:

@@ -75,6 +75,17 @@ def test_coder_blocks():
             tokenfile.decode_blocks(prior, [bytes(bad)])
 
 
+def test_coder_mixes_in_32_bits():
+    """Frequencies of the mix fit in 32 bits, a guess and its trust in one cell; the blocks are those that 64 bits made."""
+    ids = (np.arange(7000) % 900).astype(np.uint16)
+    prior, blocks = tokenfile.encode_blocks(ids)
+    assert zlib.crc32(b"".join(blocks)) == 3342527876 and np.array_equal(tokenfile.decode_blocks(prior, blocks), ids)
+    mix = tokenfile._Mix(tokenfile.Prior.unpack(prior), 3)
+    mix.look(3)
+    start, size = mix.interval(3, np.array([0, 5, 899]))
+    assert start.dtype == size.dtype == mix.held.dtype == np.int32 and (size > 0).all() and (start + size <= 1 << tokenfile._TOTAL).all()
+
+
 def test_coder_carries():
     """Intervals at the upper end of the range make long runs of carries."""
     rng = np.random.default_rng(9)
