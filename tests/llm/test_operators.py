@@ -412,6 +412,28 @@ def test_letter_counts_come_from_what_the_letters_before_have_left(spark):
     assert all(len(x) == 1 for x in digits.values()) and len(set.union(*digits.values())) == len(digits)
 
 
+def test_letters_are_counted_in_lines_that_share_a_segment(spark):
+    """One key serves all lengths of a step, and lines that share no segment are gone before letters are counted and pairs are made."""
+    rng = random.Random(6)
+    rows = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(40, 75) for _ in range(3)]
+    far = len(rows)
+    for x in rows[:far:3]:
+        for _ in range(2):
+            y = list(x)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(y))
+                y[k : k + rng.choice([0, 1])] = [rng.choice("abcé")] * rng.choice([0, 1, 2])
+            rows.append("".join(y))
+    df = spark.createDataFrame(list(enumerate(rows)), "lid long, line string")
+    sizes = Counter(r.lid for r in lines.key_rows(df, 2, 40).collect())
+    assert len(sizes) == sum(len(x) >= 40 for x in rows) and max(sizes.values()) <= 9 and sum(sizes.values()) < 6.1 * len(sizes)
+    met = {r.lid for r in lines.shared_keys(df, 2, 40).collect()}
+    assert not met & {i for i in range(far) if i % 3}
+    got = Counter(tuple(sorted((r.a, r.b))) for r in lines.edit_links(df).collect())
+    want = Counter((j, i) for i in range(len(rows)) for j in range(i) if min(len(rows[i]), len(rows[j])) >= 40 and abs(len(rows[i]) - len(rows[j])) <= 2 and _edits(rows[i], rows[j]) <= 2)
+    assert got == want and len(want) > 30
+
+
 def test_line_dedup(spark, odd_docs, no_docs):
     out = lines.dedup_lines(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns
