@@ -430,11 +430,15 @@ _HEADED = """d AS (SELECT path, 'before' || chr(10) || '# One' || chr(10) || tex
  h AS (SELECT *, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte FROM l)"""
 
 
-def _headed(s, d):
-    """Documents as Markdown: a preamble, two headings, a fence that holds a false one, and a link."""
-    f = v.texts(s, d).join(v.files(s, d).select("path", "mtime"), "path").where(~F.col("text").rlike("(^|\n)\\s{0,3}(#|```|~~~)"))
+def _marked(docs):
+    """Rows of path, text, mtime as Markdown: a preamble, two headings, a fence that holds a false one, and a link."""
     link = F.concat(F.lit("\n```\n# no heading\n```\n### Three [in](x/"), F.col("mtime").cast("string"), F.lit(".md) it\nend"))
-    return f.select("path", F.concat(F.lit("before\n# One\n"), F.col("text"), link).alias("text"))
+    return docs.select("path", F.concat(F.lit("before\n# One\n"), F.col("text"), link).alias("text"))
+
+
+def _headed(s, d):
+    """Documents without headings or fences of their own, :func:`_marked`."""
+    return _marked(v.texts(s, d).join(v.files(s, d).select("path", "mtime"), "path").where(~F.col("text").rlike("(^|\n)\\s{0,3}(#|```|~~~)")))
 
 
 @query(f""", {_HEADED} SELECT path, 0 AS ordinal, path AS title, 1 AS start_line, 1 AS end_line, 0::BIGINT AS start_byte FROM d
@@ -449,10 +453,15 @@ def heading_outline(s, d):
     return found.select("path", F.col("h.level").cast("long").alias("level"), F.col("h.text").alias("title"), F.col("h.line").cast("long").alias("line"))
 
 
-@query(f""", {_HEADED} SELECT path, '# One' || chr(10) || string_agg(t, chr(10) ORDER BY i) || chr(10) AS section FROM h WHERE i > 1 GROUP BY path""")
+# every document, with the headings and fences that its text has: a fold over its lines keeps the open fence and the next heading of level one
+@query(r""", d AS (SELECT path, string_split('before' || chr(10) || '# One' || chr(10) || text || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '### Three [in](x/' || mtime || '.md) it' || chr(10) || 'end', chr(10)) AS l FROM v_files WHERE text IS NOT NULL AND mtime IS NOT NULL),
+ m AS (SELECT path, l, list_transform(l, lambda t, i: {'i': i, 'mark': regexp_extract(t, '^[\s\v\x1c-\x1f\x{85}\pZ]*(`{3,}|~{3,})', 1), 'top': i > 2 AND regexp_matches(t, '^[\s\v\x1c-\x1f\x{85}\pZ]*# ')}) AS m FROM d),
+ c AS (SELECT path, l, list_reduce(m, lambda s, x: {'i': CASE WHEN s.i > 0 THEN s.i WHEN s.mark = '' AND x.mark = '' AND x.top THEN x.i ELSE 0 END,
+  'mark': CASE WHEN x.mark = '' THEN s.mark WHEN s.mark = '' THEN x.mark WHEN x.mark[1] = s.mark[1] AND len(x.mark) >= len(s.mark) THEN '' ELSE s.mark END, 'top': FALSE}, {'i': 0::BIGINT, 'mark': '', 'top': FALSE}).i AS cut FROM m)
+ SELECT path, array_to_string(list_transform(l[2:CASE WHEN cut > 0 THEN cut - 1 ELSE len(l) END], lambda t: regexp_replace(t, '\r$', '')), chr(10)) || chr(10) AS section FROM c""")
 def doc_section(s, d):
-    plain = _headed(s, d).where(~F.col("text").contains("\r"))
-    return markdown.section(plain, "oNE")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return markdown.section(_marked(v.table(s, d, "documents").select(path.alias("path"), "text", F.col("doc_id").alias("mtime"))), "oNE")
 
 
 @query(f""", {_HEADED} SELECT path, 'in' AS label, 'x/' || regexp_extract(t, 'x/([0-9]+)', 1) || '.md' AS target, (n - 1)::BIGINT AS line FROM h WHERE i = n - 2""")
