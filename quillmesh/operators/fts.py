@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillmesh.runtime import shared_dir
+from quillmesh.runtime import shared_dir, tidy_shuffles
 
 K1, B = 1.2, 0.75
 #: Folders of the postings table.
@@ -98,7 +98,8 @@ def write_buckets(rows: DataFrame, path: str, mode: str = "errorifexists") -> No
     before = conf.get(name, None)
     conf.set(name, str(BUCKETS))
     try:
-        rows.write.mode(mode).partitionBy("bucket").parquet(path)
+        with tidy_shuffles(rows.sparkSession):
+            rows.write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(path)
     finally:
         conf.unset(name) if before is None else conf.set(name, before)
 

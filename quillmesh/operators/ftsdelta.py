@@ -8,16 +8,21 @@ buckets stay as they are. A manifest names the files that count, so readers see
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillmesh.operators.fts import BUCKETS, Index, n_tokens, postings, write_buckets
-from quillmesh.runtime import shared_dir
+from quillmesh.runtime import remove, shared_dir, stage
 
 #: Files of a tier in a bucket that are merged into one.
 FANOUT = 4
+#: Buckets that are merged at a time: beside the files that count, no more than their new ones are on disk.
+_MERGED = 32
+#: Marks that tell ids which no tombstone names, as a power of two: a table of 2^18 rows at most, whatever the data.
+_MARK_BITS = 24
 _MANIFEST = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("kind", "bucket", "gen", "tier")), *(T.StructField(c, T.LongType()) for c in ("n", "size"))])
 _POSTINGS, _SEGMENTS, _DEAD, _SUMS = 0, 1, 2, 3
 _NAMES = {_POSTINGS: "postings", _SEGMENTS: "segments", _DEAD: "dead"}
@@ -97,8 +102,11 @@ def _commit(live: Live, files: list[tuple[int, int, int, int]], n: int, size: in
 
 
 def create(spark: SparkSession, columns: tuple[str, ...] = ("text",), path: str | None = None) -> Live:
-    """An empty index under ``path`` or in the shared folder."""
-    return _commit(Live(spark, path or f"{shared_dir(spark)}/quillmesh-live-{uuid.uuid4().hex}", tuple(columns), -1, ()), [], 0, 0)
+    """An empty index under ``path``, or in the shared folder until the session ends."""
+    if path is None:
+        path = f"{shared_dir(spark)}/quillmesh-live-{uuid.uuid4().hex}"
+        atexit.register(remove, spark, path)
+    return _commit(Live(spark, path, tuple(columns), -1, ()), [], 0, 0)
 
 
 def open_live(spark: SparkSession, path: str, columns: tuple[str, ...] = ("text",)) -> Live:
@@ -125,6 +133,31 @@ def _alive(rows: DataFrame, ended: DataFrame) -> DataFrame:
     return rows.join(e, gone, "left_anti")
 
 
+def _marked(rows: DataFrame, ended: DataFrame) -> DataFrame:
+    """``rows`` with __may: false where no tombstone has the id. By a bit for the hash of each id, in words of 64 that are broadcast."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(1 << _MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(__mark & 63 as int))")
+    words = ended.select(mark.alias("__mark")).groupBy(F.shiftright("__mark", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    met = rows.withColumn("__mark", mark).withColumn("__at", F.shiftright("__mark", 6)).join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    return met.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, "__may")
+
+
+def _alive_here(rows: DataFrame, ended: DataFrame) -> DataFrame:
+    """:func:`_alive` for many rows of which few have ended: those whose id no tombstone names stay where they are, the others meet the tombstones."""
+    marked = _marked(rows, ended)
+    return marked.where("NOT __may").drop("__may").unionByName(_alive(marked.where("__may").drop("__may"), ended))
+
+
+def _once(put: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``put`` with each key once, with its greatest texts. Keys are counted without texts; only texts of repeated keys are gathered."""
+    key = ["id", "ordinal"]
+    again = stage(put.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated-keys")
+    if again.isEmpty():
+        return put
+    greatest = put.join(again, key, "left_semi").groupBy(*key).agg(F.max(F.struct(*columns)).alias("x")).select(*key, "x.*")
+    return put.join(again, key, "left_anti").unionByName(greatest)
+
+
 def segments(live: Live) -> DataFrame:
     """id, ordinal, size, gen of the segments that count."""
     return _alive(_read(live, _SEGMENTS, _of(live, _SEGMENTS), _SEGMENT), _ended(live)).drop("bucket")
@@ -143,7 +176,7 @@ def apply(live: Live, put: DataFrame | None = None, taken: DataFrame | None = No
     if put is not None:
         keys = [F.col("id").cast("long").alias("id"), F.col("ordinal").cast("long").alias("ordinal")]
         put = put.select(*keys, *(F.col(c).cast("string").alias(c) for c in live.columns)).where("id IS NOT NULL AND ordinal IS NOT NULL")
-        put = put.groupBy("id", "ordinal").agg(F.max(F.struct(*live.columns)).alias("x")).select("id", "ordinal", "x.*")
+        put = _once(put, live.columns)
         ends = put.select("id", "ordinal")
     if taken is not None:
         by = ["id", "ordinal"] if "ordinal" in taken.columns else ["id"]
@@ -151,9 +184,11 @@ def apply(live: Live, put: DataFrame | None = None, taken: DataFrame | None = No
         ends = gone if ends is None else ends.unionByName(gone)
     if ends is None:
         return live
-    ends = old.join(ends.distinct(), ["id", "ordinal"], "left_semi").withColumn("bucket", _bucket_of_id())
-    made = _write(live, _DEAD, gen, ends, ["id", "ordinal"])
-    less, more = _sums(live, _DEAD, gen, made), (0, 0)
+    made, more = [], (0, 0)
+    if live.n:
+        ends = old.join(ends.distinct(), ["id", "ordinal"], "left_semi").withColumn("bucket", _bucket_of_id())
+        made = _write(live, _DEAD, gen, ends, ["id", "ordinal"])
+    less = _sums(live, _DEAD, gen, made)
     if put is not None:
         rows = postings(put, live.columns).select("term", "id", "ordinal", "size", "places", _bucket_of_term().alias("bucket"))
         made += _write(live, _POSTINGS, gen, rows, ["term", "id", "ordinal"])
@@ -163,9 +198,11 @@ def apply(live: Live, put: DataFrame | None = None, taken: DataFrame | None = No
     return _commit(live, files + made, live.n - less[0] + more[0], live.size - less[1] + more[1])
 
 
-def merge(live: Live, fanout: int = FANOUT) -> Live:
+def merge(live: Live, fanout: int = FANOUT, tidy: bool = False) -> Live:
     """Merge each bucket's files of a tier where they are ``fanout`` or more, until no tier has so many.
 
+    _MERGED buckets at a time, a version each; ``tidy`` vacuums after each, so that the index is on disk once and a part of it twice.
+
     A merged file counts as of its youngest generation: what tombstones have ended is gone from it, so none is forgotten.
     Tombstones older than all other files are dropped. The files merged stay on disk until :func:`vacuum`.
     """
@@ -177,19 +214,25 @@ def merge(live: Live, fanout: int = FANOUT) -> Live:
         due = {k: v for k, v in groups.items() if len(v) >= fanout}
         if not due:
             return live
-        files, ended = list(live.files), _ended(live)
+        # the least buckets, each with its lowest tier that is due
+        chosen = sorted({k[1] for k in due})[:_MERGED]
+        due = {k: v for k, v in due.items() if k[1] in chosen}
+        files, ended = list(live.files), stage(_ended(live), "ended")
         gen = live.generation() + 1
         # of all buckets that are due, those whose youngest generation is the same go together
         for kind, schema, sort in ((_POSTINGS, _POSTING, ["term", "id", "ordinal"]), (_SEGMENTS, _SEGMENT, ["id", "ordinal"])):
             own = {b: v for (k, b, _), v in sorted(due.items()) if k == kind}
             if not own:
                 continue
-            rows = _alive(_read(live, kind, [f for v in own.values() for f in v], schema), ended).drop("gen")
+            alive = _alive_here if kind == _POSTINGS else _alive
+            rows = alive(_read(live, kind, [f for v in own.values() for f in v], schema), ended).drop("gen")
             tiers = {b: v[0][3] + 1 for b, v in own.items()}
             made = _write(live, kind, gen, rows, sort)
             files = [f for f in files if f not in {x for v in own.values() for x in v}] + [(k, b, g, tiers[b]) for k, b, g, _ in made]
         oldest = min((f[2] for f in files if f[0] != _DEAD), default=gen)
         live = _commit(live, [f for f in files if f[0] != _DEAD or f[2] > oldest], live.n, live.size)
+        if tidy:
+            vacuum(live)
 
 
 def vacuum(live: Live) -> list[str]:

@@ -87,7 +87,7 @@ def changed(s, d) -> ftsdelta.Live:
     live = ftsdelta.apply(ftsdelta.create(s), v.segments(s, d))
     live = ftsdelta.apply(live, poor.withColumn("text", F.concat(F.lit("reviewed the "), "text")))
     live = ftsdelta.apply(live, taken=labels.where("toxic = 1").select(F.col("doc_id").alias("id")))
-    return ftsdelta.merge(ftsdelta.apply(ftsdelta.apply(live, items), turns))
+    return ftsdelta.merge(ftsdelta.apply(ftsdelta.apply(live, items), turns), tidy=True)
 
 
 _CHANGED = """, live AS (SELECT s.id, ordinal, CASE WHEN quality = 0 THEN 'reviewed the ' || text ELSE text END AS text FROM v_segments s LEFT JOIN labels l ON l.doc_id = s.id WHERE coalesce(toxic, 0) <> 1

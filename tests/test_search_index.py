@@ -120,3 +120,37 @@ def test_postings_are_made_and_written_where_segments_are(spark):
     at = (1 << 40).__add__
     want = {("a", 1, 0, 4, 2, (1, at(0))), ("b", 1, 0, 4, 2, (0, 2)), ("c", 1, 1, 1, 1, (at(0),)), ("ete", 3, 5, 3, 2, (0, 1)), ("x", 3, 5, 3, 1, (2,))}
     assert {(r.term, r.id, r.ordinal, r.size, r.tf, tuple(r.places)) for r in made.collect()} == want
+
+
+def test_texts_and_lasting_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Keys that stand once bring their texts in where they are; a merge gathers only postings of ids that a tombstone may name."""
+    plans, real = [], ftsdelta._write
+    monkeypatch.setattr(ftsdelta, "_write", lambda live, kind, gen, rows, sort: (plans.append((kind, rows)), real(live, kind, gen, rows, sort))[1])
+    monkeypatch.setattr(ftsdelta, "_MERGED", 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    live = ftsdelta.create(spark, ("text",), str(tmp_path))
+    for k in range(3):
+        live = ftsdelta.apply(live, spark.createDataFrame([(i, 0, f"same w{i} g{k}", None) for i in range(20 * k, 20 * k + 30)], SEGMENT))
+    assert [k for k, _ in plans].count(0) == 3 and not any("Exchange" in plan(rows) for k, rows in plans if k == 0)
+    twice = ftsdelta.apply(live, spark.createDataFrame([(7, 0, "same a", None), (7, 0, "same b", None), (8, 0, "same", None)], SEGMENT))
+    found = ranks(ftsdelta.index(twice), "same OR b OR w9")
+    assert len(found) == 70 and list(ranks(ftsdelta.index(twice), "b")) == [(7, 0)] and not ranks(ftsdelta.index(twice), "w8")
+    plans.clear()
+    merged = ftsdelta.merge(twice, 2, tidy=True)
+    postings = [rows for k, rows in plans if k == 0]
+    assert len(postings) > 1 and all("Union" in plan(rows) and "BroadcastHashJoin" in plan(rows) for rows in postings)
+    assert ranks(ftsdelta.index(merged), "same OR b OR w9") == found and ftsdelta.vacuum(merged) == []
+    held = ftsdelta._read(merged, 0, [f for f in merged.files if f[0] == 0 and f[3] > 0], ftsdelta._POSTING)
+    assert held.where("term = 'same'").count() == 70 and held.where("term = 'w8'").count() == 0
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_marks_lose_and_keep_nothing(spark, monkeypatch, bits):
+    """Rows that meet marks by chance stay: only the tombstone of a row's own key and of a later generation ends it."""
+    monkeypatch.setattr(ftsdelta, "_MARK_BITS", bits)
+    r = random.Random(bits)
+    rows = spark.createDataFrame([(k, r.randrange(-50, 200), r.randrange(3), r.randrange(1, 6)) for k in range(500)], "n long, id long, ordinal long, gen int")
+    ended = spark.createDataFrame([(i, o, r.randrange(1, 6)) for i in range(-20, 60, 3) for o in range(2)], "id long, ordinal long, ended int")
+    some = ftsdelta._alive_here(rows, ended)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ftsdelta._alive(rows, ended).collect())) and some.columns == rows.columns and some.count() < 500
+    assert ftsdelta._alive_here(rows, ended.limit(0)).count() == 500
