@@ -158,6 +158,11 @@ def _once(put: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return put.join(again, key, "left_anti").unionByName(greatest)
 
 
+def _spread(put: DataFrame) -> DataFrame:
+    """``put`` where it is; dealt by key if it comes in fewer parts than there are cores (one row group is one task)."""
+    return put if put.rdd.getNumPartitions() >= put.sparkSession.sparkContext.defaultParallelism else put.repartition("id", "ordinal")
+
+
 def segments(live: Live) -> DataFrame:
     """id, ordinal, size, gen of the segments that count."""
     return _alive(_read(live, _SEGMENTS, _of(live, _SEGMENTS), _SEGMENT), _ended(live)).drop("bucket")
@@ -190,6 +195,7 @@ def apply(live: Live, put: DataFrame | None = None, taken: DataFrame | None = No
         made = _write(live, _DEAD, gen, ends, ["id", "ordinal"])
     less = _sums(live, _DEAD, gen, made)
     if put is not None:
+        put = _spread(put)
         rows = postings(put, live.columns).select("term", "id", "ordinal", "size", "places", _bucket_of_term().alias("bucket"))
         made += _write(live, _POSTINGS, gen, rows, ["term", "id", "ordinal"])
         size = sum((n_tokens(c) for c in live.columns), F.lit(0)).cast("int").alias("size")

@@ -154,3 +154,10 @@ def test_marks_lose_and_keep_nothing(spark, monkeypatch, bits):
     some = ftsdelta._alive_here(rows, ended)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ftsdelta._alive(rows, ended).collect())) and some.columns == rows.columns and some.count() < 500
     assert ftsdelta._alive_here(rows, ended.limit(0)).count() == 500
+
+
+def test_a_put_of_one_part_is_dealt(spark):
+    rows = spark.createDataFrame([(k, 0, "same", None) for k in range(40)], SEGMENT)
+    assert ftsdelta._spread(rows.repartition(8)).rdd.getNumPartitions() == 8
+    dealt = ftsdelta._spread(rows.coalesce(1))
+    assert "hashpartitioning(id" in dealt._jdf.queryExecution().executedPlan().toString() and dealt.count() == 40
